@@ -12,7 +12,6 @@ Texts of equal content are one class from the start. The rest of the work is on
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,39 +21,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import components, settle
+from docloom.llm.hashing import run_hashes, runs
 
 WORDS = 5
 SIMILARITY = 0.8
 SKETCH_BITS = 20
 BANDS, ROWS = 8, 2
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_WORD = re.compile(r"\w+")
+_INSIDE = np.zeros(256, bool)
+_INSIDE[48:58] = _INSIDE[97:123] = _INSIDE[128:] = True
 
 
 class Shingles:
     """Distinct hashed shingles of a text and how often each stands in it."""
 
-    def __init__(self, words: int = WORDS, cache_size: int = 400_000):
-        self.words, self.cache_size, self.seen = words, cache_size, {}
+    def __init__(self, words: int = WORDS):
+        self.words = words
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Words are maximal runs of word characters in lower case; a text of fewer than five is one shingle, without words none."""
-        words = _WORD.findall(text.lower())
-        if not words:
+        """Words are maximal runs of letters and digits (and of characters beyond ASCII) in lower case.
+
+        A text of fewer words than a shingle takes is one shingle; a text without words has none.
+        """
+        b = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+        ids = run_hashes(b, *runs(_INSIDE[b]))
+        if not len(ids):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        seen = self.seen
-        try:
-            ids = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(seen) >= self.cache_size:
-                seen.clear()
-            for w in words:
-                if w not in seen:
-                    b = w.encode("utf-8", "surrogatepass")
-                    seen[w] = zlib.crc32(b) << 32 | zlib.crc32(b, 0x5BD1E995)
-            ids = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
         with np.errstate(over="ignore"):
-            ids = (ids ^ (ids >> np.uint64(31))) * _M1
             n = min(self.words, len(ids))
             h = ids[: len(ids) - n + 1].copy()
             for k in range(1, n):

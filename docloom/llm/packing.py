@@ -9,7 +9,9 @@ sequences, which need no padding.
 
 from __future__ import annotations
 
-import re
+import itertools
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,71 +22,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_BLANK = re.compile(r"[ \n\t]+")
+
+
+def _byte_signs() -> list[str]:
+    """The signs that stand for the 256 bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 class WordTokenizer:
-    """Ids of whole texts for a tokenizer whose matches never contain blanks.
+    """Ids of whole texts for a lower-casing tokenizer whose matches never contain blanks.
 
-    The text is cut at spaces, tabs and newlines, each distinct piece is encoded once by the library, and the
-    ids are put together by gathering. The cache of pieces is emptied when it reaches ``cache_size``.
+    The text is cut at spaces, tabs and newlines, each distinct piece is encoded once by the library, and the ids are put
+    together by gathering. Pieces are kept up to ``cache_size``; then the ``keep`` first met stay, which are the common ones.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, cache_size: int = 1_500_000, keep: int = 400_000, longest: int = 48):
         from tokenizers import Tokenizer
 
-        self.model, self.cache_size, self.longest = Tokenizer.from_file(path), cache_size, longest
-        self.clear()
-
-    def clear(self) -> None:
+        self.model, self.cache_size, self.keep, self.longest = Tokenizer.from_file(path), cache_size, keep, longest
+        self.bpe = self.model.model
         self.index: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _trim(self) -> None:
+        self.index = dict(itertools.islice(self.index.items(), self.keep))
+        self.used = int(self.begin[self.keep])
+
+    def _put(self, word: str, ids) -> None:
+        at, end = len(self.index), self.used + len(ids)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if at >= len(self.begin) - 1:
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used : end] = ids
+        self.begin[at], self.size[at], self.begin[at + 1] = self.used, len(ids), end
+        self.used = end
+        self.index[word] = at
+
+    def _ids(self, word: str) -> np.ndarray:
+        at = self.index[word]
+        return self.flat[self.begin[at] : self.begin[at] + self.size[at]]
+
+    def _learn(self, words: list[str], lowered: bool) -> None:
+        """Add the pieces that are new. A word with signs behind it is the word's ids and the signs' ids."""
         new = list(dict.fromkeys(w for w in words if w not in self.index))
-        if not new:
-            return
-        for word, found in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-            ids, at = found.ids, len(self.index)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if at >= len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[at], self.size[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[word] = at
+        tails, stems = [], dict.fromkeys(())
+        for w in new:
+            stem = w.rstrip(".,!?;:")
+            if stem and len(stem) < len(w) and stem.isalpha():
+                tails.append((w, stem, w[len(stem) :]))
+                stems[stem] = stems[w[len(stem) :]] = None
+            else:
+                stems[w] = None
+        rest = []
+        for w in stems:
+            if w in self.index:
+                continue
+            if lowered and w.isalpha() and unicodedata.is_normalized("NFC", w):  # one match as it stands: the model alone decides
+                spelt = w if w.isascii() else "".join(map(_BYTE_SIGNS.__getitem__, w.encode()))
+                self._put(w, [t.id for t in self.bpe.tokenize(spelt)])
+            else:
+                rest.append(w)
+        for word, found in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self._put(word, found.ids)
+        for word, stem, signs in tails:
+            self._put(word, np.concatenate([self._ids(stem), self._ids(signs)]))
 
     def encode(self, text: str) -> np.ndarray:
+        if lowered := "\u03a3" not in text and "<|" not in text:  # else case could matter: sigma at a word's end, special tokens
+            text = text.lower()
         words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        if max(map(len, words)) > self.longest:  # pieces too long to be worth keeping
-            parts = [w if len(w) > self.longest else None for w in words]
+        try:
+            return self._gather(words)
+        except KeyError:
+            pass
+        if len(self.index) > self.cache_size:
+            self._trim()
+        self._learn([w for w in words if len(w) <= self.longest], lowered)
+        try:
+            return self._gather(words)
+        except KeyError:  # pieces too long to be worth keeping
             out, run = [], []
-            for w, long in zip(words, parts, strict=True):
-                if long is None:
+            for w in words:
+                if len(w) <= self.longest:
                     run.append(w)
-                    continue
-                out += [self._gather(run), np.array(self.model.encode(w, add_special_tokens=False).ids, np.uint32)]
-                run = []
+                else:
+                    out += [self._gather(run), np.array(self.model.encode(w, add_special_tokens=False).ids, np.uint32)]
+                    run = []
             return np.concatenate([*out, self._gather(run)])
-        return self._gather(words)
 
     def _gather(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.index) > self.cache_size:
-            self.clear()
-        try:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(words)
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         size = self.size[at]
         shift = np.cumsum(size) - size
         return self.flat[np.repeat(self.begin[at] - shift, size) + np.arange(int(size.sum()))]
 
 
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a worker process; later tasks find its pieces learnt."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
+
+
 class CapacityTree:
     """Segment tree over remaining capacities 0..top; finds the least capacity of at least ``need`` with an open window."""
 
@@ -193,7 +243,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(tokenizer_path).encode
+        encode = tokenizer(tokenizer_path).encode
         serial = TaskContext.get().partitionId() << 32
         out: list[list] = [[] for _ in range(7)]
         tails: list[tuple[int, int, int, np.ndarray]] = []  # doc, ids before, ids of the document, ids

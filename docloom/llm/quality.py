@@ -8,7 +8,6 @@ labelled rows (``FIT_ROWS``, the rows with the smallest hash of their id); scori
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,60 +15,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.hashing import run_hashes, runs
+
 BITS = 18
 FIT_ROWS = 8_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SHAPE = str.maketrans({chr(c): ("9" if chr(c).isdigit() else "X" if chr(c).isupper() else "x" if chr(c).islower() else chr(c)) for c in range(32, 0x250)})
+_M2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = ord("X"), ord("x"), ord("9"), ord("x")
+SHAPE_SIGNS = 6
 
 
-def shape(word: str) -> str:
-    """The word's outline: runs of capitals, small letters and digits become one sign each, three other signs at most stay."""
-    out = []
-    for c in word[:80].translate(_SHAPE):
-        if not out or out[-1] != c:
-            out.append(c)
-    return "".join(out[:6])
+def _shapes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words' outlines: runs of capitals, small letters and digits are one sign each, so are repeated other signs."""
+    kind = _CLASS[b]
+    turn = np.ones(len(b), bool)
+    turn[1:] = kind[1:] != kind[:-1]
+    turn[starts] = True
+    place = np.cumsum(turn)
+    lo, hi = place[starts] - 1, np.minimum(place[ends - 1], place[starts] - 1 + SHAPE_SIGNS)
+    return run_hashes(kind[turn], lo, hi)
 
 
 class Features:
-    """Column numbers of the indicators in a batch of texts; words are hashed once and kept while the cache has room."""
+    """Column numbers of the indicators of a text."""
 
-    def __init__(self, bits: int = BITS, cache_size: int = 400_000):
-        self.mask, self.cache_size = np.uint64((1 << bits) - 1), cache_size
-        self.seen: dict[str, int] = {}
+    def __init__(self, bits: int = BITS):
+        self.mask = np.uint64((1 << bits) - 1)
         self.mark = np.zeros(1 << bits, bool)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.seen) >= self.cache_size:
-            self.seen.clear()
-        for w in words:
-            if w not in self.seen:
-                outline = zlib.crc32(shape(w).encode("utf-8", "surrogatepass"), 7)
-                self.seen[w] = outline << 32 | zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
-
     def of(self, text: str) -> np.ndarray:
-        """Sorted distinct columns of one text; an empty text has none."""
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.int64)
-        try:
-            both = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            self._learn(words)
-            both = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+        """Sorted distinct columns of one text; an empty text has none. Words are separated by blanks."""
+        streams = []
+        for kind, data in enumerate((text.lower(), text)):
+            b = np.frombuffer(data.encode("utf-8", "surrogatepass"), np.uint8)
+            starts, ends = runs(~_BLANK[b])
+            if not len(starts):
+                return np.zeros(0, np.int64)
+            streams.append((_shapes(b, starts, ends), 3) if kind else (run_hashes(b, starts, ends), 2))
         with np.errstate(over="ignore"):
-            for kind, (ids, most) in enumerate(((both & np.uint64(0xFFFFFFFF), 2), (both >> np.uint64(32), 3))):
-                ids *= _M1
+            for kind, (ids, most) in enumerate(streams):
                 h = ids + np.uint64(kind * 1000 + 1)
                 for n in range(1, min(most, len(ids)) + 1):
                     if n > 1:
                         h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _M2 + ids[n - 1 :]
-                    mixed = h ^ (h >> np.uint64(32))
-                    mixed *= _M2
-                    mixed >>= np.uint64(40)
-                    mixed &= self.mask
-                    self.mark[mixed.view(np.int64)] = True
+                    column = (h ^ (h >> np.uint64(32))) * _M2
+                    column >>= np.uint64(40)
+                    column &= self.mask
+                    self.mark[column.view(np.int64)] = True
         found = np.flatnonzero(self.mark)
         self.mark[found] = False
         return found
