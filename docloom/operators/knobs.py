@@ -47,7 +47,7 @@ def matrix(
 
 def edge_case_list(argument: Column) -> Column:
     """A comma-separated argument as a list without blanks."""
-    return F.filter(F.transform(F.split(argument, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(argument, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def cost(count: Column) -> Column:

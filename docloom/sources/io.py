@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,17 +80,17 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def export_documents(docs: DataFrame, folder: str) -> DataFrame:
-    """One file {id}.json a document, pretty, by Spark's own file system so that the folder may be in any store; returns (id, bytes).
+    """One file {id}.json a document, indented and with its keys in order, by Spark's own file system so that the folder may be in any store; returns (id, bytes).
 
     Runs on the driver's file system objects in order, so it is for exports of a size that people look at; data stay in Parquet.
     """
     spark = docs.sparkSession
     jvm = spark._jvm
     rows = []
-    for r in docs.select("id", F.to_json(F.try_parse_json("raw"), {"pretty": "true"}).alias("text")).toLocalIterator():
+    for r in docs.select("id", "raw").toLocalIterator():
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.id}.json")
         out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        data = (r.text or "").encode()
+        data = json.dumps(json.loads(r.raw), indent=2, ensure_ascii=False).encode()
         out.write(bytearray(data))
         out.close()
         rows.append((r.id, len(data)))
