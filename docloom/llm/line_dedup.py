@@ -24,7 +24,7 @@ MIN_WORDS = 10
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
 def _ranked(keys: DataFrame, by: list[str], length: int) -> DataFrame:
@@ -66,22 +66,22 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     """``docs`` with later copies of repeated line runs cut from ``text``, and column ``lines_removed``.
 
     Every row comes back once and other columns stay as they are; n_chars, where present, is brought up to date. Null
-    texts stay null and empty ones empty. A document all of whose lines go keeps an empty text. Rows of the same doc_id
+    texts stay null and empty ones empty; rows without a doc_id come back as they are and don't count. A document all of whose lines go keeps an empty text. Rows of the same doc_id
     count as one position: copies within them are not cut. Blank lines count as lines in runs. An empty table gives
     an empty result.
     """
     gone = (
         repeated_lines(docs, min_lines, min_words)
         .select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("reach") - 1)).alias("pos"))
-        .groupBy("doc").agg(F.collect_set("pos").alias("_gone"))
+        .groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
     )
     base = docs.drop("lines_removed")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    joined = base.join(gone.withColumnRenamed("doc", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    new = {"text": text, "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i))
+    joined = base.join(gone.withColumnRenamed("doc", "__doc"), F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    new = {"text": text, "lines_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
     out = joined.withColumns(new)
     if "n_chars" in base.columns:
         kind = base.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*base.columns, "lines_removed")

@@ -189,7 +189,7 @@ def _links(graph: Graph, q: np.ndarray, least: float, ef: int, sample: int = 48)
 def near_duplicates(vectors: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, ef: int = 48) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept; only vectors of the same label, not null, are compared.
 
-    Null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing and keep
+    Null ids, null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing and keep
     themselves. Equal vectors of a label are one node that counts for each of its rows. Rows of the same vec_id are
     counted as they stand. Extra columns are ignored; an empty table gives an empty result. Each shard of a label is
     searched with the vectors of that shard and of those before it; links are counted where they are found and leave
@@ -257,4 +257,4 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard_rows: int =
     )
     linked = rows.join(nodes, ["label", "dim", "blob"]).select("vec_id", "n_links", "component_id")
     rest = vectors.select(F.col("vec_id").cast("long")).join(rows.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

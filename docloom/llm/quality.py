@@ -158,7 +158,7 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS, target: str = "quality") -> Model:
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: in
 def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
     """One row per document, see ``SCHEMA``. Null and empty texts get the score of no indicators.
 
-    Repeated rows are scored each; extra columns are ignored; an empty table gives an empty result.
+    Repeated rows are scored each, rows without a doc_id too; extra columns are ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights, whatever the corpus
 

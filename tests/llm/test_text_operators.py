@@ -350,3 +350,22 @@ def test_secrets(spark):
     spans = [r.spans for r in rows]
     assert spans[7] == "user:0:8,secret:9:24,endpoint:25:49" and spans[8] == spans[9] == spans[10] == ""
     assert secrets.scan(frame(spark, [])).count() == 0
+
+
+# ---- rows without an id, clashing columns ----
+
+
+def test_null_ids_do_not_crash(spark):
+    t = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    df = frame(spark, [t, t, None, t], [None, 5, None, None], ["a", None, "a", "b"]).selectExpr("*", "1 as __size", "2 as mix_slot", "3 as lines_removed", "4 as pos", "5 as __x")
+    rows = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.deduplicate(df).collect()}
+    assert rows == {(5, len(t)): 0, (None, len(t)): len(t), (None, 0): 0}
+    assert packing.pack(df, tokenizer_path()).where("doc_id is null and start = 0").count() == 3
+    assert secrets.scan(df).where("doc_id is null").count() == 3
+    assert sorted(r.mix_source for r in mixing.mix(df.drop("__size")).collect()) == ["", "a", "a", "b"]
+    cut = line_dedup.dedup_lines(df)
+    assert cut.columns == [c for c in df.columns if c != "lines_removed"] + ["lines_removed"] and cut.where("lines_removed > 0").count() == 0
+    near = {r.doc_id: (r.class_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert near == {5: (5, True), None: (None, True)}
+    lab = spark.createDataFrame([(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score(df, quality.train(df, lab)).where("doc_id is null and not held_out").count() == 3
