@@ -1,12 +1,15 @@
 """Merging Burrows-Wheeler transforms by interleave refinement.
 
 Texts are read in steps of ``WIDTH`` bytes, so the alphabet is of blocks of bytes: the symbol of a suffix is its first
-block, the transform lists for every suffix in sorted order the block before it, and one refinement round settles
-``WIDTH`` bytes of order. A shard's transform is that of its own texts. To merge shards, an interleave (for every merged
-rank, the shard that the suffix comes from) is refined: each round reads every shard's transform in the order of the
-interleave and deals the entries stably by symbol, which sorts all suffixes by one block more. The suffixes are never
-compared again. Boundaries that first show in round h have a common prefix of h - 1 blocks; ranks without a boundary
-after the last round share the whole depth and form the repeated intervals.
+block, and a transform lists, for suffixes in sorted order, the block before each. Only the first ``depth`` bytes of order
+matter here, so a window of that length is followed back from its end: the suffix at its end, undetermined, then a block
+earlier, sorted by one block, and so on to its start, sorted by all. A shard's transform is that of its own windows.
+
+To merge shards, an interleave (for every merged rank, the shard that the suffix comes from) is refined: each round reads
+every shard's transform in the order of the interleave and deals the entries stably by symbol, which sorts the suffixes a
+block earlier by one block more. The suffixes are never compared again. Boundaries that first show in round h have a
+common prefix of h - 1 blocks; ranks without a boundary after the last round share the whole depth: they are the repeated
+intervals.
 """
 
 from __future__ import annotations
@@ -17,107 +20,98 @@ WIDTH = 25
 
 
 def stable_order(keys: np.ndarray) -> np.ndarray:
-    """Stable order of non-negative 32-bit keys by two counting passes."""
+    """Stable order of non-negative 32-bit keys by counting passes."""
     order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
     high = (keys >> 16).astype(np.uint16)
     return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
-class Texts:
-    """Texts laid out with an empty block behind each: suffix positions, their symbols and links to the block before."""
-
-    def __init__(self, texts: list[bytes], width: int = WIDTH):
-        self.width = width
-        pad = bytes(width)
-        flat = np.frombuffer(pad.join(texts) + 2 * pad, np.uint8)
-        size = np.array([len(t) for t in texts], np.int64)
-        self.begin = np.cumsum(size + width) - (size + width)  # a text's suffixes, its empty ones last
-        self.size, self.n = size, int((size + width).sum())
-        self.symbol, self.symbols = self._rank(flat)
-        self.text = np.repeat(np.arange(len(texts), dtype=np.int64), size + width)
-        self.offset = np.arange(self.n) - self.begin[self.text]
-        self.empty = self.offset >= size[self.text]
-
-    def _rank(self, flat: np.ndarray) -> tuple[np.ndarray, int]:
-        """Dense ranks of the blocks at every position. The order of blocks is that of a hash; any total order will do.
-
-        Blocks of equal hash are compared byte by byte with the one before, so ranks are exact or the work stops.
-        """
-        n, w = self.n, self.width
-        with np.errstate(over="ignore"):
-            h, have, base, at, total = flat.astype(np.uint64) + np.uint64(1), 1, np.uint64(0x100000001B3), 0, None
-            todo = w
-            while todo:
-                if todo & 1:
-                    total = h[at : at + n].copy() if total is None else total * base + h[at : at + n]
-                    at += have
-                todo >>= 1
-                if todo:
-                    h, have, base = h[:-have] * base + h[have:], 2 * have, base * base
-            total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.argsort(total)
-        total = total[order]
-        same = total[1:] == total[:-1]
-        words = np.ndarray((n + w - 7,), np.uint64, flat.tobytes() + bytes(8), strides=(1,))
-        one, two = order[1:][same], order[:-1][same]
-        for k in [*range(0, w - 7, 8), w - 8]:
-            if (words[one + k] != words[two + k]).any():
-                raise ArithmeticError("two blocks share a hash")
-        group = np.zeros(n, np.int32)
-        np.cumsum(~same, out=group[1:])
-        out = np.empty(n, np.int32)
-        out[order] = group
-        return out, int(group[-1]) + 1 if n else 0
-
-
-def shard_suffixes(t: Texts, shard: np.ndarray, blocks: int) -> np.ndarray:
-    """Positions in shard order, within a shard sorted by ``blocks`` symbols; empty suffixes first. ``shard`` is by position."""
-    order = np.arange(t.n)
-    place = t.offset + t.width * (blocks - 1)
-    for k in range(blocks - 1, -1, -1):  # from the last block to the first, stably; past the end comes before all
-        at = order + t.width * k
-        inside = place[order] < t.size[t.text[order]]
-        key = np.where(inside, t.symbol[np.minimum(at, t.n - 1)] + 1, 0)
-        order = order[stable_order(key)]
-        place = place - t.width
-    return order[np.argsort(shard[order].astype(np.uint16), kind="stable")]
-
-
-def merge(t: Texts, shard: np.ndarray, suffixes: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in merged order, interval number of each): equal numbers share ``rounds`` blocks, or end alike before."""
-    before = np.where(t.offset[suffixes] >= t.width, t.symbol[np.maximum(suffixes - t.width, 0)], -1).astype(np.int32)  # the transforms, end to end
-    own = shard[suffixes]
-    ends = own[t.empty[suffixes]]
-    source = own.copy()  # the interleave: at first shard after shard
-    interval = np.zeros(t.n, np.int32)
-    for _ in range(rounds):
-        read = np.empty(t.n, np.int64)
-        read[np.argsort(source, kind="stable")] = np.arange(t.n)  # where each rank's entry stands in its shard's transform
-        symbol = before[read]
-        has = np.flatnonzero(symbol >= 0)
-        dealt = has[stable_order(symbol[has])]
-        fresh = symbol[dealt]
-        under = interval[dealt]
-        new = np.ones(len(dealt), bool)
-        new[1:] = (fresh[1:] != fresh[:-1]) | (under[1:] != under[:-1])
-        source = np.concatenate([ends, source[dealt]])
-        interval = np.concatenate([np.zeros(len(ends), np.int32), np.cumsum(new, dtype=np.int32)])
-    read = np.empty(t.n, np.int64)
-    read[np.argsort(source, kind="stable")] = np.arange(t.n)
-    return suffixes[read], interval
+def block_ranks(flat: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Dense ranks of the blocks at ``places``. The order of blocks is that of a hash; any total order will do.
+
+    Blocks of equal hash are compared byte by byte with the one before, so ranks are exact or the work stops.
+    """
+    n = len(flat) - width + 1
+    with np.errstate(over="ignore"):
+        h, have, base, at, total, todo = flat.astype(np.uint64) + np.uint64(1), 1, np.uint64(0x100000001B3), 0, None, width
+        while todo:
+            if todo & 1:
+                total = h[at : at + n].copy() if total is None else total * base + h[at : at + n]
+                at += have
+            todo >>= 1
+            if todo:
+                h, have, base = h[:-have] * base + h[have:], 2 * have, base * base
+        total = total[places]
+        total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(total)
+    total = total[order]
+    same = total[1:] == total[:-1]
+    words = np.ndarray((n + max(0, width - 8),), np.uint64, flat.tobytes() + bytes(8), strides=(1,))
+    one, two = places[order[1:][same]], places[order[:-1][same]]
+    for k in {*range(0, width - 7, 8), max(0, width - 8)}:
+        if (words[one + k] != words[two + k]).any():
+            raise ArithmeticError("two blocks share a hash")
+    group = np.zeros(len(places), np.int32)
+    np.cumsum(~same, out=group[1:])
+    out = np.empty(len(places), np.int32)
+    out[order] = group
+    return out
+
+
+def shard_transforms(symbols: list[np.ndarray], shard: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For every level, from a window's start to its end: windows in shard order and sorted within, and the block before each.
+
+    ``symbols[k]`` is the block k steps on from a window's start; at the end (the last level) windows stay in order.
+    """
+    orders = [np.argsort(shard, kind="stable").astype(np.int32)]
+    for symbol in reversed(symbols):
+        order = orders[0][stable_order(symbol[orders[0]])]
+        orders.insert(0, order[np.argsort(shard[order], kind="stable")])
+    return orders, [symbols[k][orders[k + 1]] for k in range(len(symbols))]
+
+
+def merge(transforms: list[np.ndarray], orders: list[np.ndarray], shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows in merged order, number of the interval of each)."""
+    n = len(shard)
+    source = shard[orders[-1]]  # the interleave: at first shard after shard
+    interval = np.zeros(n, np.int32)
+    for k in range(len(transforms) - 1, -1, -1):
+        symbol = transforms[k][_read(source)]
+        dealt = stable_order(symbol)
+        symbol, interval, source = symbol[dealt], interval[dealt], source[dealt]
+        new = np.zeros(n, bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        interval = np.cumsum(new, dtype=np.int32)
+    return orders[0][_read(source)], interval
+
+
+def _read(source: np.ndarray) -> np.ndarray:
+    """Where the entry of each merged rank stands in the shards' lists laid end to end."""
+    out = np.empty(len(source), np.int32)
+    out[np.argsort(source, kind="stable")] = np.arange(len(source), dtype=np.int32)
+    return out
 
 
 def repeated_windows(texts: list[bytes], shard: np.ndarray, depth: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, offset, interval) of every window of ``depth`` bytes; equal windows have equal interval numbers.
 
-    ``shard`` gives the shard of each text, in 0..65535. ``depth`` must be a whole number of blocks.
+    Texts are at least ``depth`` bytes long; ``shard`` gives the shard of each, in 0..65535. ``depth`` must be a whole
+    number of blocks.
     """
     if depth % width:
         raise ValueError("depth must be a multiple of the width")
-    t = Texts(texts, width)
-    by_position = np.repeat(shard.astype(np.uint16), t.size + width)
-    suffixes = shard_suffixes(t, by_position, depth // width)
-    order, interval = merge(t, by_position, suffixes, depth // width)
-    whole = t.offset[order] + depth <= t.size[t.text[order]]
-    order, interval = order[whole], interval[whole]
-    return t.text[order], t.offset[order], interval
+    flat = np.frombuffer(b"".join(texts) or bytes(depth), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    count = size - depth + 1
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+    offset = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    if not len(text):
+        return text, offset, np.zeros(0, np.int32)
+    place = np.repeat(np.cumsum(size) - size, count) + offset
+    blocks = depth // width
+    ranks = block_ranks(flat, np.concatenate([place + width * k for k in range(blocks)]), width)
+    symbols = np.split(ranks, blocks)
+    by_window = np.repeat(shard.astype(np.uint8 if shard.max() < 256 else np.uint16), count)
+    orders, transforms = shard_transforms(symbols, by_window)
+    window, interval = merge(transforms, orders, by_window)
+    return text[window], offset[window], interval

@@ -28,9 +28,9 @@ from docloom.llm.bwt import repeated_windows
 
 LENGTH = 50
 PIECE = 25
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 KEY_BYTES = 6
-MERGE_BYTES = 8 << 20
+NO_ID = (1 << 63) - 1
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _B = np.uint64(0x100000001B3)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -125,18 +125,18 @@ def _rows(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
 
 
 def deduplicate(
-    docs: DataFrame, length: int = LENGTH, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, merge_bytes: int = MERGE_BYTES,
-    text_out: bool = False,
+    docs: DataFrame, length: int = LENGTH, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, text_out: bool = False,
 ) -> DataFrame:
     """One row per document, see ``SCHEMA``; with ``text_out`` also ``kept``, the bytes left.
 
     Texts are UTF-8 bytes; null is empty; texts shorter than ``length`` lose nothing. Rows of equal doc_id don't
-    count against each other. Extra columns are ignored; an empty table gives an empty result. Whole texts are read.
+    count against each other; a null doc_id counts as larger than any other. Extra columns are ignored; an empty table gives an empty result. Whole texts are read.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long"), body.alias("body"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(shards)).cast("int").alias("shard"))
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    dealt = docs.select(ids.alias("doc_id"), body.alias("body"), F.pmod(F.xxhash64(ids), F.lit(shards)).cast("int").alias("shard"))
     dealt = dealt.repartition(2 * shards, "shard")
 
     def fingerprints(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +289,11 @@ def deduplicate(
                 base = np.repeat(start, n)
                 np.add.at(change, base + a[pick], 1)
                 np.add.at(change, base + b[pick] + length, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         rise = gone.copy()
         rise[1:] &= ~gone[:-1]
         rise[s.begin[s.size > 0]] = gone[s.begin[s.size > 0]]
-        total_gone, total_rise = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(rise))
+        total_gone, total_rise = (np.append(np.int32(0), np.cumsum(x, dtype=np.int32)) for x in (gone, rise))
         end = s.begin + s.size
         removed = total_gone[end] - total_gone[s.begin]
         spans = total_rise[end] - total_rise[s.begin]
@@ -301,4 +301,5 @@ def deduplicate(
         columns = [s.ids, s.size, removed, spans, [hashlib.sha256(k).hexdigest() for k in kept]] + [kept] * text_out
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, out_kinds, strict=True)], names=[n for n, _ in out_kinds])
 
-    return dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(apply, schema)
+    found = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(apply, schema)
+    return found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
