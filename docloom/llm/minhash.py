@@ -5,9 +5,11 @@ Texts of equal content are one class from the start. The rest of the work is on
 1. Document frequencies of five-word shingles, over all documents, in a sketch of fixed width (one hashed counter row,
    so a frequency is never too low, and too high by the mean load at most in expectation).
 2. ``HASHES`` consistent weighted samples a document; ``ROWS`` of them make a band, equal bands make a bucket.
-3. In a bucket each text is verified against the bucket's smallest doc_id by weighted Jaccard similarity. Texts that
-   fail are verified against every text of the bucket that is not linked to them yet, so no link is lost.
-4. Components of the verified links are the classes.
+3. In a bucket each text is verified against the bucket's smallest doc_id by weighted Jaccard similarity.
+4. Buckets in which a text failed are joined within: texts are dealt into chunks of bounded size, each pair of chunks is a
+   group that compares all its texts through posting lists and gives out a spanning forest of its links. So no link is
+   lost and no pairs are listed.
+5. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCH_BITS = 20
 BANDS, ROWS = 8, 2
+CHUNK = 512
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -222,12 +225,81 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest (lower, higher number) of the links among texts given as shingles and counts.
+
+    A shingle that stands k times is k tokens, so the sum of minima is the weight of common tokens. Each text is compared
+    through the posting lists of its tokens with all texts before it.
+    """
+    bits = int(len(idf)).bit_length() - 1
+    tokens, owner = [], []
+    with np.errstate(over="ignore"):
+        for i, (h, tf) in enumerate(found):
+            nth = np.arange(int(tf.sum())) - np.repeat(np.cumsum(tf) - tf, tf)
+            tokens.append(np.repeat(h, tf) + nth.astype(np.uint64) * _M1)
+            owner.append(np.full(len(nth), i))
+    weight = np.concatenate([np.repeat(idf[_cells(h, bits)], tf) for h, tf in found])
+    size = np.array([len(t) for t in tokens])
+    total = np.bincount(np.concatenate(owner), weight, len(found))
+    _, token = np.unique(np.concatenate(tokens), return_inverse=True)
+    owner = np.concatenate(owner)
+    order = np.argsort(token, kind="stable")  # postings: texts of a token in order
+    place = np.empty(len(token), np.int64)
+    place[order] = np.arange(len(token))
+    first = np.searchsorted(token[order], token)
+    before = place - first  # postings ahead of this one
+    begin = np.cumsum(size) - size
+    parent = list(range(len(found)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for x in range(len(found)):
+        mine = slice(begin[x], begin[x] + size[x])
+        n = before[mine]
+        if not n.any():
+            continue
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        low = np.bincount(owner[order[at]], np.repeat(weight[mine], n), x + 1)
+        for y in np.flatnonzero(low[:x] >= least * (total[x] + total[:x] - low[:x]) - 1e-9):
+            if low[y] > 0 and low[y] / (total[x] + total[y] - low[y]) >= least:
+                a, b = sorted((root(int(y)), root(x)))
+                if a != b:
+                    parent[b] = a
+                    out.append((int(y), x))
+    return out
+
+
+def _within(members: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """Links (a, b) within the buckets of ``members(band, key, doc, n)``, chunk by chunk of at most about ``CHUNK`` texts."""
+
+    def join(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ids, found = Shingles().of, [], []
+        for batch in batches:
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+                ids.append(doc)
+                found.append(of(text.as_py()))
+        edges = linked(found, idf.value, least)
+        yield pa.RecordBatch.from_arrays([pa.array([ids[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("doc", F.lit(23)), chunks).cast("int")
+    dealt = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc")
+    wide = dealt.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return wide.groupBy("band", "key", "i", "j").applyInArrow(join, "a long, b long").where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), kept (doc_id = class_id).
 
     Null texts count as empty; equal texts, empty ones too, are one class. Texts of fewer than five words match only
     equal word sequences. Rows of the same doc_id count as one document and come back once; the class is that of
-    any of its texts. Extra columns are ignored. An empty table gives an empty result. Texts are read whole.
+    any of its texts. Rows without a doc_id come back as one row, kept, and link with nothing. Extra columns are ignored. An empty table gives an empty result. Texts are read whole.
     """
     counts, n = document_frequencies(docs)
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(counts, n))  # 2**SKETCH_BITS numbers, whatever the corpus
@@ -237,26 +309,23 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     copies = light.join(reps.where("n > 1").select("text_key", "rep"), "text_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     entries = reps.where("bands is not null").select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = settle(entries.join(buckets, ["band", "key"]), "buckets")
+    buckets = entries.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    buckets = settle(buckets, "buckets")
+    member = settle(entries.join(buckets.drop("n"), ["band", "key"]), "members")
     pairs = settle(member.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), "doc_id")
     texts = settle(chosen.dropDuplicates(["doc_id", "text"]), "candidates")
     links = settle(_verify(pairs, texts, idf, least), "links")
 
     failed = member.join(pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("doc")), ["lead", "doc"])
-    first = components(links)
-    failed = failed.join(first.withColumnsRenamed({"id": "doc", "component": "c"}), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-    others = member.join(first.withColumnsRenamed({"id": "doc", "component": "o"}), "doc", "left").select("band", "key", F.col("doc").alias("other"), F.coalesce("o", "doc").alias("o"))
-    again = failed.join(others, ["band", "key"]).where("o <> c and other <> lead and other <> doc")
-    rest = again.select(F.greatest("doc", "other").alias("b"), F.least("doc", "other").alias("a")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = settle(_verify(settle(rest.select("a", "b"), "rest"), texts, idf, least), "links")
+    open_ = failed.select("band", "key").distinct().join(buckets.select("band", "key", "n"), ["band", "key"]).where("n > 2")
+    more = settle(_within(member.join(open_, ["band", "key"]), texts, idf, least), "links")
 
     found = components(links.union(more).union(copies))
     ids = light.select("doc_id").distinct()
     return (
         ids.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         .select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("class_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
     )
