@@ -605,6 +605,35 @@ def lints_emphasis(spark, sf_dir):
     return made.where("surface = 'escalation'").groupBy("surface").agg(F.count("*").alias("n"), F.count_if("heavy").alias("n_heavy"))
 
 
+# ---- plans, diagnostics ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, right(text, 90) AS tail, CAST(length(text) AS INT) AS chars FROM conversations")
+def tail_diagnostics(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.right("text", F.lit(90)).alias("tail"), F.length("text").alias("chars"))
+
+
+@query(f"WITH {_TOKENS} SELECT l_orderkey, array_to_string(ids[1:3], ',') AS ids FROM t")
+def truncated_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("l_orderkey", F.array_join(masking.truncated(F.col("ids"), 3), ",").alias("ids"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', {n})" for s, n in knobs.BATCH_PLAN.items()) + ") p(surface, planned)")
+def batch_plan(spark, sf_dir):
+    return spark.createDataFrame(list(knobs.BATCH_PLAN.items()), "surface string, planned int")
+
+
+@query("SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), c_name) AS amount FROM customer")
+def normalised_amounts(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", bundle.normalised_amount(F.nullif("c_mktsegment", F.lit("BUILDING")), F.col("c_name")).alias("amount"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' - INTERVAL 30 DAY GROUP BY 1")
+def recent_activity(spark, sf_dir):
+    as_of = F.lit("2024-01-15").cast("date")
+    return table(spark, sf_dir, "events").where(bundle.since(F.col("ts"), as_of, 30)).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
