@@ -62,6 +62,7 @@ def edge_cases(entries: Column, include_canonical: bool = False) -> Column:
 
 def prompt(surface: Column, account_shape: Column, cases: Column, mix: Column, hint: Column | None = None) -> Column:
     """The slot-filled user prompt; absent slots have no line."""
+    # The wording of the lines.
     rows = [
         F.lit("Generate one synthetic example with these parameters:"), F.lit(""),
         F.concat(F.lit("- surface: "), surface), F.concat(F.lit("- account_shape: "), account_shape),
