@@ -105,6 +105,23 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
         return ((_trim(values) * _M) >> np.uint64(33)) % np.uint64(buckets)
 
 
+def _squeeze(x: np.ndarray | bytes, steps: bool = False) -> bytes:
+    """Packed with its length in front; rising numbers are packed as steps."""
+    if steps:
+        x = np.diff(x.astype(np.int64), prepend=0).astype("<i4")
+    raw = x if isinstance(x, bytes) else x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _spread(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _numbers(blob: bytes, kind: str, steps: bool = False) -> np.ndarray:
+    x = np.frombuffer(_spread(blob), "<i4" if steps else kind)
+    return np.cumsum(x, dtype=np.int64) if steps else x
+
+
 class Shard:
     """The documents of a shard, in order of doc_id (equal ids in order of text), as one run of bytes."""
 
@@ -203,10 +220,10 @@ def deduplicate(
             at = order[cuts[b] : cuts[b + 1]]
             if len(at):
                 mine = [texts[i] for i in at.tolist()]
-                rows.append((f"b{b}", own, b"".join(mine), np.array([len(x) for x in mine], "<u4").tobytes(), s.ids[doc[first[at]]].astype("<i8").tobytes(), at.astype("<u4").tobytes()))
+                rows.append((f"b{b}", own, _squeeze(b"".join(mine)), _squeeze(np.array([len(x) for x in mine], "<u4")), _squeeze(s.ids[doc[first[at]]].astype("<i8")), _squeeze(at, True)))
         low = s.ids[doc[first]] if len(first) else np.zeros(0, np.int64)
         later = s.ids[doc] > low[stretch] if len(first) else np.zeros(0, bool)
-        rows.append((f"s{own}", own, start.astype("<u4").tobytes(), count.astype("<u4").tobytes(), later.tobytes(), stretch.astype("<u4").tobytes()))
+        rows.append((f"s{own}", own, _squeeze(start, True), _squeeze(count.astype("<u4")), _squeeze(later), _squeeze(stretch, True)))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     sent = dealt.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(cut, piece_schema)
@@ -222,7 +239,7 @@ def deduplicate(
         number, owner, low, local = [], [], [], []
         origin: list[int] = []
         for i in range(found.num_rows):
-            flat, sizes = found.column("bodies")[i].as_py(), np.frombuffer(found.column("sizes")[i].as_py(), "<u4").astype(np.int64)
+            flat, sizes = _spread(found.column("bodies")[i].as_py()), _numbers(found.column("sizes")[i].as_py(), "<u4").astype(np.int64)
             ends = np.cumsum(sizes)
             mine = np.empty(len(sizes), np.int64)
             for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
@@ -230,7 +247,7 @@ def deduplicate(
                 if g == len(origin):
                     origin.append(i)
             number.append(mine), owner.append(np.full(len(sizes), i))
-            low.append(np.frombuffer(found.column("low")[i].as_py(), "<i8")), local.append(np.frombuffer(found.column("local")[i].as_py(), "<u4"))
+            low.append(_numbers(found.column("low")[i].as_py(), "<i8")), local.append(_numbers(found.column("local")[i].as_py(), "", True))
         number, owner, low, local = (np.concatenate(x) for x in (number, owner, low, local))
         texts = list(distinct)
         least = np.full(len(texts), np.iinfo(np.int64).max)
@@ -257,7 +274,8 @@ def deduplicate(
             mine = owner[row[a]] == i
             if mine.any():
                 parts = (local[row[a[mine]]], at[a[mine]], at[b[mine]])
-                yield _rows([("shard", pa.int32(), [int(shard[i])]), *((n, pa.binary(), [x.astype("<u4").tobytes()]) for n, x in zip(("bodies", "sizes", "low"), parts, strict=True)), ("local", pa.binary(), [None])])
+                blobs = [(n, pa.binary(), [_squeeze(x.astype("<u4"))]) for n, x in zip(("bodies", "sizes", "low"), parts, strict=True)]
+                yield _rows([("shard", pa.int32(), [int(shard[i])]), *blobs, ("local", pa.binary(), [None])])
 
     told = sent.repartition(4 * shards, "target").groupBy("target").applyInArrow(merged, "shard int, bodies binary, sizes binary, low binary, local binary")
     schema = SCHEMA + (", kept binary" if text_out else "")
@@ -270,9 +288,9 @@ def deduplicate(
         plan, elsewhere = None, []
         for r in right.to_pylist():
             if r["local"] is None:
-                elsewhere.append([np.frombuffer(r[x], "<u4").astype(np.int64) for x in ("bodies", "sizes", "low")])
+                elsewhere.append([_numbers(r[x], "<u4").astype(np.int64) for x in ("bodies", "sizes", "low")])
             else:
-                plan = [np.frombuffer(r["bodies"], "<u4").astype(np.int64), np.frombuffer(r["sizes"], "<u4").astype(np.int64), np.frombuffer(r["low"], bool), np.frombuffer(r["local"], "<u4").astype(np.int64)]
+                plan = [_numbers(r["bodies"], "", True), _numbers(r["sizes"], "<u4").astype(np.int64), _numbers(r["low"], "?"), _numbers(r["local"], "", True)]
         change = np.zeros(len(s.flat) + 1, np.int32)
         if plan is not None and len(plan[0]):
             start, count, later, stretch = plan
