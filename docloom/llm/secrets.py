@@ -26,7 +26,7 @@ LEAST = {"assign": 12, "access": 18}
 # Weak parts; each kind names the side of a credential that it can be.
 ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>|]+", re.A)
 USER = re.compile(r"""\b(?:user(?:_?name)?|login|client_id|access_key(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.I | re.A)
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=.-])", re.A)
+BARE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=.-])", re.A)
 KINDS = ("assign", "access", "hex", "endpoint", "user", "secret")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 _BREAK = re.compile(r"\n[ \t]*\n")
@@ -64,25 +64,25 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 300)
     if not weak:
         return []
     walls = [m.start() for m in _BREAK.finditer(text)]
-    sides = {"id": [], "secret": [], "place": []}
+    sides = {"id": ([], []), "secret": ([], []), "place": ([], [])}  # starts and ends
     side = {"access": "id", "user": "id", "assign": "secret", "hex": "secret", "assign?": "secret", "secret": "secret", "endpoint": "place"}
     for a, b, kind in base + weak:
-        sides[side[kind]].append(a)
-    for starts in sides.values():
+        for ends, at in zip(sides[side[kind]], (a, b), strict=True):
+            ends.append(at)
+    for starts, ends in sides.values():
         starts.sort()
+        ends.sort()
 
     def near(a: int, b: int, which: str) -> bool:
         k = bisect_right(walls, a)
         lo = max(a - reach, walls[k - 1] if k else 0)
         hi = min(b + reach, walls[k] if k < len(walls) else len(text))
-        starts = sides[which]
-        return bisect_left(starts, hi) > bisect_left(starts, lo)
+        starts, ends = sides[which]
+        return bisect_left(starts, hi) > bisect_right(ends, lo)  # begun before the scope's end, less those over by its begin
 
     out = []
     for a, b, kind in weak:
-        mine = side[kind]
-        has_id, has_secret = mine == "id" or near(a, b, "id"), mine == "secret" or near(a, b, "secret")
-        if has_id and has_secret:
+        if any(near(a, b, which) for which in sides if which != side[kind]):
             out.append((a, b, "secret" if kind == "assign?" else kind))
     return out
 
