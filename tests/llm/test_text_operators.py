@@ -195,6 +195,30 @@ def test_mixing_keeps_all_rows_and_slots_follow_the_blocks(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_every_prefix_follows_the_target_weights(spark):
+    """3,000 blocks, with a hot source and one of hardly any weight: under one block off the target, not off rounded weights."""
+    sizes = {"hot": 2000, "tiny": 1} | {f"s{i:02}": 37 + i for i in range(20)}
+    weights = {"hot": 0.2034567, "tiny": 1e-5} | {f"s{i:02}": 0.03 + i / 1013 for i in range(20)}
+    docs = frame(spark, ["x" * 10] * sum(sizes.values()), sources=[s for s, n in sizes.items() for _ in range(n)])
+    rows = mixing.mix(docs, weights, block_chars=10).orderBy("mix_slot").collect()
+    assert Counter(r.mix_source for r in rows) == sizes and len({r.mix_slot for r in rows}) == len(rows)
+    total, seen = sum(weights.values()), Counter()
+    for r in rows:
+        w = weights[r.mix_source] / total
+        seen[r.mix_source] += 1
+        assert r.mix_block == seen[r.mix_source] - 1 and int(r.mix_block / w + 1e-9) <= r.mix_slot < (r.mix_block + 1) / w + 1
+        for s, n in seen.items():
+            assert n == sizes[s] or abs(n - (r.mix_slot + 1) * weights[s] / total) < 1 + 1e-9
+
+
+def test_schedule_of_weights_without_a_common_period():
+    weights = {"a": 0.1, "b": 0.7**9, "c": 1e-12, "d": 0.0}
+    found = list(mixing.place(mixing.exact_shares(weights), {"a": 500, "b": 700, "c": 3, "d": 4}))
+    assert len(found) == 1207 and len({t for t, _, _ in found}) == 1207 and [s for _, s, _ in found[-4:]] == ["d"] * 4
+    total = sum(weights.values())
+    assert all(j * total <= (t + 1) * weights[s] + 1e-9 and t * weights[s] < (j + 1) * total + 1e-9 for t, s, j in found if s != "d")
+
+
 # ---- line dedup ----
 
 
