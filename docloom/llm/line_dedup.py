@@ -7,8 +7,11 @@ doubling ends once prefixes reach ``min_lines``: longer common prefixes delete n
 longest-common-prefix intervals of that length; runs of overlapping intervals are the maximal repeated runs.
 
 A line is deleted if it lies in a run of ``min_lines`` lines that also starts at an earlier position (smaller doc_id,
-or the same document further up), or if it has ``min_words`` words itself and an earlier equal line. Everything
-is judged on the input, so the result doesn't depend on order of work.
+or the same document further up), or if it has ``min_words`` words itself and an earlier equal line. With
+``run_words`` shorter runs count by what they hold: a run of any number of lines that starts at an earlier position
+too is deleted if its lines have ``run_words`` words or ``RUN_CHARS`` characters together; the characters are for scripts
+that have no blanks between words. Words are parted by any white space. Everything is judged on the input, so the
+result doesn't depend on order of work.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from docloom.llm.common import settle
 
 MIN_LINES = 4
 MIN_WORDS = 10
+# What the registered query and the pipeline use.
+RUN_WORDS = 3
+RUN_CHARS = 16
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -36,33 +42,37 @@ def _ranked(keys: DataFrame, by: list[str], length: int) -> DataFrame:
     first = F.min(F.struct("doc", "pos")).alias("first")
     classes = keys.groupBy(*by).agg(F.count("*").alias("members"), first).where("members > 1")
     classes = settle(classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()).drop("members"), f"lines{length}")
-    return keys.join(classes, by).select("doc", "pos", "rank", "words", (F.struct("doc", "pos") > F.col("first")).alias("later"))
+    return keys.join(classes, by).select("doc", "pos", "rank", "words", "chars", (F.struct("doc", "pos") > F.col("first")).alias("later"))
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pos, reach): from position pos on, the next ``reach`` lines have an earlier copy. Distinct."""
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
+    """(doc, pos, reach): from position pos on, the next ``reach`` lines have an earlier copy."""
     if min_lines < 2 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     body = F.trim("line")
-    blanks = F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit("")))
     keys = _lines(docs).select(
         "doc", "pos", F.xxhash64(body).alias("a"), F.xxhash64(F.lit(17), F.reverse(body)).alias("b"),
-        F.when(body == "", 0).otherwise(blanks + 1).alias("words"),
+        F.regexp_count(body, F.lit(r"(?U)\S+")).alias("words"), F.length(body).alias("chars"),
     )
     keys = settle(keys, "lines")
-    state = settle(_ranked(keys, ["a", "b"], 1), "suffixes")
-    found = state.where(F.col("later") & (F.col("words") >= min_words)).select("doc", "pos", F.lit(1).alias("reach"))
-    h = 1
-    while h < min_lines:
-        follow = state.select("doc", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
-        pairs = state.join(follow, ["doc", "pos"]).select("doc", "pos", "words", "rank", "next")
+    enough = F.lit(False) if run_words is None else (F.col("words") >= run_words) | (F.col("chars") >= RUN_CHARS)
+    states = {1: settle(_ranked(keys, ["a", "b"], 1), "suffixes")}
+    found = states[1].where(F.col("later") & ((F.col("words") >= min_words) | enough)).select("doc", "pos", F.lit(1).alias("reach"))
+    for n in range(2, min_lines + 1):
+        h = 1 << (n - 1).bit_length() - 1
+        if run_words is None and n != 2 * h:
+            continue
+        sums = [(F.col(c) + F.col(f"next_{c}")).alias(c) for c in ("words", "chars")]
+        follow = states[n - h].select("doc", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"), *[F.col(c).alias(f"next_{c}") for c in ("words", "chars")])
+        pairs = states[h].join(follow, ["doc", "pos"]).select("doc", "pos", *sums, "rank", "next")
         pairs = settle(pairs, "pairs").withColumnRenamed("rank", "here")
-        state = settle(_ranked(pairs, ["here", "next"], 2 * h), "suffixes")
-        h *= 2
-    return found.union(state.where("later").select("doc", "pos", F.lit(h)))
+        states[n] = settle(_ranked(pairs, ["here", "next"], n), "suffixes")
+        cut = states[n].where("later") if n == min_lines else states[n].where(F.col("later") & enough)
+        found = found.union(cut.select("doc", "pos", F.lit(n)))
+    return found
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated line runs cut from ``text``, and column ``lines_removed``.
 
     Every row comes back once and other columns stay as they are; n_chars, where present, is brought up to date. Null
@@ -71,7 +81,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     an empty result.
     """
     gone = (
-        repeated_lines(docs, min_lines, min_words)
+        repeated_lines(docs, min_lines, min_words, run_words)
         .select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("reach") - 1)).alias("pos"))
         .groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
     )

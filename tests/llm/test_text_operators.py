@@ -250,6 +250,28 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_cuts_short_runs_by_their_words(spark, tmp_path):
+    rng = random.Random(11)
+    pool = ["a", "b", "c d", "e f", "g h i", "一二三四五六七八九十一二三四五六", "x", "y\tz\u00a0w", "", "k l m n o p q r s"]
+    texts = ["\n".join(rng.choice([*pool, *(words(rng, 3) for _ in range(9))]) for _ in range(rng.randint(0, 14))) for _ in range(40)]
+    lines = [t.split("\n") for t in texts]
+    gone = set()
+    for n in range(1, 5):
+        first = {}
+        for i, ls in enumerate(lines):
+            for p in range(len(ls) - n + 1):
+                run = tuple(ls[p : p + n])
+                if first.setdefault(run, (i, p)) < (i, p) and (n == 4 or len(" ".join(run).split()) >= 3 or sum(map(len, run)) >= 16):
+                    gone |= {(i, p + k) for k in range(n)}
+    want = {i: "\n".join(x for p, x in enumerate(ls) if (i, p) not in gone) for i, ls in enumerate(lines)}
+    found = line_dedup.dedup_lines(frame(spark, texts), run_words=line_dedup.RUN_WORDS).collect()
+    assert {r.doc_id: r.text for r in found} == want and len(gone) > 50
+    from docloom.llm import queries
+
+    frame(spark, ["All rights reserved.\none", "two\nAll rights reserved."]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.lines_removed for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 1}
+
+
 # ---- minhash ----
 
 
