@@ -240,14 +240,18 @@ def pack(
     A null or empty text is the end id alone; very long texts are cut into whole windows first. Repeated rows are
     separate documents. Columns other than id and text are ignored. An empty table gives an empty result. Sequence
     ids are unique: partition number times 2**32 plus a running number. Offsets run from 0 without gaps.
+
+    With ``order_col`` documents are packed in its order over the whole table, wherever they lie (one shuffle): pools
+    are consecutive stretches of it, and sequence ids follow it, within a pool by the first document of a sequence.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(tokenizer_path).encode
         serial = TaskContext.get().partitionId() << 32
         out: list[list] = [[] for _ in range(7)]
-        tails: list[tuple[int, int, int, np.ndarray]] = []  # doc, ids before, ids of the document, ids
-        held = 0
+        tails: list[tuple[int, int, int, np.ndarray, int]] = []  # doc, ids before, ids of the document, ids, place
+        firsts: list[int] = []  # place of the first document of each sequence of the pool
+        held = place = 0
 
         def put(doc: int, start: int, ids: np.ndarray, total: int, offset: int) -> None:
             for column, value in zip(out, (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, serial, offset), strict=True):
@@ -258,11 +262,18 @@ def pack(
             for row in lay_out([len(t[3]) for t in tails], capacity):
                 at = 0
                 for item, start, n in row:
-                    doc, before, total, ids = tails[item]
+                    doc, before, total, ids, _ = tails[item]
                     put(doc, before + start, ids[start : start + n], total, at)
                     at += n
+                firsts.append(min(tails[item][4] for item, _, _ in row))
                 serial += 1
+            if order_col:
+                begin = serial - len(firsts)
+                rank = np.empty(len(firsts), np.int64)
+                rank[np.argsort(firsts, kind="stable")] = np.arange(len(firsts))
+                out[5][:] = [begin + int(rank[x - begin]) for x in out[5]]
             tails.clear()
+            firsts.clear()
             held = 0
             made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[f.split()[0] for f in SCHEMA.split(", ")])
             for column in out:
@@ -275,13 +286,18 @@ def pack(
                 whole = len(ids) // capacity * capacity
                 for at in range(0, whole, capacity):
                     put(doc, at, ids[at : at + capacity], len(ids), 0)
+                    firsts.append(place)
                     serial += 1
                 if whole < len(ids):
-                    tails.append((doc, whole, len(ids), ids[whole:].copy()))
+                    tails.append((doc, whole, len(ids), ids[whole:].copy(), place))
                     held += len(ids) - whole
+                place += 1
                 if held >= pool_tokens or len(out[0]) >= 100_000:
                     yield close()
         if tails or out[0]:
             yield close()
 
+    if order_col:
+        by = [F.col(order_col), F.col(id_col), F.xxhash64(text_col)]
+        docs = docs.select(order_col, id_col, text_col).repartitionByRange(*by).sortWithinPartitions(*by)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)

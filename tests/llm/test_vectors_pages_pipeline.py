@@ -151,3 +151,24 @@ def test_pipeline_stages(spark):
         docs, before = out, out.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() > 100
+
+
+def test_packed_sequences_follow_the_schedule(spark):
+    """Over partitions every document of an earlier one is due before those of a later one; inside, sequences go by their first document."""
+    import corpus_pipeline
+
+    from docloom.llm import mixing
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["doc_id"]).orderBy("text").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed = corpus_pipeline.pack_windows(spark, docs, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    slot = {r.doc_id: (r.mix_slot, -1 if r.doc_id is None else r.doc_id) for r in mixing.mix(docs).collect()}
+    first = {}
+    for r in packed:
+        first[r.sequence_id] = min(first.get(r.sequence_id, slot[r.doc_id]), slot[r.doc_id])
+    order = [first[s] for s in sorted(first)]
+    assert {r.doc_id for r in packed} == set(slot) and len({s >> 32 for s in first}) > 1 and order == sorted(order)
