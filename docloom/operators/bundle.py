@@ -68,17 +68,24 @@ def newest(entries: Column, most: int = 5) -> Column:
     return F.slice(F.reverse(F.array_sort(entries)), 1, most)
 
 
-def top_similar(vectors: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+def top_similar(vectors: DataFrame, asked: DataFrame, k: int = 5, vector_block: int = 4096, question_block: int = 1024) -> DataFrame:
     """Per question (q_id, q) the k most similar vectors (vec_id, embedding) by cosine, ties to the smaller id.
 
-    The questions are the stated, bounded side and are broadcast; the ranking is limited in each task before the shuffle.
+    Neither side is bounded: both are dealt into blocks, every block of questions meets every block of vectors by key,
+    and only the k best of a question in a pair of blocks go on to its final ranking.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v, q = F.col("embedding"), F.col("q")
-    cosine = dot(v, q) / (F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
-    scored = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", cosine.alias("similarity"))
-    r = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id"))
-    return scored.withColumn("rank", r).where(F.col("rank") <= k)
+    rows, questions = (max(1, -(-df.count() // n)) for df, n in ((vectors, vector_block), (asked, question_block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = vectors.select("vec_id", v, F.sqrt(dot(v, v)).alias("_v"), block("vec_id", rows).alias("_rows"), every(questions).alias("_questions"))
+    right = asked.select("q_id", q, F.sqrt(dot(q, q)).alias("_q"), block("q_id", questions).alias("_questions"), every(rows).alias("_rows"))
+    met = left.hint("merge").join(right, ["_rows", "_questions"]).where(F.col("vec_id") != F.col("q_id"))
+    scored = met.select("_rows", "_questions", "q_id", "vec_id", (dot(v, q) / (F.col("_v") * F.col("_q"))).alias("similarity"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "vec_id"))
+    best = scored.withColumn("rank", rank("_rows", "_questions", "q_id")).where(F.col("rank") <= k)
+    return best.select("q_id", "vec_id", "similarity").withColumn("rank", rank("q_id")).where(F.col("rank") <= k)
 
 
 def normalised_amount(mrr: Column, amount: Column) -> Column:

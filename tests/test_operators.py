@@ -189,3 +189,25 @@ def test_score_plan_has_no_python_and_one_parse(spark):
     df = spark.createDataFrame([("a", "{}")], "id string, raw string")
     plan = metrics.score(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_top_similar_in_blocks_equals_brute_force(spark):
+    import math
+    import random
+
+    from docloom.operators import bundle
+    from docloom.plans import queries as own
+
+    rng = random.Random(12)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(90)]  # many ties
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 5 = 0").selectExpr("vec_id as q_id", "embedding as q")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    cosine = lambda a, b: dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+    want = {(i, r + 1, j) for i, a in rows if i % 5 == 0 for r, (_, j) in enumerate(sorted((-cosine(b, a), j) for j, b in rows if j != i)[:4])}
+    found = bundle.top_similar(vectors, asked, 4, vector_block=17, question_block=4)
+    assert {(r.q_id, r["rank"], r.vec_id) for r in found.collect()} == want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    sf = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    assert {r.q_id for r in own.queries()["top_similar_every_50th"](spark, sf).collect()} == ids
