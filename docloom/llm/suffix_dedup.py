@@ -4,9 +4,9 @@ Documents are dealt into shards by a hash of doc_id. Two passes bring together w
 
 1. Every shard selects fingerprints of its windows (the least hash of the pieces of ``PIECE`` bytes in a window, so equal
    windows select alike). Buckets of fingerprints find those that more than one document has.
-2. Stretches of windows under such a fingerprint go to its bucket, each distinct one once a shard. Equal stretches of
-   several shards fold into one. The bucket builds the Burrows-Wheeler transform of every shard's stretches, merges them
-   by interleave refinement to a depth of ``LENGTH`` bytes, and finds the least doc_id of every repeated interval.
+2. Stretches of windows under such a fingerprint go to its bucket, each distinct one once a shard. A stretch that several
+   shards send counts as one of the first. The bucket builds the Burrows-Wheeler transform of each shard's stretches, merges the
+   transforms by interleave refinement to a depth of ``LENGTH`` bytes, and finds the least doc_id of every repeated interval.
    A shard hears which windows have a smaller doc_id elsewhere, and cuts the bytes.
 
 A bucket gets one copy of a stretch from a shard however many documents hold it, so common passages and large groups of
@@ -16,6 +16,7 @@ copies stay small. The shuffled documents are used by three steps of one query;
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,7 +29,9 @@ from docloom.llm.bwt import repeated_windows
 
 LENGTH = 50
 PIECE = 25
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
+EXPAND = 1 << 20
 KEY_BYTES = 6
 NO_ID = (1 << 63) - 1
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -105,21 +108,26 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
         return ((_trim(values) * _M) >> np.uint64(33)) % np.uint64(buckets)
 
 
-def _squeeze(x: np.ndarray | bytes, steps: bool = False) -> bytes:
-    """Packed with its length in front; rising numbers are packed as steps."""
-    if steps:
-        x = np.diff(x.astype(np.int64), prepend=0).astype("<i4")
-    raw = x if isinstance(x, bytes) else x.tobytes()
+def _squeeze(*parts: np.ndarray | bytes) -> bytes:
+    """Several arrays packed as one blob, their lengths and that of the whole in front."""
+    parts = [x if isinstance(x, bytes) else x.tobytes() for x in parts]
+    raw = b"".join([np.array([len(parts), *map(len, parts)], "<u4").tobytes(), *parts])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _spread(blob: bytes) -> bytes:
-    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+def _spread(blob: bytes) -> list[memoryview]:
+    raw = memoryview(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd"))
+    n = int(np.frombuffer(raw[:4], "<u4")[0])
+    at = 4 + 4 * n + np.append(0, np.cumsum(np.frombuffer(raw[4 : 4 + 4 * n], "<u4").astype(np.int64)))
+    return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _numbers(blob: bytes, kind: str, steps: bool = False) -> np.ndarray:
-    x = np.frombuffer(_spread(blob), "<i4" if steps else kind)
-    return np.cumsum(x, dtype=np.int64) if steps else x
+def _steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising.astype(np.int64), prepend=0).astype("<i4")
+
+
+def _sums(part: memoryview) -> np.ndarray:
+    return np.cumsum(np.frombuffer(part, "<i4"), dtype=np.int64)
 
 
 class Shard:
@@ -142,7 +150,7 @@ def _rows(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
 
 
 def deduplicate(
-    docs: DataFrame, length: int = LENGTH, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, text_out: bool = False,
+    docs: DataFrame, length: int = LENGTH, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, text_out: bool = False,
 ) -> DataFrame:
     """One row per document, see ``SCHEMA``; with ``text_out`` also ``kept``, the bytes left.
 
@@ -151,9 +159,10 @@ def deduplicate(
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
+    shards, buckets = (max(1, math.ceil(total / x)) for x in (shard_bytes, bucket_bytes))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    dealt = docs.select(ids.alias("doc_id"), body.alias("body"), F.pmod(F.xxhash64(ids), F.lit(shards)).cast("int").alias("shard"))
+    deal = F.pmod(F.xxhash64(ids, F.col("text")), F.lit(shards)).cast("int")  # rows that share an id, or have none, are spread too
+    dealt = docs.select(ids.alias("doc_id"), body.alias("body"), deal.alias("shard"))
     dealt = dealt.repartition(2 * shards, "shard")
 
     def fingerprints(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +177,11 @@ def deduplicate(
         last = np.append(at[1:], len(value)) - 1 if len(at) else at
         many = owner[at] != owner[last]
         value = value[at]
-        bucket = _bucket(value, shards)
+        bucket = _bucket(value, buckets)
         order = np.argsort(bucket, kind="stable")
         value, many, bucket = value[order], many[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(shards + 1, dtype=np.uint64))
-        some = [b for b in range(shards) if cuts[b] < cuts[b + 1]]
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         yield _rows([
             ("bucket", pa.int32(), some), ("shard", pa.int32(), [key[0].as_py()] * len(some)),
             ("keys", pa.binary(), [_pack(value[cuts[b] : cuts[b + 1]]) for b in some]),
@@ -189,10 +198,9 @@ def deduplicate(
         yield _rows([("shard", pa.int32(), found.column("shard").to_pylist()), ("keys", pa.binary(), out)])
 
     marks = dealt.groupBy("shard").applyInArrow(fingerprints, "bucket int, shard int, keys binary, many binary")
-    marks = marks.repartition(2 * shards, "bucket").groupBy("bucket").applyInArrow(shared, "shard int, keys binary")
+    marks = marks.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(shared, "shard int, keys binary")
 
-    piece_schema = "target string, shard int, bodies binary, sizes binary, low binary, local binary"
-    kinds = [("target", pa.string()), ("shard", pa.int32()), *((n, pa.binary()) for n in ("bodies", "sizes", "low", "local"))]
+    kinds = [("target", pa.string()), ("shard", pa.int32()), ("blob", pa.binary())]
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         """Distinct stretches for each bucket; the shard's own plan (document, start, stretch) goes along to itself."""
@@ -212,72 +220,73 @@ def deduplicate(
                 first.append(i)
             stretch[i] = k
         first = np.array(first, np.int64)
-        texts, bucket = list(seen), _bucket(value[first], shards)
+        texts, bucket = list(seen), _bucket(value[first], buckets)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(shards + 1, dtype=np.uint64))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
         rows = []
-        for b in range(shards):
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             at = order[cuts[b] : cuts[b + 1]]
-            if len(at):
-                mine = [texts[i] for i in at.tolist()]
-                rows.append((f"b{b}", own, _squeeze(b"".join(mine)), _squeeze(np.array([len(x) for x in mine], "<u4")), _squeeze(s.ids[doc[first[at]]].astype("<i8")), _squeeze(at, True)))
+            mine = [texts[i] for i in at.tolist()]
+            rows.append((f"b{b}", own, _squeeze(b"".join(mine), np.array([len(x) for x in mine], "<u4"), s.ids[doc[first[at]]].astype("<i8"), _steps(at))))
         low = s.ids[doc[first]] if len(first) else np.zeros(0, np.int64)
         later = s.ids[doc] > low[stretch] if len(first) else np.zeros(0, bool)
-        rows.append((f"s{own}", own, _squeeze(start, True), _squeeze(count.astype("<u4")), _squeeze(later), _squeeze(stretch, True)))
+        rows.append((f"s{own}", own, _squeeze(_steps(start), count.astype("<u4"), later, _steps(stretch))))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    sent = dealt.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(cut, piece_schema)
+    sent = dealt.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(cut, "target string, shard int, blob binary")
 
     def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a bucket: for each shard, the windows (stretch, from, to) whose least doc_id is below the shard's own."""
         found = pa.Table.from_batches(list(batches))
         if key[0].as_py()[0] == "s":  # a shard's plan passes through
-            yield from found.select(["shard", "bodies", "sizes", "low", "local"]).to_batches()
+            yield from found.append_column("plan", pa.array([True] * found.num_rows)).select(["shard", "plan", "blob"]).to_batches()
             return
-        shard = np.array(found.column("shard").to_numpy())
         distinct: dict[bytes, int] = {}
-        number, owner, low, local = [], [], [], []
-        origin: list[int] = []
-        for i in range(found.num_rows):
-            flat, sizes = _spread(found.column("bodies")[i].as_py()), _numbers(found.column("sizes")[i].as_py(), "<u4").astype(np.int64)
-            ends = np.cumsum(sizes)
-            mine = np.empty(len(sizes), np.int64)
-            for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
-                g = mine[k] = distinct.setdefault(flat[a:b], len(distinct))
-                if g == len(origin):
-                    origin.append(i)
-            number.append(mine), owner.append(np.full(len(sizes), i))
-            low.append(_numbers(found.column("low")[i].as_py(), "<i8")), local.append(_numbers(found.column("local")[i].as_py(), "", True))
-        number, owner, low, local = (np.concatenate(x) for x in (number, owner, low, local))
+        number, low, local, sender = [], [], [], []
+        for i, blob in enumerate(found.column("blob")):
+            flat, sizes, ids, places = _spread(blob.as_py())
+            flat, ends = bytes(flat), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
+            mine = [distinct.setdefault(flat[a:b], len(distinct)) for a, b in itertools.pairwise([0, *ends.tolist()])]
+            sender += [i] * (len(distinct) - len(sender))
+            number.append(np.array(mine, np.int32)), low.append(np.frombuffer(ids, "<i8")), local.append(_sums(places).astype(np.int32))
+        rows_end = np.cumsum([len(x) for x in number])
+        number, low, local = (np.concatenate(x) for x in (number, low, local))
         texts = list(distinct)
-        least = np.full(len(texts), np.iinfo(np.int64).max)
+        del distinct
+        least = np.full(len(texts), NO_ID)
         np.minimum.at(least, number, low)
-        size = np.array([len(x) for x in texts], np.int64)
-        begin = np.cumsum(size - length + 1) - (size - length + 1)
-        best = np.empty(int((size - length + 1).sum()), np.int64)  # least doc_id of every window
-        text, offset, interval = repeated_windows(texts, np.array(origin, np.int64) % 65_536, length)
-        if len(text):
-            edge = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
-            low_of = np.minimum.reduceat(least[text], edge)
-            best[begin[text] + offset] = np.repeat(low_of, np.diff(np.append(edge, len(text))))
-        windows = (size - length + 1)[number]
-        shift = np.cumsum(windows) - windows
-        at = np.arange(int(windows.sum())) - np.repeat(shift, windows)
-        row = np.repeat(np.arange(len(number)), windows)
-        hit = best[begin[number[row]] + at] < low[row]
-        row, at = row[hit], at[hit]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(row)) - 1 if len(a) else a
-        for i in range(found.num_rows):
-            mine = owner[row[a]] == i
-            if mine.any():
-                parts = (local[row[a[mine]]], at[a[mine]], at[b[mine]])
-                blobs = [(n, pa.binary(), [_squeeze(x.astype("<u4"))]) for n, x in zip(("bodies", "sizes", "low"), parts, strict=True)]
-                yield _rows([("shard", pa.int32(), [int(shard[i])]), *blobs, ("local", pa.binary(), [None])])
-
-    told = sent.repartition(4 * shards, "target").groupBy("target").applyInArrow(merged, "shard int, bodies binary, sizes binary, low binary, local binary")
+        windows = np.array([len(x) - length + 1 for x in texts], np.int64)
+        begin = np.cumsum(windows) - windows
+        best = np.empty(int(windows.sum()), np.int64)  # least doc_id of every window
+        text, offset, interval = repeated_windows(texts, np.minimum(sender, 65_535), length)  # shards beyond that are taken together
+        edge = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+        best[begin[text] + offset] = np.repeat(np.minimum.reduceat(least[text], edge), np.diff(np.append(edge, len(text))))
+        del text, offset, interval
+        all_hit = low > np.maximum.reduceat(best, begin)[number]
+        some_hit = np.flatnonzero(~all_hit & (low > np.minimum.reduceat(best, begin)[number]))
+        spans = [(np.flatnonzero(all_hit), np.zeros(int(all_hit.sum()), np.int64), windows[number[all_hit]] - 1)]
+        held = np.cumsum(windows[number[some_hit]])
+        for part in np.split(some_hit, np.searchsorted(held, np.arange(EXPAND, held[-1] if len(held) else 0, EXPAND))):
+            n = windows[number[part]]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            copy = np.repeat(part, n)
+            hit = best[np.repeat(begin[number[part]], n) + at] < low[copy]
+            copy, at = copy[hit], at[hit]
+            new = np.ones(len(copy), bool)
+            new[1:] = (copy[1:] != copy[:-1]) | (at[1:] != at[:-1] + 1)
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(copy)) - 1 if len(a) else a
+            spans.append((copy[a], at[a], at[b]))
+        copy, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
+        order = np.argsort(copy, kind="stable")
+        copy, a, b = copy[order], a[order], b[order]
+        cuts = np.searchsorted(copy, np.append(0, rows_end))
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        blobs = [_squeeze(*(x[cuts[i] : cuts[i + 1]].astype("<u4") for x in (local[copy], a, b))) for i in some]
+        shard = found.column("shard").to_pylist()
+        yield _rows([("shard", pa.int32(), [shard[i] for i in some]), ("plan", pa.bool_(), [False] * len(some)), ("blob", pa.binary(), blobs)])
+
+    told = sent.repartition(2 * (shards + buckets), "target").groupBy("target").applyInArrow(merged, "shard int, plan boolean, blob binary")
     schema = SCHEMA + (", kept binary" if text_out else "")
     out_kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * text_out
 
@@ -286,11 +295,12 @@ def deduplicate(
             return pa.Table.from_arrays([pa.array([], t) for _, t in out_kinds], names=[n for n, _ in out_kinds])
         s = Shard(left)
         plan, elsewhere = None, []
-        for r in right.to_pylist():
-            if r["local"] is None:
-                elsewhere.append([_numbers(r[x], "<u4").astype(np.int64) for x in ("bodies", "sizes", "low")])
+        for is_plan, blob in zip(right.column("plan").to_pylist(), right.column("blob"), strict=True):
+            parts = _spread(blob.as_py())
+            if is_plan:
+                plan = [_sums(parts[0]), np.frombuffer(parts[1], "<u4").astype(np.int64), np.frombuffer(parts[2], "?"), _sums(parts[3])]
             else:
-                plan = [_numbers(r["bodies"], "", True), _numbers(r["sizes"], "<u4").astype(np.int64), _numbers(r["low"], "?"), _numbers(r["local"], "", True)]
+                elsewhere.append([np.frombuffer(x, "<u4").astype(np.int64) for x in parts])
         change = np.zeros(len(s.flat) + 1, np.int32)
         if plan is not None and len(plan[0]):
             start, count, later, stretch = plan

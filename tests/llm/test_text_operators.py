@@ -60,6 +60,36 @@ def test_suffix_dedup(spark, seed, shard_bytes):
     assert got == removed(texts, ids, 50)
 
 
+def test_suffix_dedup_in_many_buckets(spark, monkeypatch):
+    """Repeated and missing ids, a group of copies over all shards, windows of which only some have an earlier copy."""
+    rng = random.Random(9)
+    common = words(rng, 30)
+    texts = [common[k:] + words(rng, 8) for k in range(0, 60, 3)] + [common] * 30 + [None, "", "ab" * 90]
+    ids = [rng.choice([7, 8, 9, rng.randint(0, 99)]) for _ in texts]
+    monkeypatch.setattr(suffix_dedup, "EXPAND", 40)
+    got = sorted(tuple(r)[:5] for r in suffix_dedup.deduplicate(frame(spark, texts, ids), shard_bytes=400, bucket_bytes=2_000).collect())
+    assert got == removed(texts, ids, 50)
+
+
+@pytest.mark.parametrize("depth", [1, 3, 8, 13, 50])
+def test_transforms_are_in_byte_order_shard_by_shard_and_merged(depth):
+    rng = random.Random(depth)
+    texts = [bytes(rng.choice(signs) for _ in range(rng.randint(depth, depth + 40))) for signs in (b"ab", b"a", bytes(range(256))) for _ in range(12)] * 2
+    shard = np.sort([rng.randrange(5) for _ in texts])
+    text, offset, interval = bwt.repeated_windows(texts, shard, depth)
+    windows = [texts[t][o : o + depth] for t, o in zip(text, offset, strict=True)]
+    assert windows == sorted(windows) and len(windows) == sum(len(t) - depth + 1 for t in texts)
+    assert all((a == b) == (i == j) for a, b, i, j in zip(windows, windows[1:], interval, interval[1:], strict=False))
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    symbol, width = bwt.blocks(flat, depth)
+    place = np.concatenate([np.arange(a, a + len(t) - depth + 1) for t, a in zip(texts, np.cumsum([0] + [len(t) for t in texts]), strict=False)])
+    of = np.repeat(shard, [len(t) - depth + 1 for t in texts]).astype(np.uint16)
+    own = bwt.Transforms(symbol, place, of, bwt.steps(depth, width))
+    for s in range(5):
+        mine = [bytes(flat[p : p + depth]) for p in place[own.order[of[own.order] == s]]]
+        assert mine == sorted(mine) and len(mine) == (of == s).sum()
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.deduplicate(frame(spark, [])).count() == 0
 
