@@ -11,16 +11,18 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SMOOTH = 1.5  # capacity between blocks of one element; class words weigh 6 at most
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Elements by their part in a page, and words in class, id or role that tell a part.
-RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "button", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "template", "noscript", "iframe", "svg", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "annotation", "annotation-xml", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
@@ -28,65 +30,139 @@ BLOCK = {
     "summary", "table", "caption", "tbody", "thead", "tfoot", "tr", "ul",
 }
 SPACED = {"br", "td", "th", "img", "wbr", "option", "input"} - {"wbr"}
-TAG_COST = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "search": -9.0, "fieldset": -6.0, "header": -7.0}
-AGAINST = set(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot header masthead topbar toolbar sidebar side aside widget widgets rail "
-    "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion promoted banner banners cookie cookies consent gdpr notice notices alert popup "
-    "modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations comment comments "
-    "respond reply replies disqus discussion reviews pagination pager skip hidden copyright tags tagcloud complementary contentinfo search".split()
+TAG_COST = {"nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "search": -6.0, "fieldset": -4.0, "header": -4.5}
+SURE = set(
+    "nav navbar navigation menubar breadcrumb breadcrumbs masthead topbar toolbar sidebar ad ads advert adverts advertisement adsense adsbygoogle sponsored "
+    "cookie cookies gdpr newsletter disqus pagination pager comment comments tagcloud".split()
 )
+AGAINST = SURE | set(
+    "menu footer header aside widget widgets advertising sponsor promo promotion promoted banner banners consent notice notices alert popup modal overlay "
+    "subscribe subscription signup signin login share sharing social related recommended recommendations respond reply replies hidden complementary contentinfo".split()
+)
+# Words that as often name a part of the text.
+PERHAPS = set("side search tag tags rail foot skip reviews review discussion copyright".split())
 FOR = set("article articles content contents post entry story body main text prose hentry".split())
 LAYOUT = set("wrap wrapper container layout page site with has no row grid outer inner col columns".split())
+# Words that say where or how large a part is, not what is in it.
+PLAIN = set(
+    "header title left right top bottom primary secondary global mobile desktop sticky fixed inline list item items link links box block blocks section bar panel "
+    "area button buttons form icon icons group meta info small large first last sub js is the and of for in to mod ui slot unit zone".split()
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|(?<==)\"[^\"]*\"|(?<==)'[^']*'|[\"'])*+)>", re.S
 )
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+UNSEEN, LEAST = -12.0, -12.0
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSES_P = BLOCK - {"html", "body"}
 
 
+def token_cost(token: str) -> float:
+    """What one class name, id or role says. Most words against count in full only beside words that name parts of pages too."""
+    words = {w.lower() for w in _PART.findall(token)}
+    if words & LAYOUT or words <= {"header", "title"} | FOR and words & FOR:
+        return 1.5 if words & FOR and not words & LAYOUT else 0.0
+    if words & (AGAINST | PERHAPS):
+        whole = words & SURE or words & AGAINST and words <= AGAINST | PERHAPS | FOR | PLAIN
+        return -6.0 if whole else -2.0
+    return 1.5 if words & FOR else 0.0
+
+
 def attribute_cost(attributes: str, top: bool) -> float:
     """What the attributes of an element say: negative for boilerplate, strongly so if the element is not shown."""
     cost = 0.0
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "style":
-            cost += -12.0 if _UNSEEN.search(value) else 0.0
+            cost += UNSEEN if _UNSEEN.search(value) else 0.0
         elif name == "hidden" or name == "aria-hidden":
-            cost += -12.0 if name == "hidden" and value.lower() != "until-found" or value.lower() == "true" else 0.0
+            cost += UNSEEN if name == "hidden" and value.lower() != "until-found" or value.lower() == "true" else 0.0
         elif not top:
             for token in value.split():
-                words = {w.lower() for w in _PART.findall(token)}
-                if words & AGAINST and not words & LAYOUT and not (words <= {"header", "title"} | FOR and words & FOR):
-                    cost = min(cost, -8.0)
-                elif words & FOR and not words & LAYOUT:
-                    cost += 1.5
-    return max(-14.0, min(cost, 2.5))
+                own = token_cost(token)
+                cost = min(cost, own) if own < 0 else cost + own
+    return max(UNSEEN, min(cost, 2.5))
 
 
 class Block:
-    __slots__ = ("text", "cost", "path", "links", "heading", "item")
+    """Text of a block with what the classifier looks at: cost of the surroundings, shares of link and button text, form."""
+
+    __slots__ = ("text", "cost", "node", "links", "buttons", "heading", "item", "inside")
+
+    def __init__(self, text: str, at: Element, node: int, links: float, buttons: float, names: list[str]):
+        self.text, self.cost, self.node, self.links, self.buttons, self.inside = text, at.cost, node, links, buttons, at.inside
+        self.heading, self.item = any(x in HEADINGS for x in names), "li" in names
+
+
+class Element:
+    __slots__ = ("name", "cost", "node", "inside")
+
+    def __init__(self, name: str, cost: float, node: int, inside: bool):
+        self.name, self.cost, self.node, self.inside = name, cost, node, inside
+
 
-    def __init__(self, text: str, cost: float, path: tuple[int, ...], links: float, heading: bool, item: bool):
-        self.text, self.cost, self.path, self.links, self.heading, self.item = text, cost, path, links, heading, item
+class Tree:
+    """Parent and depth of every element with text of its own level."""
 
+    def __init__(self):
+        self.parent, self.depth = [0], [0]
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order with the cost of their surroundings; end tags without a start are ignored."""
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def steps(self, a: int, b: int) -> int:
+        """Edges between two nodes. For blocks that follow each other these are tags between them, so all sums are linear."""
+        n = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            n += 1
+        return n
+
+
+def _end_of_head(page: str, at: int) -> re.Match | None:
+    """Its end tag may be left out: then the head ends where the body or an element of the text begins."""
+    while m := _HEAD_END.search(page, at):
+        if m[1] is None:
+            return m
+        stop = re.compile(rf"</{m[1]}", re.I).search(page, m.end())
+        at = stop.end() if stop else len(page)
+    return None
+
+
+_HEAD_END = re.compile(r"</head[\s>]|<body[\s>]|<(?:article|main|div|nav|p|h1)[\s>]|<(script|style|title)\b", re.I)
+
+
+def blocks(page: str, tree: Tree | None = None) -> list[Block]:
+    """Text blocks in page order with the cost of their surroundings; end tags without a start are ignored. Time is linear."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # element, cost so far, own number
-    serial, parts, linked, in_link, at, n = 0, [], 0, False, 0, len(page)
+    tree = tree or Tree()
+    stack = [Element("", 0.0, 0, False)]
+    open_: Counter[str] = Counter()
+    parts, linked, pressed, in_link, in_button, at, n = [], 0, 0, False, False, 0, len(page)
+    unclosed: set[str] = set()  # elements that have no end tag from here on
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, pressed
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                names = [s[0] for s in stack[-3:]]
-                out.append(Block(text, stack[-1][1], tuple(s[2] for s in stack), min(1.0, linked / len(text)), any(x in HEADINGS for x in names), "li" in names))
+                out.append(Block(text, stack[-1], stack[-1].node, min(1.0, linked / len(text)), min(1.0, pressed / len(text)), [e.name for e in stack[-3:]]))
             parts.clear()
-        linked = 0
+        linked = pressed = 0
+
+    def begin(name: str, cost: float) -> None:
+        stack.append(Element(name, cost, tree.add(stack[-1].node), stack[-1].inside or name in ("article", "main")))
+        open_[name] += 1
+
+    def end() -> str:
+        name = stack.pop().name
+        open_[name] -= 1
+        return name
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -98,6 +174,8 @@ def blocks(page: str) -> list[Block]:
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
+            if in_button:
+                pressed += len(piece.strip())
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
@@ -106,45 +184,49 @@ def blocks(page: str) -> list[Block]:
         name = m[2].lower()
         if not m[1]:
             if name in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-                if name == "head":  # its end tag may be left out
-                    end = re.compile(r"</head[\s>]|<body[\s>]|<(?:article|main|div|nav|p|h1)[\s>]", re.I).search(re.sub(r"<(script|style|title)\b.*?</\1", lambda x: " " * len(x[0]), page, flags=re.S | re.I), at)
-                at = end.start() if end else n if name in ("script", "style") else at
-                if end and page[at + 1] == "/":
+                stop = None
+                if name == "head":
+                    stop = _end_of_head(page, at)
+                elif name not in unclosed:
+                    stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+                    if stop is None:
+                        unclosed.add(name)
+                at = stop.start() if stop else n if name in ("script", "style") else at
+                if stop and page[at + 1] == "/":
                     at = page.find(">", at) + 1 or n
                 continue
             if name in SPACED:
                 parts.append(" ")
             if name == "a":
                 in_link = True
+            elif name == "button":
+                in_button = True
             if name not in BLOCK:
                 if name not in VOID and name in ("span", "ins", "b", "i", "em", "font") and _NAMED.search(m[3]) and attribute_cost(m[3], False) < -5:
                     flush()
-                    serial += 1
-                    stack.append((name, stack[-1][1] + attribute_cost(m[3], False), serial))
+                    begin(name, stack[-1].cost + attribute_cost(m[3], False))
                 continue
             flush()
-            in_link = False
-            names = [s[0] for s in stack]
-            if name in _CLOSES_P and names[-1] == "p" or name == "li" and names[-1] == "li" or name in ("dt", "dd") and names[-1] in ("dt", "dd") or name == "tr" and names[-1] == "tr":
-                stack.pop()
+            in_link = in_button = False
+            last = stack[-1].name
+            if name in _CLOSES_P and last == "p" or name == "li" and last == "li" or name in ("dt", "dd") and last in ("dt", "dd") or name == "tr" and last == "tr":
+                end()
             if name in ("hr",):
                 continue
-            top = name in ("html", "body")
-            cost = stack[-1][1]
+            cost = stack[-1].cost
             if name in ("article", "main"):
                 cost = max(cost, -1.0) + 3.0
-            own = attribute_cost(m[3], top) + (0.0 if name == "header" and any(s[0] in ("article", "main") for s in stack) else TAG_COST.get(name, 0.0))
-            serial += 1
-            stack.append((name, max(-16.0, min(cost + own, 4.0)) if own >= 0 else max(-16.0, min(cost, 1.0) + own), serial))
+            own = attribute_cost(m[3], name in ("html", "body")) + (0.0 if name == "header" and stack[-1].inside else TAG_COST.get(name, 0.0))
+            begin(name, max(LEAST, min(cost + own, 4.0)) if own >= -3 else max(LEAST, min(cost, 1.0) + own))
         elif name == "a":
             in_link = False
-        elif name in BLOCK or stack[-1][0] == name:
+        elif name == "button":
+            in_button = False
+        elif name in BLOCK or stack[-1].name == name:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_[name]:
+                while end() != name:
+                    pass
     flush()
     return out
 
@@ -153,9 +235,9 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def odds(b: Block) -> float:
-    """Log-odds that a block is main text, from its surroundings and its own form."""
+    """Log-odds that a block is main text, from its surroundings and its own form. In an article links say little."""
     words = b.text.count(" ") + 1
-    z = -0.6 + b.cost + 0.55 * math.log1p(words) - 3.0 * b.links - (0.8 if b.item else 0.0) + (1.0 if b.heading else 0.0)
+    z = -0.6 + b.cost + 0.55 * math.log1p(words) - (0.8 if b.inside else 3.0) * b.links - 6.0 * (b.buttons > 0.8) - (0.0 if b.inside else 0.8 * b.item) + (1.0 if b.heading else 0.0)
     return z + (0.6 if b.text[-1] in ".!?…。\"”»" else 0.0)
 
 
@@ -212,26 +294,20 @@ def least_cut(terminals: list[tuple[float, float]], edges: list[tuple[int, int,
                 turn[v] += 1
 
 
-def main_text(page: str, smooth: float = 0.9) -> str:
-    found = blocks(page)
+def main_text(page: str, smooth: float = SMOOTH) -> str:
+    tree = Tree()
+    found = blocks(page, tree)
     if not found:
         return ""
     terminals = []
     for b in found:
-        p = 1 / (1 + math.exp(-max(-30.0, min(odds(b), 30.0))))
-        terminals.append((-math.log(max(1 - p, 1e-9)), -math.log(max(p, 1e-9))))
+        p = 1 / (1 + math.exp(-odds(b)))
+        terminals.append((-math.log(1 - p), -math.log(p)))
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            before = found[i - 1].path
-            common = 0
-            for x, y in zip(before, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            steps = len(before) + len(b.path) - 2 * common
-            edges.append((i - 1, i, smooth / (1 + steps)))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            edges.append((i - 1, i, smooth / (1 + tree.steps(found[i - 1].node, b.node))))
+        parent = tree.parent[b.node]
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, smooth / 3))
         last[parent] = i
