@@ -31,6 +31,7 @@ LENGTH = 50
 PIECE = 25
 SHARD_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
+TASK_BYTES = 32 << 20  # of text; a task takes shard after shard, so its memory is that of one
 EXPAND = 1 << 20
 KEY_BYTES = 6
 NO_ID = (1 << 63) - 1
@@ -159,11 +160,11 @@ def deduplicate(
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, buckets = (max(1, math.ceil(total / x)) for x in (shard_bytes, bucket_bytes))
+    shards, buckets, tasks = (max(1, math.ceil(total / x)) for x in (shard_bytes, bucket_bytes, TASK_BYTES))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     deal = F.pmod(F.xxhash64(ids, F.col("text")), F.lit(shards)).cast("int")  # rows that share an id, or have none, are spread too
     dealt = docs.select(ids.alias("doc_id"), body.alias("body"), deal.alias("shard"))
-    dealt = dealt.repartition(2 * shards, "shard")
+    dealt = dealt.repartition(tasks, "shard")
 
     def fingerprints(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shard(batches)
@@ -198,7 +199,7 @@ def deduplicate(
         yield _rows([("shard", pa.int32(), found.column("shard").to_pylist()), ("keys", pa.binary(), out)])
 
     marks = dealt.groupBy("shard").applyInArrow(fingerprints, "bucket int, shard int, keys binary, many binary")
-    marks = marks.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(shared, "shard int, keys binary")
+    marks = marks.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(shared, "shard int, keys binary")
 
     kinds = [("target", pa.string()), ("shard", pa.int32()), ("blob", pa.binary())]
 
@@ -286,7 +287,7 @@ def deduplicate(
         shard = found.column("shard").to_pylist()
         yield _rows([("shard", pa.int32(), [shard[i] for i in some]), ("plan", pa.bool_(), [False] * len(some)), ("blob", pa.binary(), blobs)])
 
-    told = sent.repartition(2 * (shards + buckets), "target").groupBy("target").applyInArrow(merged, "shard int, plan boolean, blob binary")
+    told = sent.repartition(2 * tasks, "target").groupBy("target").applyInArrow(merged, "shard int, plan boolean, blob binary")
     schema = SCHEMA + (", kept binary" if text_out else "")
     out_kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * text_out
 
@@ -330,4 +331,6 @@ def deduplicate(
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, out_kinds, strict=True)], names=[n for n, _ in out_kinds])
 
     found = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(apply, schema)
-    return found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+    found = found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+    # Rows of digests are small: adaptive execution puts those of many tasks in few files.
+    return found if text_out else found.repartition("doc_id", "kept_sha256")
