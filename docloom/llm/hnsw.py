@@ -1,9 +1,10 @@
 """Hierarchical navigable small-world graphs, one per shard, as flat neighbour arrays.
 
 A graph has layers of geometrically falling size. Every layer keeps, for each of its nodes, a fixed-width row of
-neighbour numbers (-1 where there are fewer). Candidate neighbours come from blocked products inside the shard, whose size
-is bounded; the diversity rule of the method picks among them, and reverse edges keep every node reachable. Vectors
-must have equal length for inner products to order neighbours as distances do; ``level_norms`` makes them so.
+neighbour numbers (-1 where there are fewer). Nodes are inserted in batches that double, those of high layers first: each
+batch is searched in the graph so far, its members see each other too, the diversity rule of the method picks
+neighbours among what was found, and reverse links keep every node reachable. Vectors must have equal length for inner
+products to order neighbours as distances do; ``level_norms`` makes them so.
 
 Searches run for a block of queries in step: each step opens the best few unopened nodes of every beam.
 """
@@ -14,6 +15,7 @@ import numpy as np
 
 DEGREE = 16
 CANDIDATES = 48
+BATCH = 1_024
 
 
 def level_norms(vectors: np.ndarray) -> np.ndarray:
@@ -23,59 +25,123 @@ def level_norms(vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([vectors, extra[:, None].astype(np.float32)], 1)
 
 
+def diverse(v: np.ndarray, near: np.ndarray, value: np.ndarray, degree: int) -> np.ndarray:
+    """Which of each row's candidates, nearest first, to keep: those nearer to the row's node than to any kept one; the nearest four always."""
+    cross = np.matmul(v[near], v[near].transpose(0, 2, 1))
+    kept = np.zeros(near.shape, bool)
+    closest = np.full(near.shape, -np.inf, np.float32)  # nearness to what is already kept
+    for j in range(near.shape[1]):
+        kept[:, j] = (value[:, j] > closest[:, j]) & (kept.sum(1) < degree)
+        closest = np.where(kept[:, j, None], np.maximum(closest, cross[:, j]), closest)
+    kept[:, :4] = True
+    return kept & (value > -np.inf)
+
+
+class Layer:
+    """Neighbour rows of a layer while it is built, nearest first, with the inner products."""
+
+    def __init__(self, n: int, own: np.ndarray, degree: int):
+        self.degree, self.width = degree, 2 * degree
+        self.row = np.full(n, -1, np.int64)
+        self.row[own] = np.arange(len(own))
+        self.links = np.full((len(own), self.width), -1, np.int32)
+        self.near = np.full((len(own), self.width), -np.inf, np.float32)
+
+    def link(self, v: np.ndarray, own: np.ndarray, near: np.ndarray, value: np.ndarray, most: int) -> None:
+        """Neighbours for the new nodes ``own`` among the candidates ``near``, and the links back."""
+        order = np.argsort(-value, axis=1, kind="stable")[:, :most]
+        near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
+        for a in range(0, len(own), 256):
+            kept = diverse(v, near[a : a + 256], value[a : a + 256], self.degree)
+            value[a : a + 256][~kept] = -np.inf
+        r, c = np.nonzero(value > -np.inf)
+        a, b, s = own[r], near[r, c], value[r, c]
+        a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
+        _, first = np.unique(a * len(v) + b, return_index=True)
+        a, b, s = a[first], b[first], s[first]
+        order = np.lexsort((b, -s, a))
+        a, b, s = a[order], b[order], s[order]
+        begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        place = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a))))
+        ok = place < self.width
+        rows = self.row[a[begin]]
+        at = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(a))))[ok]
+        for lo in range(0, len(rows), 512):
+            part = rows[lo : lo + 512]
+            mine = ok.nonzero()[0][(at >= lo) & (at < lo + 512)]
+            wide = int(place[mine].max(initial=0)) + 1
+            new, new_s = np.full((len(part), wide), -1, np.int32), np.full((len(part), wide), -np.inf, np.float32)
+            which = at[(at >= lo) & (at < lo + 512)] - lo
+            new[which, place[mine]], new_s[which, place[mine]] = b[mine], s[mine]
+            all_ids, all_s = np.concatenate([self.links[part], new], 1), np.concatenate([self.near[part], new_s], 1)
+            order = np.argsort(-all_s, axis=1, kind="stable")
+            all_ids, all_s = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_s, order, 1)
+            full = np.flatnonzero((all_s > -np.inf).sum(1) > self.width)
+            for x in range(0, len(full), 128):  # too many: the diverse ones stay, then the nearest
+                y = full[x : x + 128]
+                kept = diverse(v, all_ids[y], all_s[y], self.width)
+                rank = np.argsort(~kept, axis=1, kind="stable")[:, : self.width]
+                rank.sort(axis=1)
+                all_ids[y, : self.width], all_s[y, : self.width] = np.take_along_axis(all_ids[y], rank, 1), np.take_along_axis(all_s[y], rank, 1)
+            self.links[part], self.near[part] = all_ids[:, : self.width], all_s[:, : self.width]
+
+
 class Graph:
     def __init__(self, vectors: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray]):
         self.vectors, self.nodes, self.links = vectors, nodes, links  # links[l]: rows for nodes[l], numbers of rows in vectors
 
     @classmethod
-    def build(cls, vectors: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, seed: int = 7) -> Graph:
-        n = len(vectors)
-        level = np.floor(-np.log(np.random.default_rng(seed).random(n).clip(1e-12)) / np.log(degree)).astype(int)
-        nodes, links = [], []
-        for k in range(int(level.max(initial=0)) + 1):
-            own = np.flatnonzero(level >= k)
-            if k and len(own) < 2:
-                break
-            nodes.append(own)
-            links.append(cls._layer(vectors, own, degree * (1 if k else 2), candidates))
-        return cls(vectors, nodes, links)
-
-    @staticmethod
-    def _layer(vectors: np.ndarray, own: np.ndarray, degree: int, candidates: int) -> np.ndarray:
-        v, n = vectors[own], len(own)
-        c = min(candidates, n - 1)
-        if c <= 0:
-            return np.full((n, 1), -1, np.int32)
-        heads, tails, nearness = [], [], []
-        for at in range(0, n, 256):
-            block = np.arange(at, min(at + 256, n))
-            s = v[block] @ v.T
-            s[np.arange(len(block)), block] = -np.inf
-            near = np.argpartition(-s, c - 1, axis=1)[:, :c]
-            value = np.take_along_axis(s, near, 1)
-            order = np.argsort(-value, axis=1, kind="stable")
-            near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
-            cross = np.matmul(v[near], v[near].transpose(0, 2, 1))
-            kept = np.zeros(near.shape, bool)
-            closest = np.full(near.shape, -np.inf, np.float32)  # nearness to what is already kept
-            for j in range(c):
-                kept[:, j] = (value[:, j] > closest[:, j]) & (kept.sum(1) < degree)
-                closest = np.where(kept[:, j, None], np.maximum(closest, cross[:, j]), closest)
-            kept[:, : min(4, c)] = True  # the nearest few always, so dense groups hold together
-            r, j = np.nonzero(kept)
-            heads.append(block[r]), tails.append(near[r, j]), nearness.append(value[r, j])
-        a, b, s = np.concatenate(heads), np.concatenate(tails), np.concatenate(nearness)
-        a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
-        _, first = np.unique(a * n + b, return_index=True)
-        a, b, s = a[first], b[first], s[first]
-        order = np.lexsort((-s, a))
-        a, b = a[order], b[order]
-        begin = np.searchsorted(a, np.arange(n))
-        place = np.arange(len(a)) - begin[a]
-        keep = place < 2 * degree
-        out = np.full((n, min(2 * degree, int(place.max(initial=0)) + 1)), -1, np.int32)
-        out[a[keep], place[keep]] = own[b[keep]]
-        return out
+    def build(cls, vectors: np.ndarray, degree: int = DEGREE, ef: int = CANDIDATES, seed: int = 7) -> Graph:
+        n, rng = len(vectors), np.random.default_rng(seed)
+        level = np.floor(-np.log(rng.random(n).clip(1e-12)) / np.log(degree)).astype(int)
+        order = rng.permutation(n)
+        order = order[np.argsort(-level[order], kind="stable")]
+        top = int(level.max(initial=0))
+        while top and (level >= top).sum() < 2:  # a layer of one node leads nowhere
+            top -= 1
+        nodes = [np.sort(np.flatnonzero(level >= k)) for k in range(top + 1)]
+        layers = [Layer(n, own, degree * (1 if k else 2)) for k, own in enumerate(nodes)]
+        self = cls(vectors, nodes, [x.links for x in layers])
+        at = 0
+        while at < n:
+            batch = order[at : at + min(BATCH, max(64, at))]
+            self._insert(batch, level, layers, order[:1] if at else None, ef)
+            at += len(batch)
+        self.links = [x.links for x in layers]
+        return self
+
+    def _insert(self, batch: np.ndarray, level: np.ndarray, layers: list[Layer], entry: np.ndarray | None, ef: int) -> None:
+        v = self.vectors
+        start = None if entry is None else np.repeat(entry[None], len(batch), 0)
+        for k in range(len(layers) - 1, -1, -1):
+            here = np.flatnonzero(level[batch] >= k)
+            found = np.full((len(batch), 0), -1, np.int64)
+            if start is not None:
+                wide = len(here) > 0
+                found = self._blocks(v[batch], k, start, ef if wide else 4, 4 if wide else 1)[0]
+                start = found[:, :4]
+            if not len(here):
+                continue
+            own = batch[here]
+            near, s = found[here], np.full((len(here), found.shape[1]), -np.inf, np.float32)
+            for a in range(0, len(here), 256):
+                part = near[a : a + 256]
+                s[a : a + 256] = np.where(part < 0, -np.inf, np.einsum("qd,qkd->qk", v[own[a : a + 256]], v[part]))
+            each = v[own] @ v[own].T
+            np.fill_diagonal(each, -np.inf)
+            c = min(ef, len(own) - 1)
+            if c > 0:
+                pick = np.argpartition(-each, c - 1, axis=1)[:, :c]
+                near, s = np.concatenate([near, own[pick]], 1), np.concatenate([s, np.take_along_axis(each, pick, 1)], 1)
+            if near.shape[1]:
+                layers[k].link(v, own, near, s, ef)
+
+    def _blocks(self, q: np.ndarray, layer: int, start: np.ndarray, ef: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """``_beam`` for any number of queries, in blocks whose marks of seen nodes stay small."""
+        step = max(1, min(256, 4_000_000 // max(1, len(self.vectors))))
+        ef = max(1, min(ef, len(self.vectors)))
+        parts = [self._beam(q[a : a + step], layer, start[a : a + step, :ef], ef, wide) for a in range(0, len(q), step)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
     def _beam(self, q: np.ndarray, layer: int, start: np.ndarray, ef: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
         own, links = self.nodes[layer], self.links[layer]
@@ -90,8 +156,8 @@ class Graph:
         ids[:, :k], done[:, :k] = start, start < 0
         sims[:, :k] = np.where(start < 0, -np.inf, np.einsum("qd,qkd->qk", q, self.vectors[start]))
         slot = np.full((m, len(self.vectors)), -1, np.int16)
-        rows = np.arange(m)[:, None]
-        slot[rows, np.where(start < 0, 0, start)] = -2
+        r, c = np.nonzero(start >= 0)
+        slot[r, start[r, c]] = -2
         live = np.arange(m)
         for _ in range(4 * len(own) + 8):
             masked = np.where(done[live], -np.inf, sims[live])
@@ -135,22 +201,16 @@ class Graph:
 
     def search(self, q: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and inner products of up to ``ef`` near rows for every query, nearest first, -1 where there are none."""
-        n = len(self.vectors)
-        ef = max(1, min(ef, n))
-        out_ids, out_sims = np.full((len(q), ef), -1, np.int64), np.full((len(q), ef), -np.inf, np.float32)
-        if not n:
-            return out_ids, out_sims
-        step = max(1, min(256, 4_000_000 // n))
-        for at in range(0, len(q), step):
-            block = q[at : at + step]
-            start = np.repeat(self.nodes[-1][None, :1], len(block), 0)
-            for layer in range(len(self.nodes) - 1, 0, -1):
-                start = self._beam(block, layer, start, 4, 1)[0]
-            out_ids[at : at + step], out_sims[at : at + step] = self._beam(block, 0, start[:, :ef], ef, wide)
-        return out_ids, out_sims
+        if not len(self.vectors) or not len(q):
+            ef = max(1, min(ef, len(self.vectors)))
+            return np.full((len(q), ef), -1, np.int64), np.full((len(q), ef), -np.inf, np.float32)
+        start = np.repeat(self.nodes[-1][None, :1], len(q), 0)
+        for layer in range(len(self.nodes) - 1, 0, -1):
+            start = self._blocks(q, layer, start, 4, 1)[0]
+        return self._blocks(q, 0, start, ef, wide)
 
     def dump(self) -> dict[str, bytes]:
-        """Flat arrays: sizes of layers, their nodes, widths of rows and rows."""
+        """Flat arrays: sizes of layers, their nodes, widths of rows, rows, vectors."""
         return {
             "sizes": np.array([len(x) for x in self.nodes], "<i8").tobytes(), "nodes": np.concatenate(self.nodes).astype("<i4").tobytes(),
             "widths": np.array([x.shape[1] for x in self.links], "<i8").tobytes(), "links": np.concatenate([x.ravel() for x in self.links]).astype("<i4").tobytes(),
@@ -158,7 +218,8 @@ class Graph:
         }
 
     @classmethod
-    def load(cls, parts: dict[str, bytes], dim: int) -> Graph:
+    def load(cls, parts: dict[str, bytes], dim: int, vectors: np.ndarray | None = None) -> Graph:
+        """From flat arrays; ``vectors`` in place of those among them, where they are kept in another form."""
         sizes, widths = np.frombuffer(parts["sizes"], "<i8"), np.frombuffer(parts["widths"], "<i8")
         flat, rows = np.frombuffer(parts["nodes"], "<i4").astype(np.int64), np.frombuffer(parts["links"], "<i4")
         nodes, links, a, b = [], [], 0, 0
@@ -166,7 +227,7 @@ class Graph:
             nodes.append(flat[a : a + n])
             links.append(rows[b : b + n * w].reshape(n, w))
             a, b = a + n, b + n * w
-        return cls(np.frombuffer(parts["vectors"], "<f4").reshape(-1, dim), nodes, links)
+        return cls(np.frombuffer(parts["vectors"], "<f4").reshape(-1, dim) if vectors is None else vectors, nodes, links)
 
 
 def audited_search(graph: Graph, q: np.ndarray, k: int, ef: int, least: float = 0.97, sample: int = 48) -> tuple[np.ndarray, np.ndarray]:
