@@ -2,13 +2,14 @@
 
 Texts of equal content are one class from the start. The rest of the work is on different texts:
 
-1. Document frequencies of five-word shingles, over all documents, in a sketch of fixed width (one hashed counter row,
-   so a frequency is never too low, and too high by the mean load at most in expectation).
+1. Document frequencies of five-word shingles, over all documents, in a sketch of fixed width. What a counter holds on
+   average is taken off, and what is left below the spread of the counters counts as that spread: the spread's share of the documents
+   falls as the corpus grows, so frequencies stay told apart at any size.
 2. ``HASHES`` consistent weighted samples a document; ``ROWS`` of them make a band, equal bands make a bucket.
 3. In a bucket each text is verified against the bucket's smallest doc_id by weighted Jaccard similarity.
-4. Buckets in which a text failed are joined within: texts are dealt into chunks of bounded size, each pair of chunks is a
-   group that compares all its texts through posting lists and gives out a spanning forest of its links. So no link is
-   lost and no pairs are listed.
+4. Texts that failed are joined with their whole bucket (the others hang together already): failed texts and texts of the bucket
+   are dealt into chunks of bounded size, each pair of chunks is a group that compares its failed texts with all through
+   posting lists and gives out a spanning forest of the links. So no class is torn and no pairs are listed.
 5. Components of the verified links are the classes.
 """
 
@@ -105,7 +106,10 @@ def document_frequencies(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.n
 
 
 def inverse_frequencies(counts: np.ndarray, n: int) -> np.ndarray:
-    return np.log((n + 1) / (counts + 0.5)).clip(0.05).astype(np.float64)
+    """log((n + 1) / (df + 1/2)), where df is a counter less the median load, and three deviations of the load at least."""
+    load = np.median(counts)
+    df = np.maximum(counts - load, 4.45 * np.median(np.abs(counts - load)))
+    return np.log((n + 1) / (df + 0.5)).clip(0.05).astype(np.float64)
 
 
 class Sampler:
@@ -225,11 +229,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: float) -> list[tuple[int, int]]:
+def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: float, first: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest (lower, higher number) of the links among texts given as shingles and counts.
 
     A shingle that stands k times is k tokens, so the sum of minima is the weight of common tokens. Each text is compared
-    through the posting lists of its tokens with all texts before it.
+    through the posting lists of its tokens with all texts before it, or with those of the ``first`` ones.
     """
     bits = int(len(idf)).bit_length() - 1
     tokens, owner = [], []
@@ -246,8 +250,10 @@ def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: f
     order = np.argsort(token, kind="stable")  # postings: texts of a token in order
     place = np.empty(len(token), np.int64)
     place[order] = np.arange(len(token))
-    first = np.searchsorted(token[order], token)
-    before = place - first  # postings ahead of this one
+    head = np.searchsorted(token[order], token)
+    before = place - head  # postings ahead of this one
+    if first is not None:
+        before = np.minimum(before, np.bincount(token[owner < first], minlength=int(token.max(initial=-1)) + 1)[token])
     begin = np.cumsum(size) - size
     parent = list(range(len(found)))
 
@@ -263,7 +269,7 @@ def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: f
         n = before[mine]
         if not n.any():
             continue
-        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at = np.repeat(head[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         low = np.bincount(owner[order[at]], np.repeat(weight[mine], n), x + 1)
         for y in np.flatnonzero(low[:x] >= least * (total[x] + total[:x] - low[:x]) - 1e-9):
             if low[y] > 0 and low[y] / (total[x] + total[y] - low[y]) >= least:
@@ -275,22 +281,26 @@ def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: f
 
 
 def _within(members: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
-    """Links (a, b) within the buckets of ``members(band, key, doc, n)``, chunk by chunk of at most about ``CHUNK`` texts."""
+    """Links (a, b) of failed texts in the buckets of ``members(band, key, doc, n, failed, fails)``.
+
+    A group is a chunk of at most about ``CHUNK`` failed texts (of ``fails``) and one of texts of the bucket (of ``n``).
+    """
 
     def join(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, ids, found = Shingles().of, [], []
+        of, found = Shingles().of, ({}, {})  # by document and text: a doc_id can have several
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                ids.append(doc)
-                found.append(of(text.as_py()))
-        edges = linked(found, idf.value, least)
-        yield pa.RecordBatch.from_arrays([pa.array([ids[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("doc", F.lit(23)), chunks).cast("int")
-    dealt = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc")
-    wide = dealt.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+            for doc, asks, text in zip(batch.column("doc").to_pylist(), batch.column("asks").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found[not asks][doc, text] = None
+        keys = [*found[0], *(k for k in found[1] if k not in found[0])]
+        edges = linked([of(text) for _, text in keys], idf.value, least, len(found[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([keys[e[k]][0] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    chunks, asking = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("n", "fails"))
+    own = lambda n: F.pmod(F.xxhash64("doc", F.lit(23)), n).cast("int")
+    base = members.select("band", "key", "doc", "failed", chunks.alias("js"), asking.alias("is"))
+    asked = base.select("band", "key", "doc", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), own(F.col("js")).alias("j"))
+    asks = base.where("failed").select("band", "key", "doc", F.lit(True).alias("asks"), own(F.col("is")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"))
+    wide = asks.union(asked.select("band", "key", "doc", "asks", "i", "j")).join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
     return wide.groupBy("band", "key", "i", "j").applyInArrow(join, "a long, b long").where("a <> b").distinct()
 
 
@@ -318,9 +328,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     texts = settle(chosen.dropDuplicates(["doc_id", "text"]), "candidates")
     links = settle(_verify(pairs, texts, idf, least), "links")
 
-    failed = member.join(pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("doc")), ["lead", "doc"])
-    open_ = failed.select("band", "key").distinct().join(buckets.select("band", "key", "n"), ["band", "key"]).where("n > 2")
-    more = settle(_within(member.join(open_, ["band", "key"]), texts, idf, least), "links")
+    failed = pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("doc"), F.lit(True).alias("failed"))
+    failed = settle(member.join(failed, ["lead", "doc"]).select("band", "key", "doc", "failed"), "failed")
+    open_ = failed.groupBy("band", "key").agg(F.count("*").alias("fails")).join(buckets.select("band", "key", "n"), ["band", "key"]).where("n > 2")
+    wider = member.join(open_, ["band", "key"]).join(failed, ["band", "key", "doc"], "left")
+    more = settle(_within(wider.withColumn("failed", F.col("failed").isNotNull()), texts, idf, least), "links")
 
     found = components(links.union(more).union(copies))
     ids = light.select("doc_id").distinct()
