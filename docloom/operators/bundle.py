@@ -22,6 +22,49 @@ def since(when: Column, as_of: Column, days: int) -> Column:
     return when >= F.date_sub(as_of, days)
 
 
+def counted_cases(cases: DataFrame, kind: str, kinds: tuple | list, author: str, bots: tuple | list) -> DataFrame:
+    """Cases of the record types that count, without those that bots or inside systems opened; NULL types and authors stay out and in."""
+    return cases.where(F.col(kind).isin(*kinds) & ~F.coalesce(F.col(author).isin(*bots), F.lit(False)))
+
+
+def renews_within(end: Column, as_of: Column, days: int) -> Column:
+    """A contract that ends from ``as_of`` on within so many days."""
+    return (end >= as_of) & (end <= F.date_add(as_of, days))
+
+
+def last_activity(rows: DataFrame, by: str, when: str, as_of: Column) -> DataFrame:
+    """Per ``by``: the newest time, and whole days from it to ``as_of``."""
+    return rows.groupBy(by).agg(F.max(when).alias("last")).withColumn("days_ago", F.date_diff(as_of, F.col("last").cast("date")))
+
+
+def open_sums(rows: DataFrame, by: str, is_open: Column, amount: Column, is_urgent: Column, kind: Column) -> DataFrame:
+    """Per ``by``: amount of what is open, count of what is urgent, distinct kinds in order."""
+    return rows.groupBy(by).agg(
+        F.sum(F.when(is_open, amount).otherwise(0)).alias("open_total"), F.count_if(is_urgent).alias("urgent"), F.array_sort(F.collect_set(kind)).alias("kinds")
+    )
+
+
+def activity_volume(rows: DataFrame, by: str, when: Column, contact: Column, as_of: Column, days: int = 45, least: int = 50) -> DataFrame:
+    """Per ``by`` with ``least`` rows or more in the days before ``as_of``: how many, and the share without a contact."""
+    found = rows.where(since(when, as_of, days) & (when <= as_of)).groupBy(by).agg(F.count("*").alias("n"), F.avg(contact.isNull().cast("int")).alias("null_share"))
+    return found.where(F.col("n") >= least)
+
+
+def top_rows(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each ``by``, with their ``rank``: ranked before anything is listed, so lists stay short."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def urgency_rank(urgency: Column) -> Column:
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in URGENCY]), urgency), F.lit(0)), F.lit(9))
+
+
+def host(url: Column) -> Column:
+    """The host of a URL, without its port."""
+    return F.split_part(F.split_part(url, F.lit("/"), F.lit(3)), F.lit(":"), F.lit(1))
+
+
 def latest_before(rows: DataFrame, keys: DataFrame, by: str, when: str, as_of: str) -> DataFrame:
     """As-of join: for each key row the newest row of the same ``by`` strictly before ``as_of``; all NULL if there is none.
 
@@ -58,8 +101,7 @@ def duplicates(contacts: DataFrame, by: list[str]) -> DataFrame:
 
 def ranked_by_urgency(entries: Column) -> Column:
     """must_address by urgency, most urgent first; entries of one urgency stay in order."""
-    rank = lambda u: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in URGENCY]), u), F.lit(0)), F.lit(9))
-    keyed = F.transform(entries, lambda e, i: F.struct(rank(e.urgency).alias("r"), i.alias("i"), e.alias("e")))
+    keyed = F.transform(entries, lambda e, i: F.struct(urgency_rank(e.urgency).alias("r"), i.alias("i"), e.alias("e")))
     return F.transform(F.array_sort(keyed), lambda x: x.e)
 
 

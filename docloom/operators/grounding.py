@@ -16,6 +16,21 @@ def grounded_by_phrase(claims: DataFrame, inputs: DataFrame) -> DataFrame:
     return claims.join(inputs.select("id", F.col("text").alias("_t")), "id").where(F.col("_t").contains(F.col("phrase"))).drop("_t").distinct()
 
 
+def entities(text: Column) -> Column:
+    """Names in a text: runs of capitalised words that aren't only a sentence's first word; numbers of four digits and more.
+    Distinct, in order of their spelling."""
+    word = r"\p{Lu}[\p{L}\p{N}'’&-]*"
+    name = rf"(?<!^)(?<![.!?:]\s)\b{word}(?: {word})*|\b{word}(?: {word})+|\b\p{{N}}{{4,}}\b"
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(name), F.lit(0))))
+
+
+def unfounded_entities(summaries: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(id, entity) named in a summary (id, text) but in none of the input texts (id, text) of the same document."""
+    named = summaries.select("id", F.explode(entities(F.col("text"))).alias("entity"))
+    found = named.join(inputs.select("id", F.col("text").alias("_t")), "id").where(F.lower("_t").contains(F.lower("entity"))).select("id", "entity").distinct()
+    return named.join(found, ["id", "entity"], "left_anti")
+
+
 def hallucination(claims: DataFrame, by: list[str] | None = None) -> DataFrame:
     """n, n_bad and the rate in percent of claims with a boolean ``grounded``, overall or by e.g. confidence tier."""
     bad = F.count_if(~F.col("grounded"))

@@ -28,8 +28,7 @@ def matrix(
 ) -> DataFrame:
     """``count`` parameter rows. Shape is uniform; 0, 1, 2 or 3 edge cases come with weights 2:4:3:1, without repeats; the mix is
     uniform over the mixes and none. Given slots override. Draws are hashes of seed and row, so rows are independent."""
-    if surface not in SURFACES or (shape and shape not in ACCOUNT_SHAPES) or (source_mix and source_mix not in SOURCE_MIXES):
-        raise ValueError("unknown surface, shape or source mix")
+    one_of("surface", surface or "", SURFACES), one_of("shape", shape or None, ACCOUNT_SHAPES), one_of("source_mix", source_mix or None, SOURCE_MIXES)
     row = F.col("row")
     pick = lambda options, slot: F.element_at(F.array(*[F.lit(o) for o in options]), (draw(seed, row, slot, len(options)) + 1).cast("int"))
     ten = draw(seed, row, "n", 10)
@@ -58,6 +57,47 @@ def over_cap(count: Column, cap: float = COST_CAP) -> Column:
     return cost(count) > cap
 
 
+def one_of(name: str, value: str | None, allowed: tuple | list) -> str | None:
+    """``value``, if it is allowed or not given."""
+    if value is not None and value not in allowed:
+        raise ValueError(f"{name} must be one of {', '.join(map(str, allowed))}")
+    return value
+
+
+def exactly_one(**given) -> str:
+    """The name of the only argument that is given (true)."""
+    found = [k for k, v in given.items() if v]
+    if len(found) != 1:
+        raise ValueError(f"give exactly one of {', '.join(given)}")
+    return found[0]
+
+
+def gates(spark: SparkSession, count: int, cap: float = COST_CAP, dry_run: bool = False, files: tuple = (), free_gb: float | None = None, least_gb: float = 60.0) -> list[str]:
+    """What stands against a run, nothing if it may start: cost over the cap (at the cap is fine), files that are absent, too
+    little free disk. A dry run spends nothing, so its cost is not held against it."""
+    found = []
+    total = count * (INPUT_TOKENS * INPUT_PRICE / 1e6 + OUTPUT_TOKENS * OUTPUT_PRICE / 1e6) * RETRY_FACTOR
+    if not dry_run and total > cap:
+        found.append(f"cost {total:.2f} is over the cap of {cap:.2f}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for f in files:
+        if not path(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(f)):
+            found.append(f"absent: {f}")
+    if free_gb is not None and free_gb < least_gb:
+        found.append(f"{free_gb:g} GB free, {least_gb:g} needed")
+    return found
+
+
+def planned() -> Column:
+    """Map from surface to the examples planned for it."""
+    return F.create_map(*[F.lit(x) for pair in BATCH_PLAN.items() for x in pair])
+
+
+def run_summary(resolved: DataFrame) -> DataFrame:
+    """One row: rows that succeeded, rows that failed, attempts in all."""
+    return resolved.agg(F.count_if("success").alias("good"), F.count_if(~F.col("success")).alias("failed"), F.sum("attempts").alias("attempts"))
+
+
 def next_id(names: DataFrame, column: str = "name", three_digits: bool = False) -> DataFrame:
     """One row: the largest id in names like ``example-007`` plus 1, from 1. ``three_digits`` reads the first three digits only."""
     digits = r"example-(\d{3})" if three_digits else r"example-(\d{3,})"

@@ -76,12 +76,15 @@ def no_url(x: Column) -> Column:
     return ~x.rlike(r"https?://")
 
 
+def emphasis_gaps(surface: Column, filled: Column) -> Column:
+    """Sections that the surface populates heavily and that are not among ``filled``, by name; NULL for unknown surfaces."""
+    heavy = F.create_map(*[c for name, sections in HEAVY.items() for c in (F.lit(name), F.array(*[F.lit(s) for s in sorted(sections)]))])
+    return F.array_except(F.try_element_at(heavy, surface), filled)
+
+
 def emphasis(surface: Column, filled: Column) -> Column:
     """All sections that the surface populates heavily are among ``filled``."""
-    out = F.lit(None).cast("boolean")
-    for name, sections in HEAVY.items():
-        out = F.when(surface == name, F.size(F.array_except(F.array(*[F.lit(s) for s in sections]), filled)) == 0).otherwise(out)
-    return out
+    return F.size(emphasis_gaps(surface, filled)) == 0
 
 
 def honest_empty(surface: Column, filled: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IGNORE = -100
@@ -53,3 +53,23 @@ def tail(ids: Column, labels: Column, around: int = 5) -> Column:
 
 def truncated(ids: Column, most: int = 8192) -> Column:
     return F.slice(ids, 1, most)
+
+
+def batches(rows: DataFrame, order: str, size: int = 16, run: str | None = None, chunk: int = 4096) -> DataFrame:
+    """Rows with ``batch``: the first ``size`` in the order of a unique whole number are batch 0, and so on.
+
+    Places are counted within chunks of that number and chunks are summed up, so no window holds more than a chunk's rows
+    or one row a chunk.
+    """
+    keys = [run] if run else []
+    part = F.floor(F.col(order) / chunk).alias("_part")
+    sizes = rows.groupBy(*keys, part).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1
+    return rows.withColumn("_part", part).withColumn("_place", place).join(sizes, [*keys, "_part"]).withColumn("batch", F.floor((F.col("_before") + F.col("_place")) / size)).drop("_part", "_place", "_before")
+
+
+def text_tail(text: Column, most: int = 90) -> Column:
+    """The end of a text and its length in characters, for a look at where generation stopped."""
+    return F.struct(F.right(text, F.lit(most)).alias("tail"), F.length(text).alias("chars"))

@@ -44,6 +44,11 @@ def considered_sections(v: Column, surface: Column) -> Column:
     return bind(F.struct(fields(v).alias("m"), declared_empty(v).alias("empty")), seen)
 
 
+def filled_sections(v: Column) -> Column:
+    """Names of all fields of a document that are populated."""
+    return F.map_keys(F.map_filter(fields(v), lambda _, x: populated(x)))
+
+
 def relevant_count(surface: Column) -> Column:
     return F.coalesce(F.size(F.try_element_at(_table(SURFACE_SECTIONS), surface)), F.lit(0))
 

@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ticks(log: DataFrame, every: int = 5, peak: str = "peak_alloc_gb", run: str | None = None) -> DataFrame:
-    """Every ``every``-th step (0 left out) with the last loss seen so far and the peak within its tick."""
+def ticks(log: DataFrame, every: int = 5, peak: str = "peak_alloc_gb", run: str | None = None, chunk: int = 10_000) -> DataFrame:
+    """Every ``every``-th step (0 left out) with the last loss seen so far and the peak within its tick.
+
+    Losses are carried within chunks of steps, and from chunk to chunk by one row each: a log without a ``run`` column is
+    no single window.
+    """
     keys = [run] if run else []
-    w = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    carried = log.withColumn("last_loss", F.last("loss", ignorenulls=True).over(w)).where((F.col("step") != 0) & (F.col("step") % every == 0))
+    log = log.withColumn("_part", F.floor(F.col("step") / chunk))
+    within = Window.partitionBy(*keys, "_part").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    ends = log.groupBy(*keys, "_part").agg(F.max_by("loss", F.when(F.col("loss").isNotNull(), F.col("step"))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "_part", before.alias("_carried"))
+    carried = log.withColumn("last_loss", F.last("loss", ignorenulls=True).over(within)).where((F.col("step") != 0) & (F.col("step") % every == 0))
+    carried = carried.join(ends, [*keys, "_part"]).withColumn("last_loss", F.coalesce("last_loss", "_carried"))
     peaks = log.where("step > 0").groupBy(*keys, F.ceil(F.col("step") / every).alias("tick")).agg(F.max(peak).alias("tick_peak"))
     return carried.withColumn("tick", F.ceil(F.col("step") / every)).join(peaks, [*keys, "tick"]).select(*keys, "step", "last_loss", "tick_peak")
 

@@ -92,7 +92,8 @@ def chat_records(docs: DataFrame, system_prompt: str, on_bad: str = "fail", text
     """(id, messages, surface, shape) of documents (id, raw). The assistant's message is the document without ``_meta``.
 
     A text that isn't one JSON object stops the run (``on_bad='fail'``) or is left out ('quarantine', see ``bad_documents``).
-    ``shape`` is NULL where it had to be assumed, which is worth a warning.
+    ``shape`` is NULL where it had to be assumed, which is worth a warning. The message has its keys in the order of their names and
+    no blanks between them; values stay as they are.
     """
     v = F.col("_v")
     parsed = docs.withColumn("_v", parse_strict(F.col(text)))
@@ -112,6 +113,17 @@ def chat_records(docs: DataFrame, system_prompt: str, on_bad: str = "fail", text
     )
 
 
+def warnings(records: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, warning) of records whose shape had to be assumed; the first ``most`` by id."""
+    found = records.where("shape is null").select("id", F.lit("shape not found").alias("warning"))
+    return found if most is None else found.orderBy("id").limit(most)
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """Per surface: records, and how many of them have a warning."""
+    return records.groupBy("surface").agg(F.count("*").alias("n"), F.count_if(F.col("shape").isNull()).alias("n_warnings"))
+
+
 def bad_documents(docs: DataFrame, text: str = "raw") -> DataFrame:
     return docs.where(fields(parse_strict(F.col(text))).isNull())
 
@@ -122,6 +134,11 @@ def split(records: DataFrame, eval_ids: DataFrame) -> DataFrame:
     return records.join(flagged, "id", "left").withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")
 
 
+def last_turn(turns: DataFrame, role: str = "assistant") -> DataFrame:
+    """(conv_id, turn): the last turn of a role in each conversation that has one."""
+    return turns.where(F.col("role") == role).groupBy("conv_id").agg(F.max("turn").alias("turn"))
+
+
 def without_assistant(messages: Column) -> Column:
     return F.filter(messages, lambda m: m.role != "assistant")
 

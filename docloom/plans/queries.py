@@ -11,22 +11,10 @@ from docloom.functions import jsonx
 from docloom.functions.vocab import ACCOUNT_SHAPES, EDGE_CASE_HINTS, EDGE_CASES, SOURCE_MIXES
 from docloom.operators import bundle, grounding, knobs, lints, masking, metrics, monitor, records
 from docloom.operators.validate import violations
-from docloom.plans import report
+from docloom.plans import checks, files, report  # noqa: F401  (checks and files register queries of their own)
+from docloom.plans.registry import QUERIES, SQL, query
 from docloom.plans.synth import EXPECTED_SQL, briefs, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 EXPECTED = f"WITH {EXPECTED_SQL} "
 
 
@@ -78,13 +66,13 @@ def report_rollup(spark, sf_dir):
 
 
 def _eval_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 10th customer, and as many ids again that nobody predicted."""
-    some = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0")
-    known = some.select(F.concat(F.lit("brief-"), F.col("c_custkey").cast("string")).alias("id"))
-    return known.unionByName(some.select(F.concat(F.lit("absent-"), F.col("c_custkey").cast("string")).alias("id")))
+    """Customers with orders, and three times the number of every labelled document: some have no brief, some are listed twice."""
+    name = lambda c: F.concat(F.lit("brief-"), c.cast("string")).alias("id")
+    buyers = table(spark, sf_dir, "orders").select(name(F.col("o_custkey"))).distinct()
+    return buyers.unionByName(table(spark, sf_dir, "labels").select(name(F.col("doc_id") * 3)))
 
 
-_IDS = "ids AS (SELECT 'brief-' || c_custkey AS id FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'absent-' || c_custkey FROM customer WHERE c_custkey % 10 = 0)"
+_IDS = "ids AS (SELECT DISTINCT 'brief-' || o_custkey AS id FROM orders UNION ALL SELECT 'brief-' || doc_id * 3 FROM labels)"
 
 
 @query(f"WITH {EXPECTED_SQL}, {_IDS}, j AS (SELECT coalesce(surface, '?') AS surface, coalesce(schema_valid, false) AS schema_valid, coalesce(cov_n, 0) AS cov_n, "
@@ -142,9 +130,10 @@ def extract_fenced_block(spark, sf_dir):
     return _wrapped(spark, sf_dir).groupBy("n").agg(F.count("*").alias("rows"), F.count_if(v.isNotNull()).alias("parsed"))
 
 
-@query("SELECT (conv_id + turn) % 4 AS n, CAST(0 AS BIGINT) AS strict, CAST(sum(CASE WHEN (conv_id + turn) % 4 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS lenient FROM conversations GROUP BY 1")
+@query("""SELECT (conv_id + turn) % 4 AS n, CAST(sum(CASE WHEN (conv_id + turn) % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS strict,
+  CAST(sum(CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN 1 ELSE 0 END) AS BIGINT) AS lenient FROM conversations GROUP BY 1""")
 def parse_strict_or_lenient(spark, sf_dir):
-    raw = F.col("raw")
+    raw = F.regexp_replace("raw", "^Result ", "")
     return _wrapped(spark, sf_dir).groupBy("n").agg(F.count_if(jsonx.parse_strict(raw).isNotNull()).alias("strict"), F.count_if(F.try_parse_json(raw).isNotNull()).alias("lenient"))
 
 
@@ -175,19 +164,34 @@ def chat_text(spark, sf_dir):
 
 @query("SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1")
 def last_assistant_turn(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    return records.last_turn(table(spark, sf_dir, "conversations"))
 
 
 _PROMPT_SQL = "'Generate one synthetic example with these parameters:' || chr(10) || chr(10) || '- surface: ' || surf || chr(10) || '- account_shape: enterprise_expanding' || chr(10) || '- source_mix: rich'"
 
 
-@query(EXPECTED + f"SELECT 'brief-' || k AS id, surf AS surface, 3 AS n_messages, md5({_PROMPT_SQL}) AS prompt_md5, CAST(n AS INT) AS n_items, false AS has_meta FROM b WHERE NOT bad")
+# The assistant's message: keys by name, no blanks, no _meta.
+_BODY_SQL = """'{"account":{"industry":"' || c_mktsegment || '","name":"' || c_name || '"' || CASE WHEN k % 19 = 0 THEN ',"tier":1' ELSE '' END
+  || '},"carryover":"' || CASE WHEN k % 5 = 0 THEN 'left over' ELSE '  ' END || '","confidence":{"overall":"' || CASE WHEN k % 17 = 0 THEN 'sure' ELSE 'high' END || '"'
+  || CASE WHEN k % 43 = 0 THEN ',"per_section":{"pipeline":"sure","renewal":"low"}' ELSE '' END || '},"empty_sections":["timeline"' || CASE WHEN k % 2 = 0 THEN ',"landmines"' ELSE '' END
+  || '],"executive_summary":' || CASE WHEN k % 11 = 0 THEN 'null' ELSE '"S"' END || CASE WHEN k % 41 = 0 THEN '' ELSE ',"generated_at":"2026-01-01T00:00:00Z"' END
+  || ',"must_address":[' || array_to_string(list_transform(range(k % 3), lambda x: '{"open_in_meeting":"o","topic":"t","urgency":"high","what_happened":"w"}'), ',')
+  || '],"pipeline":{"items":[' || coalesce(items, '') || ']' || CASE WHEN k % 23 = 0 THEN ',"total_active_mrr":210000' ELSE '' END
+  || '},"sources_used":["sf_opp"' || CASE WHEN k % 31 = 0 THEN ',"sf_opp"' ELSE '' END || '],"support_health":{"items":[],"open_cases_count":' || CASE WHEN k % 37 = 0 THEN '-1' ELSE '2' END
+  || '},"surface":"' || surf || '","talking_points":[' || CASE WHEN k % 29 = 0 THEN '"a","b","c","d","e","f"' WHEN k % 4 = 1 THEN '"a"' ELSE '' END || ']}'"""
+_ITEMS_SQL = """(SELECT o_custkey, string_agg('{"amount":' || CASE WHEN o_orderkey % 17 = 0 THEN 'null' ELSE '"$' || o_orderkey || '"' END || ',"name":"Order ' || o_orderkey || '"'
+  || CASE WHEN o_orderkey % 3 = 0 THEN ',"sources":[{"ref":"' || o_orderkey || '","type":"sf_opp"}]' ELSE '' END || ',"stage":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY 1)"""
+
+
+@query(EXPECTED + f"""SELECT 'brief-' || k AS id, surf AS surface, 3 AS n_messages, md5({_PROMPT_SQL}) AS prompt_md5, CAST(n AS INT) AS n_items, false AS has_meta, md5({_BODY_SQL}) AS body_md5
+  FROM b JOIN customer ON c_custkey = k LEFT JOIN {_ITEMS_SQL} i ON o_custkey = k WHERE NOT bad""")
 def chat_records(spark, sf_dir):
     made = records.chat_records(briefs(spark, sf_dir), "You write briefs.", on_bad="quarantine")
-    v = F.try_parse_json(F.col("messages")[2].content)
+    body = F.col("messages")[2].content
+    v = F.try_parse_json(body)
     return made.select(
         "id", "surface", F.size("messages").alias("n_messages"), F.md5(F.col("messages")[1].content).alias("prompt_md5"),
-        F.size(jsonx.items(jsonx.get(v, "pipeline", "items"))).alias("n_items"), jsonx.get(v, "_meta").isNotNull().alias("has_meta"),
+        F.size(jsonx.items(jsonx.get(v, "pipeline", "items"))).alias("n_items"), jsonx.get(v, "_meta").isNotNull().alias("has_meta"), F.md5(body).alias("body_md5"),
     )
 
 
@@ -314,7 +318,7 @@ def running_example_ids(spark, sf_dir):
 
 @query(f"WITH {_ATTEMPTS} SELECT CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS good, CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) AS BIGINT) AS failed, CAST(sum(attempts) AS BIGINT) AS attempts FROM r")
 def run_totals(spark, sf_dir):
-    return knobs.resolve(_attempts(spark, sf_dir)).agg(F.count_if("success").alias("good"), F.count_if(~F.col("success")).alias("failed"), F.sum("attempts").alias("attempts"))
+    return knobs.run_summary(knobs.resolve(_attempts(spark, sf_dir)))
 
 
 @query("SELECT n, count(*) AS rows, min(outcome) AS outcome FROM (SELECT (conv_id + turn) % 4 AS n, CASE (conv_id + turn) % 4 WHEN 0 THEN 'schema' WHEN 3 THEN 'parse' ELSE 'parse' END AS outcome FROM conversations) GROUP BY 1")
@@ -528,16 +532,27 @@ def open_or_recent(spark, sf_dir):
   SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY r) AS ranked FROM x WHERE r <= 3 GROUP BY 1""")
 def urgency_ranking(spark, sf_dir):
     urgency = F.element_at(F.array(*[F.lit(u) for u in bundle.URGENCY]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", urgency.alias("urgency")))).alias("e"))
-    top = F.slice(bundle.ranked_by_urgency(F.col("e")), 1, 3)
-    return lists.select("o_custkey", F.array_join(F.transform(top, lambda x: x.o_orderkey.cast("string")), ",").alias("ranked"))
+    top = bundle.top_rows(table(spark, sf_dir, "orders"), "o_custkey", [bundle.urgency_rank(urgency), "o_orderkey"], 3)
+    return _listed(top, "ranked")
+
+
+def _listed(top: DataFrame, name: str) -> DataFrame:
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("rank", "o_orderkey"))), lambda x: x.o_orderkey.cast("string"))
+    return top.groupBy("o_custkey").agg(F.array_join(keys, ",").alias(name))
 
 
 @query("""SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate DESC, o_orderkey DESC) AS newest FROM
   (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 5 GROUP BY 1""")
 def newest_entries(spark, sf_dir):
-    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderdate", "o_orderkey")).alias("e"))
-    return lists.select("o_custkey", F.array_join(F.transform(bundle.newest(F.col("e")), lambda x: x.o_orderkey.cast("string")), ",").alias("newest"))
+    return _listed(bundle.top_rows(table(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 5), "newest")
+
+
+@query("""SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END, o_orderkey) AS ranked FROM orders GROUP BY 1""")
+def urgency_in_lists(spark, sf_dir):
+    """The same order within the list of a document."""
+    urgency = F.element_at(F.array(*[F.lit(u) for u in bundle.URGENCY]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", urgency.alias("urgency")))).alias("e"))
+    return lists.select("o_custkey", F.array_join(F.transform(bundle.ranked_by_urgency(F.col("e")), lambda x: x.o_orderkey.cast("string")), ",").alias("ranked"))
 
 
 @query(f"""WITH e AS (SELECT doc_id, token FROM documents, (SELECT DISTINCT i, token FROM {_HINT_SQL}) WHERE (doc_id + i) % 9 = 0)
@@ -552,10 +567,12 @@ def coverage_matrix(spark, sf_dir):
     return bundle.coverage_matrix(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("surface"), F.col("c_nationkey").alias("account_shape")))
 
 
-@query("""SELECT user_id, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END), 6) AS null_share FROM events GROUP BY 1 HAVING count(*) >= 5""")
+@query("""SELECT user_id, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END), 6) AS null_share FROM events
+  WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 45 DAY AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1 HAVING count(*) >= 5""")
 def activity_volume(spark, sf_dir):
-    found = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg((F.col("event_type") == "click").cast("int")), 6).alias("null_share"))
-    return found.where("n >= 5")
+    contact = F.when(F.col("event_type") != "click", F.col("event_type"))
+    found = bundle.activity_volume(table(spark, sf_dir, "events"), "user_id", F.col("ts"), contact, F.lit("2024-01-20").cast("date"), least=5)
+    return found.withColumn("null_share", F.round("null_share", 6))
 
 
 @query("""SELECT n_regionkey, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END), 2) AS open_total, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS states
@@ -563,10 +580,8 @@ def activity_volume(spark, sf_dir):
 def open_totals(spark, sf_dir):
     orders, customers, nations = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     j = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("n_regionkey").agg(
-        F.round(F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).otherwise(0)), 2).alias("open_total"),
-        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"),
-    )
+    found = bundle.open_sums(j, "n_regionkey", F.col("o_orderstatus") == "O", F.col("o_totalprice"), F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus"))
+    return found.select("n_regionkey", F.round("open_total", 2).alias("open_total"), "urgent", F.array_join("kinds", ",").alias("states"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag))) AS inline, CASE WHEN l_orderkey % 2 = 0 THEN ['A', 'N'] ELSE ['R'] END AS used FROM lineitem GROUP BY 1)
@@ -601,17 +616,7 @@ def lints_texts(spark, sf_dir):
 
 @query("""SELECT page_id, split_part(split_part(url, '/', 3), ':', 1) AS host, regexp_matches(url, '^https://') AS secure FROM pages""")
 def page_hosts(spark, sf_dir):
-    host = F.split_part(F.split_part(F.col("url"), F.lit("/"), F.lit(3)), F.lit(":"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.col("url").rlike("^https://").alias("secure"))
-
-
-@query(EXPECTED + """SELECT surf AS surface, count(*) AS n, CAST(sum(CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_heavy FROM b WHERE surf = 'escalation' AND NOT bad GROUP BY 1""")
-def lints_emphasis(spark, sf_dir):
-    """Of escalations: how many populate must_address, the first of their heavy sections."""
-    v = F.col("v")
-    parsed = briefs(spark, sf_dir).withColumn("v", jsonx.parse_strict(F.col("raw"))).where("v is not null")
-    made = parsed.select(jsonx.get_string(v, "surface").alias("surface"), metrics.populated(jsonx.get(v, "must_address")).alias("heavy"))
-    return made.where("surface = 'escalation'").groupBy("surface").agg(F.count("*").alias("n"), F.count_if("heavy").alias("n_heavy"))
+    return table(spark, sf_dir, "pages").select("page_id", bundle.host(F.col("url")).alias("host"), F.col("url").rlike("^https://").alias("secure"))
 
 
 # ---- plans, diagnostics ----------------------------------------------------------------------------------------------
@@ -619,7 +624,7 @@ def lints_emphasis(spark, sf_dir):
 
 @query("SELECT conv_id, turn, right(text, 90) AS tail, CAST(length(text) AS INT) AS chars FROM conversations")
 def tail_diagnostics(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.right("text", F.lit(90)).alias("tail"), F.length("text").alias("chars"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", masking.text_tail(F.col("text")).alias("t")).select("conv_id", "turn", "t.tail", "t.chars")
 
 
 @query(f"WITH {_TOKENS} SELECT l_orderkey, array_to_string(ids[1:3], ',') AS ids FROM t")
@@ -627,9 +632,37 @@ def truncated_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir).select("l_orderkey", F.array_join(masking.truncated(F.col("ids"), 3), ",").alias("ids"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', {n})" for s, n in knobs.BATCH_PLAN.items()) + ") p(surface, planned)")
+@query(EXPECTED + """SELECT surf AS surface, count(*) AS made, CAST(CASE surf WHEN 'meeting_prep' THEN 60 WHEN 'qbr' THEN 100 WHEN 'handoff' THEN 100 WHEN 'renewal_alert' THEN 100
+  WHEN 'onboarding' THEN 100 WHEN 'escalation' THEN 100 END AS INT) AS planned FROM b WHERE NOT bad GROUP BY 1""")
 def batch_plan(spark, sf_dir):
-    return spark.createDataFrame(list(knobs.BATCH_PLAN.items()), "surface string, planned int")
+    """Examples there are of each surface, and how many are planned."""
+    made = records.chat_records(briefs(spark, sf_dir), "You write briefs.", on_bad="quarantine")
+    return made.groupBy("surface").agg(F.count("*").alias("made")).withColumn("planned", knobs.planned()[F.col("surface")])
+
+
+@query(EXPECTED + "SELECT surf AS surface, count(*) AS n, CAST(0 AS BIGINT) AS n_warnings FROM b WHERE NOT bad GROUP BY 1")
+def record_summary(spark, sf_dir):
+    return records.summary(records.chat_records(briefs(spark, sf_dir), "You write briefs.", on_bad="quarantine"))
+
+
+@query("SELECT c_custkey AS id, 'shape not found' AS warning FROM customer WHERE c_custkey % 3 = 0 ORDER BY c_custkey LIMIT 10")
+def record_warnings(spark, sf_dir):
+    shape = F.when(F.col("c_custkey") % 3 != 0, "enterprise_steady")
+    return records.warnings(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), shape.alias("shape")), 10)
+
+
+@query("SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 16 AS BIGINT) AS batch FROM customer")
+def training_batches(spark, sf_dir):
+    return masking.batches(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", chunk=100)
+
+
+@query(f"""WITH {_LOG}, c AS (SELECT event_id AS step, CASE WHEN event_id % 4 = 0 THEN value END AS loss, value FROM events),
+  d AS (SELECT *, last_value(loss IGNORE NULLS) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS last_loss, max(value) OVER (PARTITION BY CAST(ceil(step / 5.0) AS BIGINT), step = 0) AS tick_peak FROM c)
+  SELECT step, last_loss, tick_peak FROM d WHERE step <> 0 AND step % 5 = 0""")
+def step_ticks_of_one_run(spark, sf_dir):
+    """One log without runs, in chunks."""
+    log = _log(spark, sf_dir).select((F.col("step") * 50 + F.col("run")).alias("step"), "loss", "peak_alloc_gb")
+    return monitor.ticks(log, chunk=70)
 
 
 @query("SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), c_name) AS amount FROM customer")

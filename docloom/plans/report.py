@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.metrics import meets, percent
+from docloom.operators.metrics import THRESHOLDS, meets, percent
 
 OVERALL = "OVERALL"
 
@@ -47,6 +47,37 @@ def failures(scores: DataFrame, most: int = 3) -> DataFrame:
     return scores.where(~F.col("schema_valid")).select("id", F.array_join(F.slice("schema_errors", 1, most), "; ").alias("messages")).orderBy("id")
 
 
+def percent_text(n: Column, d: Column, metric: str, stage: str = "v0.1") -> Column:
+    """As ``96.0% (target >= 95%)``; ``n/a`` where there is nothing to count."""
+    relation, bound = next((r, b) for m, s, r, b in THRESHOLDS if (m, s) == (metric, stage))
+    return F.coalesce(F.concat(F.format_string("%.1f%%", percent(n, d)), F.lit(f" (target {relation} {bound:g}%)")), F.lit("n/a"))
+
+
+def paired(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """(id, predicted, gold): matched by id, never by position; ids on one side only have a NULL on the other."""
+    return predictions.select("id", F.col("raw").alias("predicted")).join(gold.select("id", F.col("raw").alias("gold")), "id", "full")
+
+
+def card(scores: DataFrame, ids: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """The report card (part, line): a line a surface, targets of the whole, missing ids, the first failures and warnings."""
+    found = report(scores)
+    total = F.col("surface") == OVERALL
+    show = lambda c: F.coalesce(F.format_string("%.1f%%", F.col(c)), F.lit("n/a"))
+    rows = found.select(F.when(total, "2 total").otherwise("1 surface").alias("part"), F.concat_ws(" ", "surface", F.col("n").cast("string"), show("m1"), show("m3"), show("m5")).alias("line"))
+    whole = found.where(total)
+    parts = [rows]
+    for m, n, d in (("m1", "n_valid", "n"), ("m3", "cov_n", "cov_d"), ("m5", "attr_n", "attr_d")):
+        parts.append(whole.select(F.lit("3 target").alias("part"), F.concat_ws(" ", F.lit(m), percent_text(F.col(n), F.col(d), m), F.when(meets(F.col(m), m), "ok").otherwise("missed")).alias("line")))
+    parts.append(failures(scores, most).select(F.lit("4 failure").alias("part"), F.concat_ws(": ", "id", "messages").alias("line")).limit(10))
+    parts.append(scores.where("surface = '?'").orderBy("id").select(F.lit("5 warning").alias("part"), F.concat(F.lit("no JSON object: "), F.col("id")).alias("line")).limit(10))
+    if ids is not None:
+        parts.append(missing_ids(ids, scores).orderBy("id").select(F.lit("6 missing").alias("part"), F.col("id").alias("line")).limit(10))
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def lines(rows: list) -> list[str]:
     """The report as text; all logic is in the rows."""
     show = lambda x: "n/a" if x is None else f"{x:.1f}%"

@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
+import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +18,33 @@ from docloom.functions.jsonx import first_object, strip
 RECORD = "id string, messages array<struct<role: string, content: string>>"
 
 
+def setting(spark: SparkSession, key: str, env: str | None = None, default: str | None = None) -> str | None:
+    """A setting from the session, else from the driver's environment, else ``default``."""
+    found = spark.conf.get(key, None)
+    return found if found is not None else os.environ.get(env or "", default)
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder name that executors reach: under ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    base = setting(spark, "spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def upstream(spark: SparkSession, source: dict) -> DataFrame:
+    """Rows of a system outside: ``format`` (jdbc, json, csv, parquet, table, ...), ``options``, ``path``, and ``columns`` that map
+    its column names to ours; ``where`` is a condition on its own names, which goes to the source where the source can take it."""
+    reader = spark.read.format(source["format"]).options(**source.get("options", {})) if source["format"] != "table" else None
+    found = spark.table(source["path"]) if reader is None else reader.load(source["path"]) if "path" in source else reader.load()
+    if "where" in source:
+        found = found.where(source["where"])
+    columns = source.get("columns")
+    return found.select(*[F.col(theirs).alias(ours) for theirs, ours in columns.items()]) if columns else found
+
+
 def documents(spark: SparkSession, glob: str) -> DataFrame:
     """(id, path, raw): one row per file, id is the file's name without .json. The order is that of ``path`` where it is asked for."""
     return spark.read.text(glob, wholetext=True).select(
@@ -30,13 +63,34 @@ def id_list(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame
     return found.distinct() if distinct else found
 
 
-def records(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """JSONL records with an id; those without are left out (count them with ``without_id``). ``first`` takes the first n by file order."""
+def records(spark: SparkSession, path: str, first: int | None = None, limit: int | None = None) -> DataFrame:
+    """JSONL records with an id; those without are left out (count them with ``without_id``).
+
+    ``first`` takes the first n lines by file order and names those without an id by their line; ``limit`` counts after
+    records without an id are skipped.
+    """
     rows = spark.read.schema(RECORD).json(path)
     if first is not None:
         rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(first)
         return rows.select(F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("line"), F.col("_at").cast("string"))).alias("id"), "messages")
-    return rows.where("id <> ''")
+    rows = rows.where("id <> ''")
+    if limit is not None:
+        rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(limit).drop("_at")
+    return rows
+
+
+def first_record(spark: SparkSession, path: str) -> DataFrame:
+    """The record of a file's first line, as one row."""
+    return records(spark, path, first=1)
+
+
+def dataset(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """Records of several files (train, eval, ...) with their ``split``."""
+    out = None
+    for split, path in files.items():
+        one = spark.read.schema(RECORD).json(path).withColumn("split", F.lit(split))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def without_id(spark: SparkSession, path: str) -> DataFrame:
@@ -75,24 +129,39 @@ def quarantine(rejected: DataFrame, path: str, stamp: int) -> None:
     rejected.withColumn("name", name).write.mode("append").json(path)
 
 
+def write_sanity(texts: DataFrame, folder: str) -> None:
+    """Raw generated texts (step, id, text) under a checkpoint's folder, one folder a step, ids in front of the texts."""
+    texts.select("step", F.concat(F.lit("=== "), F.col("id"), F.lit("\n"), F.col("text"), F.lit("\n")).alias("value")).write.mode("append").partitionBy("step").text(f"{folder}/sanity")
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def export_documents(docs: DataFrame, folder: str) -> DataFrame:
-    """One file {id}.json a document, indented and with its keys in order, by Spark's own file system so that the folder may be in any store; returns (id, bytes).
+def export_documents(docs: DataFrame, folder: str, threads: int = 16) -> DataFrame:
+    """One file {id}.json a document, indented and with its keys in order; returns (id, bytes).
 
-    Runs on the driver's file system objects in order, so it is for exports of a size that people look at; data stay in Parquet.
+    Tasks format and write the texts, in any store that Spark writes to, under names of its own; the driver only gives the
+    files their names. Documents are objects: their closing brace is what ends a line. Ids must be unique and fit a file
+    name; a repeated id raises.
     """
     spark = docs.sparkSession
-    jvm = spark._jvm
-    rows = []
-    for r in docs.select("id", "raw").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.id}.json")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        data = json.dumps(json.loads(r.raw), indent=2, ensure_ascii=False).encode()
-        out.write(bytearray(data))
-        out.close()
-        rows.append((r.id, len(data)))
-    return spark.createDataFrame(rows, "id string, bytes long")
-
+    work = f"{folder}/_export-{uuid.uuid4().hex}"
+
+    def pretty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [json.dumps(json.loads(x.as_py()), indent=2, ensure_ascii=False).removesuffix("}") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "value"])
+
+    docs.select("id", "raw").mapInArrow(pretty, "id string, value string").write.option("lineSep", "}").option("maxRecordsPerFile", 1).partitionBy("id").text(work)
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(work).select("path", "length")
+    name = F.regexp_extract("path", "/id=([^/]*)/[^/]*$", 1)
+    found = written.select("path", F.col("length").alias("bytes"), F.call_function("url_decode", F.replace(name, F.lit("+"), F.lit("%2B"))).alias("id")).collect()
+    if len({r.id for r in found}) < len(found):
+        raise ValueError("an id is repeated")
+    hadoop, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(hadoop)
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(lambda r: store.rename(path(r.path), path(f"{folder}/{r.id}.json")), found))
+    store.delete(path(work), True)
+    return spark.createDataFrame([(r.id, r.bytes) for r in found], "id string, bytes long")

@@ -20,6 +20,16 @@ def score_stream(docs: DataFrame, out: str, checkpoint: str):
     return flat.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def step_ticks(log: DataFrame, every: int = 5) -> DataFrame:
-    """Tumbling count windows over a stream of step logs: the peak of each tick."""
-    return log.where("step > 0").groupBy(F.ceil(F.col("step") / every).alias("tick")).agg(F.max("peak_alloc_gb").alias("tick_peak"))
+def step_ticks(log: DataFrame, every: int = 5, time: str | None = None, late: str = "10 minutes", gap: str = "1 hour", run: str | None = None) -> DataFrame:
+    """Tumbling count windows over a stream of step logs: the peak of each tick.
+
+    With the column of event ``time`` a tick is a session of its rows that ends after ``gap`` without any; its state goes
+    once the watermark, ``late`` behind, has passed. Without one all ticks stay open, as for a log that ends.
+    """
+    keys = [run] if run else []
+    tick = F.ceil(F.col("step") / every).alias("tick")
+    log = log.where("step > 0")
+    if time is None:
+        return log.groupBy(*keys, tick).agg(F.max("peak_alloc_gb").alias("tick_peak"))
+    found = log.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), *keys, tick).agg(F.max("peak_alloc_gb").alias("tick_peak"))
+    return found.drop("session")
