@@ -89,7 +89,8 @@ def _served(found: DataFrame, keys: list[str], tasks: int, load, ask, schema: st
                 else:
                     yield from ask(state, row)
 
-    return found.repartition(tasks, *keys).sortWithinPartitions(*keys, "block").mapInArrow(run, schema)
+    spread = tasks + min(3 * tasks, 200)  # few tasks would often meet in one partition
+    return found.repartition(spread, *keys).sortWithinPartitions(*keys, "block").mapInArrow(run, schema)
 
 
 def search(
@@ -129,7 +130,7 @@ def search(
         yield _row({"shard": key[0].as_py(), "dim": dim, "block": -1, "ids": flat, "ends": ends, **graph.dump(), "vectors": raw}, head + _PARTS)
 
     shard = F.pmod(F.xxhash64("blob"), F.lit(shards)).cast("int").alias("shard")
-    index = settle(nodes.select("ids", "blob", "dim", shard).repartition(shards, "shard", "dim").groupBy("shard", "dim").applyInArrow(build, head + _PARTS), "index")
+    index = settle(nodes.select("ids", "blob", "dim", shard).repartition(shards + min(3 * shards, 200), "shard", "dim").groupBy("shard", "dim").applyInArrow(build, head + _PARTS), "index")
 
     asked = rows.where(is_query)
     blocks = max(1, math.ceil(asked.count() / query_rows))
@@ -288,7 +289,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard_rows: int =
         yield pa.RecordBatch.from_arrays([*keys, *one.columns], names=["label", "shard", "shards", *one.schema.names])
 
     schema = f"label {label}, shard int, shards int, dim int, block int, {_PARTS}"
-    index = settle(dealt.repartition(shards, "label", "dim", "shard", "shards").groupBy("label", "dim", "shard", "shards").applyInArrow(build, schema), "index")
+    index = settle(dealt.repartition(shards + min(3 * shards, 200), "label", "dim", "shard", "shards").groupBy("label", "dim", "shard", "shards").applyInArrow(build, schema), "index")
     # Block b of shard f is asked of the shards after f; blocks are numbered across shards, some dozen make a task. The task
     # with a shard's last questions asks it with its own vectors too.
     width = F.floor((F.octet_length("ids") / 8 + step - 1) / step).cast("int") * 8
