@@ -13,6 +13,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,12 +49,18 @@ def varied(token: str) -> bool:
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 300) -> list[tuple[int, int, str]]:
-    """Weak parts whose scope holds complementary parts: a secret side with an identifier side, or either with an endpoint."""
+    """Weak parts whose scope holds part of another side: of identifier, secret and endpoint two must meet.
+
+    The scope of a part reaches ``reach`` characters beyond it on either side, but not over a blank line. Parts are joined
+    as intervals: a part of another side counts if any of it lies in the scope, wherever it begins.
+    """
     taken = sorted(base)
+    begins, tops = [a for a, _, _ in taken], list(accumulate((b for _, b, _ in taken), max))
 
     def free(a: int, b: int) -> bool:
-        k = bisect_left(taken, (b,))
-        return not any(y > a for _, y, _ in taken[max(0, k - 3) : k])
+        """No strong span overlaps: of those begun before b, none reaches beyond a."""
+        k = bisect_left(begins, b)
+        return not k or tops[k - 1] <= a
 
     weak = [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
     weak += [(*m.span(), "user") for m in USER.finditer(text) if free(*m.span())]
