@@ -233,7 +233,8 @@ def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: f
     """A spanning forest (lower, higher number) of the links among texts given as shingles and counts.
 
     A shingle that stands k times is k tokens, so the sum of minima is the weight of common tokens. Each text is compared
-    through the posting lists of its tokens with all texts before it, or with those of the ``first`` ones.
+    through the posting lists of its tokens with all texts before it; with ``first``, only the texts from there on with those
+    before.
     """
     bits = int(len(idf)).bit_length() - 1
     tokens, owner = [], []
@@ -264,7 +265,7 @@ def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: f
         return i
 
     out = []
-    for x in range(len(found)):
+    for x in range(first or 0, len(found)):
         mine = slice(begin[x], begin[x] + size[x])
         n = before[mine]
         if not n.any():
@@ -283,25 +284,35 @@ def linked(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, least: f
 def _within(members: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     """Links (a, b) of failed texts in the buckets of ``members(band, key, doc, n, failed, fails)``.
 
-    A group is a chunk of at most about ``CHUNK`` failed texts (of ``fails``) and one of texts of the bucket (of ``n``).
+    Failed texts (``fails`` of the ``n`` in a bucket) and the others are dealt into chunks of about ``CHUNK``. A group is a pair
+    of chunks of failed texts, or one of failed texts and one of others; each pair of texts meets in one group.
     """
 
     def join(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, found = Shingles().of, ({}, {})  # by document and text: a doc_id can have several
+        of, sides = Shingles().of, ({}, {})  # by document and text: a doc_id can have several
         for batch in batches:
-            for doc, asks, text in zip(batch.column("doc").to_pylist(), batch.column("asks").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found[not asks][doc, text] = None
-        keys = [*found[0], *(k for k in found[1] if k not in found[0])]
-        edges = linked([of(text) for _, text in keys], idf.value, least, len(found[0]))
+            for doc, side, text in zip(batch.column("doc").to_pylist(), batch.column("side").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                sides[side][doc, text] = None
+        keys = [*sides[0], *(k for k in sides[1] if k not in sides[0])]
+        edges = linked([of(text) for _, text in keys], idf.value, least, len(sides[0]) or None)
         yield pa.RecordBatch.from_arrays([pa.array([keys[e[k]][0] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    chunks, asking = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("n", "fails"))
-    own = lambda n: F.pmod(F.xxhash64("doc", F.lit(23)), n).cast("int")
-    base = members.select("band", "key", "doc", "failed", chunks.alias("js"), asking.alias("is"))
-    asked = base.select("band", "key", "doc", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), own(F.col("js")).alias("j"))
-    asks = base.where("failed").select("band", "key", "doc", F.lit(True).alias("asks"), own(F.col("is")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"))
-    wide = asks.union(asked.select("band", "key", "doc", "asks", "i", "j")).join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    return wide.groupBy("band", "key", "i", "j").applyInArrow(join, "a long, b long").where("a <> b").distinct()
+    chunks = lambda n: F.greatest(F.ceil(n / CHUNK), F.lit(1)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking, others = chunks(F.col("fails")), chunks(F.col("n") - F.col("fails"))
+    own = F.pmod(F.xxhash64("doc", F.lit(23)), F.when(F.col("failed"), F.col("asking")).otherwise(F.col("others"))).cast("int")
+    base = members.select("band", "key", "doc", "failed", asking.alias("asking"), others.alias("others")).withColumn("own", own)
+    failed = base.where("failed")
+    pairs = failed.withColumn("other", every(F.col("asking"))).select(
+        "band", "key", "doc", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), F.lit(0).alias("kind")
+    )
+    # Both chunks of a pair are compared with each other; a chunk alone (i = j) with itself, as all its texts are on one side.
+    alone = F.when(F.col("i") == F.col("j"), 1).otherwise(F.col("side"))
+    left = failed.withColumn("j", every(F.col("others"))).select("band", "key", "doc", F.col("own").alias("i"), "j", F.lit(0).alias("side"), F.lit(1).alias("kind"))
+    right = base.where("not failed").withColumn("i", every(F.col("asking"))).select("band", "key", "doc", "i", F.col("own").alias("j"), F.lit(1).alias("side"), F.lit(1).alias("kind"))
+    dealt = pairs.withColumn("side", alone).union(left).union(right)
+    wide = dealt.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return wide.groupBy("band", "key", "kind", "i", "j").applyInArrow(join, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

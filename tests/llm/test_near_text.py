@@ -98,15 +98,15 @@ def test_failed_texts_are_compared_with_all(spark):
     docs = [(k, " ".join(base[k % 6][: 60 - k // 40]), k % 6) for k in range(240)]
     idf = np.ones(1 << 12)
     found = [minhash.Shingles().of(t) for _, t, _ in docs]
-    for first in (1, 30, 240):
+    for first in (None, 1, 30, 239):
         edges = minhash.linked(found, idf, 0.8, first)
-        assert all(a < b and a < first and docs[a][2] == docs[b][2] for a, b in edges)
+        assert all(a < b and docs[a][2] == docs[b][2] and (first is None or a < first <= b) for a, b in edges)
         part = {k: k for k in range(240)}
         for _ in range(30):
             for a, b in edges:
                 part[a] = part[b] = min(part[a], part[b])
-        for b in range(240):
-            near = [a for a in range(first) if docs[a][2] == docs[b][2] and minhash.similarity(found[a], found[b], idf) >= 0.8]
+        for b in range(first or 0, 240):
+            near = [a for a in range(first or b) if docs[a][2] == docs[b][2] and minhash.similarity(found[a], found[b], idf) >= 0.8]
             assert all(part[a] == part[b] for a in near)
 
 
@@ -118,11 +118,15 @@ def test_buckets_with_a_bad_lead(spark, monkeypatch, chunk):
     one, two = ([f"{c}{rng.randrange(10**6)}" for _ in range(80)] for c in "ab")
     texts = {0: " ".join(one + two)} | {k: " ".join(one[: 80 - k % 3]) for k in range(1, 20)} | {k: " ".join(two[: 80 - k % 3]) for k in range(20, 40)}
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").where("doc_id >= 0")
-    members = spark.createDataFrame([(0, 7, k, len(texts), k > 0, len(texts) - 1) for k in texts], "band int, key long, doc long, n long, failed boolean, fails long")
     idf = spark.sparkContext.broadcast(np.ones(1 << 12))
-    edges = [tuple(r) for r in minhash._within(members, docs, idf, 0.8).collect()]
-    part = {k: k for k in texts}
-    for _ in range(40):
-        for a, b in edges:
-            part[a] = part[b] = min(part[a], part[b])
-    assert part == {0: 0} | {k: 1 for k in range(1, 20)} | {k: 20 for k in range(20, 40)}
+    for failed in (range(1, 40), range(20, 40), [25]):
+        members = spark.createDataFrame([(0, 7, k, len(texts), k in failed, len(failed)) for k in texts], "band int, key long, doc long, n long, failed boolean, fails long")
+        edges = [tuple(r) for r in minhash._within(members, docs, idf, 0.8).collect()]
+        part = {k: k for k in texts}
+        for _ in range(40):
+            for a, b in edges:
+                part[a] = part[b] = min(part[a], part[b])
+        for x in (range(1, 20), range(20, 40)):  # what failed is with its like; the others hang together by their lead
+            if set(x) & set(failed):
+                assert len({part[k] for k in x}) == 1
+        assert part[0] == 0 and part[1] != part[20]
