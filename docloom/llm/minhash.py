@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, settle
+from docloom.llm.common import components, settle, unused
 from docloom.llm.hashing import run_hashes, runs
 
 WORDS = 5
@@ -199,8 +199,7 @@ def sketch_bands(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) ->
                     [pa.array(ids[begin:k], pa.int64()), keys.slice(begin, k - begin), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"]
                 )
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), text_digest().alias("text_key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
         run, "doc_id long, text_key string, bands array<long>"
     )
 
@@ -316,27 +315,28 @@ def _within(members: DataFrame, texts: DataFrame, idf, least: float) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class), kept (doc_id = class_id).
+    """One row per document: doc_id, class_id (the smallest doc_id of its class), kept, text_key (``text_digest`` of its text).
 
-    Null texts count as empty; equal texts, empty ones too, are one class. Texts of fewer than five words match only
-    equal word sequences. Rows of the same doc_id count as one document and come back once; the class is that of
-    any of its texts. Rows without a doc_id come back as one row, kept, and link with nothing. Extra columns are ignored. An empty table gives an empty result. Texts are read whole.
+    A document is a doc_id and a text: rows equal in both come back once, different texts under one doc_id are documents of
+    their own. Of each class one is kept, that of the smallest doc_id (then text_key). Null texts count as empty; equal texts,
+    empty ones too, are one class. Texts of fewer than five words match only equal word sequences. Rows without a doc_id
+    are kept and link with nothing. Extra columns are ignored. An empty table gives an empty result. Texts are read whole.
     """
     counts, n = document_frequencies(docs)
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(counts, n))  # 2**SKETCH_BITS numbers, whatever the corpus
     light = settle(sketch_bands(docs, idf, bands, rows), "bands")
-    exact = light.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = settle(exact, "texts")
-    copies = light.join(reps.where("n > 1").select("text_key", "rep"), "text_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    exact = light.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    reps = settle(exact.withColumn("node", F.monotonically_increasing_id()), "texts")  # numbers are fixed by being written
 
-    entries = reps.where("bands is not null").select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "key"))
+    entries = reps.where("bands is not null").select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
     buckets = settle(buckets, "buckets")
     member = settle(entries.join(buckets.drop("n"), ["band", "key"]), "members")
     pairs = settle(member.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), "doc_id")
-    texts = settle(chosen.dropDuplicates(["doc_id", "text"]), "candidates")
+    wanted = reps.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", F.col("rep").alias("_id"), F.col("text_key").alias("_key"))
+    # One row a text: that of its smallest doc_id, however many copies there are.
+    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), text_digest().alias("_key"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), ["_id", "_key"])
+    texts = settle(chosen.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "candidates")
     links = settle(_verify(pairs, texts, idf, least), "links")
 
     failed = pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("doc"), F.lit(True).alias("failed"))
@@ -345,10 +345,26 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     wider = member.join(open_, ["band", "key"]).join(failed, ["band", "key", "doc"], "left")
     more = settle(_within(wider.withColumn("failed", F.col("failed").isNotNull()), texts, idf, least), "links")
 
-    found = components(links.union(more).union(copies))
-    ids = light.select("doc_id").distinct()
-    return (
-        ids.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    parts = components(links.union(more)).withColumnRenamed("id", "node")
+    parts = settle(reps.select("node", "rep", "text_key").join(parts, "node"), "parts")
+    parts = parts.join(parts.groupBy("component").agg(F.min(F.struct("rep", "text_key")).alias("first")), "component").select("node", "first")
+    first = F.coalesce(F.col("first"), F.struct("rep", "text_key"))
+    classes = reps.select("node", "rep", "text_key").join(parts, "node", "left").select("text_key", first.alias("first"))
+    rows_ = light.select("doc_id", "text_key").distinct()
+    known = rows_.where("doc_id is not null").join(classes, "text_key").select(
+        "doc_id", F.col("first.rep").alias("class_id"), (F.struct("doc_id", "text_key") == F.struct(F.col("first.rep").alias("doc_id"), F.col("first.text_key").alias("text_key"))).alias("kept"), "text_key"
     )
+    return known.union(rows_.where("doc_id is null").select("doc_id", "doc_id", F.lit(True), "text_key"))
+
+
+def text_digest(column: str = "text"):
+    """The digest that tells texts apart; null is as empty."""
+    return F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each near-duplicate class, with all its columns; rows without a doc_id all stay."""
+    own, key = unused(docs, "own", "key")
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
+    named = docs.where("doc_id is not null").withColumns({own: F.col("doc_id").cast("long"), key: text_digest()})
+    return named.join(kept.hint("merge"), [own, key]).dropDuplicates([own, key]).select(*docs.columns).union(docs.where("doc_id is null"))

@@ -46,7 +46,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    """doc_id, class_id (the smallest doc_id of its class) and kept of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
