@@ -19,13 +19,13 @@ from docloom.llm.hashing import run_hashes, runs
 
 BITS = 18
 FIT_ROWS = 8_000
+FIT_BYTES = 128 << 20  # of column lists on the driver, 4 bytes a column
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = ord("X"), ord("x"), ord("9"), ord("x")
-SHAPE_SIGNS = 6
 
 
 def _shapes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -35,8 +35,7 @@ def _shapes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     turn[1:] = kind[1:] != kind[:-1]
     turn[starts] = True
     place = np.cumsum(turn)
-    lo, hi = place[starts] - 1, np.minimum(place[ends - 1], place[starts] - 1 + SHAPE_SIGNS)
-    return run_hashes(kind[turn], lo, hi)
+    return run_hashes(kind[turn], place[starts] - 1, place[ends - 1])
 
 
 class Features:
@@ -164,12 +163,14 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS, target: str = "quality") -> Model:
     """Fit on at most ``fit_rows`` labelled rows that are not held out. Labels without a text, or null, are left out.
 
-    The chosen labels are a bounded side and are broadcast; texts become short column lists on the executors.
+    The chosen labels are a bounded side and are broadcast; texts become column lists on the executors. Rows come to the
+    driver in the order of a hash of their id, until there are ``FIT_BYTES``; of several texts under one id one is taken.
     """
+    chance = F.xxhash64(F.col("doc_id").cast("long"), F.lit(11))
     chosen = (
         labels.where(~held_out() & F.col(target).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max(target).alias("y"))
-        .orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(fit_rows)
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).alias("y"))
+        .orderBy(chance, "doc_id").limit(fit_rows)
     )
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +181,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: in
 
     found = (
         docs.select(F.col("doc_id").cast("long"), F.col("text")).join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", F.col("y").cast("int")).mapInArrow(columns, "doc_id long, columns binary, y int").collect()
+        .select("doc_id", "text", F.col("y").cast("int")).mapInArrow(columns, "doc_id long, columns binary, y int")
+        .groupBy("doc_id").agg(F.min("columns").alias("columns"), F.first("y").alias("y")).orderBy(chance, "doc_id")
     )
-    found.sort(key=lambda r: (r.doc_id, bytes(r.columns)))
-    return fit([np.frombuffer(r.columns, "<i4").astype(np.int64) for r in found], np.array([r.y for r in found], int), bits)
+    kept, held = [], 0
+    for r in found.toLocalIterator(prefetchPartitions=True):
+        if held + len(r.columns) > FIT_BYTES and kept:
+            break
+        kept.append((r.doc_id, bytes(r.columns), r.y))
+        held += len(r.columns)
+    kept.sort()
+    return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, x, _ in kept], np.array([y for _, _, y in kept], int), bits)
 
 
 def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
