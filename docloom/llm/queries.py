@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import html, line_dedup, minhash, mixing, neighbours, packing, quality, secrets, suffix_dedup
 from docloom.llm.common import table
+from docloom.llm.oracles import SQL
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -76,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return SQL | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
