@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="docloom-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -30,10 +32,19 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends in files that outlive executors."""
+FILES_A_CORE = 4
+
+
+def settle(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends in files that outlive executors.
+
+    ``light`` frames hold a few numbers for some of the rows: they are written by a few tasks a core, each taking several
+    partitions one after the other, so that they don't become very many small files.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
+    if light:
+        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,7 +79,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     a collected list. Every round is settled in the shared folder. Nodes without an edge are not returned.
     """
     star = settle(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", light=True
     )
     state = None
     for _ in range(max_rounds):
@@ -79,8 +90,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         small = large.join(least, "u")
         new = settle(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(),
-            "cc",
-        )
+            "cc", light=True,
+        )
         now = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         discard(star)
         star = new

@@ -318,8 +318,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page, see ``SCHEMA``: the article without menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
     A null, empty or text-free page gives the empty text. Broken markup (missing end tags, stray ends, cut tails) is read
-    as far as it goes; pages are read whole. Repeated rows come back each; extra columns are ignored; an empty table gives
-    an empty result. Narrow: no shuffle.
+    as far as it goes; pages are read whole, in time linear in their length. A null page_id or url stays null; repeated rows, and
+    rows of one page_id, come back each; a block whose costs are even on both sides is left out. Extra columns are ignored;
+    an empty table gives an empty result. Narrow: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

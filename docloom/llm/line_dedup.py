@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import settle, unused
+from docloom.llm.common import discard, settle, unused
 
 MIN_LINES = 4
 MIN_WORDS = 10
@@ -39,15 +39,18 @@ def _key() -> list:
 
 
 def _ranked(keys: DataFrame, by: list[str], length: int) -> DataFrame:
-    """Members of classes of two or more, with a rank in the order of ``by`` and whether an earlier member exists.
+    """Members of classes of two or more, with a rank in the order of ``by`` and whether an earlier member exists; ``keys`` are used up.
 
     Class sizes come from partial aggregation and only one row a class is sorted; joining back, a class with very
     many members is a skewed join, which adaptive execution splits.
     """
     place = F.struct("doc", "body", "pos")
     classes = keys.groupBy(*by).agg(F.count("*").alias("members"), F.min(place).alias("first")).where("members > 1")
-    classes = settle(classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()).drop("members"), f"lines{length}")
-    return keys.join(classes, by).select(*PLACE, "rank", "words", "chars", (place > F.col("first")).alias("later"))
+    classes = settle(classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()).drop("members"), f"lines{length}", light=True)
+    found = keys.join(classes, by).select(*PLACE, "rank", "words", "chars", (place > F.col("first")).alias("later"))
+    found = settle(found.dropDuplicates(PLACE) if length == 1 else found, "suffixes", light=True)
+    discard(keys, classes)
+    return found
 
 
 PLACE = ["doc", "body", "pos"]
@@ -65,7 +68,7 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     keys = settle(keys, "lines")
     enough = F.lit(False) if run_words is None else (F.col("words") >= run_words) | (F.col("chars") >= RUN_CHARS)
     # Rows that are equal altogether are one document from here on; all their lines are members of classes.
-    states = {1: settle(_ranked(keys, ["a", "b"], 1).dropDuplicates(PLACE), "suffixes")}
+    states = {1: _ranked(keys, ["a", "b"], 1)}
     found = states[1].where(F.col("later") & ((F.col("words") >= min_words) | enough)).select(*PLACE, F.lit(1).alias("reach"))
     for n in range(2, min_lines + 1):
         h = 1 << (n - 1).bit_length() - 1
@@ -74,8 +77,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
         sums = [(F.col(c) + F.col(f"next_{c}")).alias(c) for c in ("words", "chars")]
         follow = states[n - h].select("doc", "body", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"), *[F.col(c).alias(f"next_{c}") for c in ("words", "chars")])
         pairs = states[h].join(follow, PLACE).select(*PLACE, *sums, "rank", "next")
-        pairs = settle(pairs, "pairs").withColumnRenamed("rank", "here")
-        states[n] = settle(_ranked(pairs, ["here", "next"], n), "suffixes")
+        pairs = settle(pairs, "pairs", light=True).withColumnRenamed("rank", "here")
+        states[n] = _ranked(pairs, ["here", "next"], n)
         cut = states[n].where("later") if n == min_lines else states[n].where(F.col("later") & enough)
         found = found.union(cut.select(*PLACE, F.lit(n)))
     return found
