@@ -71,7 +71,7 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, component)``, component = smallest id reachable.
 
     Alternates large-star and small-star steps. Each step takes a partial-aggregated minimum for every node
@@ -82,7 +82,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", light=True
     )
     state = None
-    for _ in range(max_rounds):
+    while True:  # a round that changes nothing ends it; rounds grow with the logarithm of the longest path
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -98,7 +98,5 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = star.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return star.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).distinct()

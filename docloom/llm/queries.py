@@ -61,7 +61,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ import collections
 import time
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -90,10 +91,40 @@ KINDS = {
 }
 
 
+@pytest.fixture(scope="module")
+def fitted(spark):
+    return html.train(spark.read.parquet(f"{DATA}/pages.parquet"))
+
+
 @pytest.mark.parametrize("kind", KINDS)
-def test_kinds_of_pages(kind):
+def test_kinds_of_pages(fitted, kind):
     page, want = KINDS[kind]
-    assert html.main_text(page) == "\n".join(want)
+    assert html.main_text(page) == "\n".join(want) == html.main_text(page, weights=fitted)
+
+
+def test_fit_against_plain_descent(spark, fitted):
+    """Weights move towards the marked articles; a slow minimiser of the same loss finds the same."""
+    x, y = (np.concatenate(z) for z in zip(*[html.marked(r["html"] or "") for r in pq.read_table(f"{DATA}/pages.parquet").to_pylist()], strict=True))
+    prior = np.array(html.PRIOR)
+    share = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y <= 0).mean()) * min(300, len(y)) / len(y)
+    tight = 1 / (0.5 * np.maximum(np.abs(prior), 0.4)) ** 2
+    loss = lambda w: (share * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w))).sum() + (tight * (w - prior) ** 2).sum() / 2
+    w, step = prior.copy(), 0.5
+    for k in range(6_000):  # one weight after the other, by halving steps
+        i = k % len(w)
+        for sign in (1, -1):
+            other = w.copy()
+            other[i] += sign * step
+            if loss(other) < loss(w):
+                w = other
+        if i == len(w) - 1 and k % 60 == 59:
+            step *= 0.8
+    assert np.abs(w - np.array(fitted)).max() < 1e-2 and loss(prior) > loss(np.array(fitted))
+
+
+def test_nothing_to_learn_from(spark):
+    for rows in ([], [(None,), ("",), ("<p>no article marked</p>",), ("<article><p>only the article</p></article>",)]):
+        assert html.train(spark.createDataFrame(rows, "html string")) == html.PRIOR
 
 
 def test_the_cut_decides_what_the_costs_leave_open():
