@@ -32,19 +32,23 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-FILES_A_CORE = 4
+# Tasks a core that write a frame: whole texts or all rows; work in Python on some of the rows; a few numbers for some of the rows.
+WIDE, BUSY, LIGHT = 8, 4, 1
 
 
-def settle(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends in files that outlive executors.
+def gathered(df: DataFrame, a_core: int) -> DataFrame:
+    """``df`` in at most so many partitions a core, each taking several of the old ones one after the other, without a shuffle.
 
-    ``light`` frames hold a few numbers for some of the rows: they are written by a few tasks a core, each taking several
-    partitions one after the other, so that they don't become very many small files.
+    Joins whose skewed parts were split, and frames of few rows, else end in very many small files.
     """
+    return df.coalesce(a_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def settle(df: DataFrame, tag: str, a_core: int = WIDE) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends in files that outlive executors."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    if light:
-        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
+    df = gathered(df, a_core)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
     a collected list. Every round is settled in the shared folder. Nodes without an edge are not returned.
     """
     star = settle(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", light=True
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", LIGHT
     )
     state = None
     while True:  # a round that changes nothing ends it; rounds grow with the logarithm of the longest path
@@ -90,7 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         new = settle(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(),
-            "cc", light=True,
+            "cc", LIGHT,
         )
         now = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         discard(star)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import discard, settle, unused
+from docloom.llm.common import LIGHT, WIDE, discard, gathered, settle, unused
 
 MIN_LINES = 4
 MIN_WORDS = 10
@@ -46,10 +46,10 @@ def _ranked(keys: DataFrame, by: list[str], length: int) -> DataFrame:
     """
     place = F.struct("doc", "body", "pos")
     classes = keys.groupBy(*by).agg(F.count("*").alias("members"), F.min(place).alias("first")).where("members > 1")
-    classes = settle(classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()).drop("members"), f"lines{length}", light=True)
+    classes = classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()).drop("members")  # keys are unique: the order is fixed
     found = keys.join(classes, by).select(*PLACE, "rank", "words", "chars", (place > F.col("first")).alias("later"))
-    found = settle(found.dropDuplicates(PLACE) if length == 1 else found, "suffixes", light=True)
-    discard(keys, classes)
+    found = settle(found.dropDuplicates(PLACE) if length == 1 else found, "suffixes", LIGHT)
+    discard(keys)
     return found
 
 
@@ -77,7 +77,7 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
         sums = [(F.col(c) + F.col(f"next_{c}")).alias(c) for c in ("words", "chars")]
         follow = states[n - h].select("doc", "body", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"), *[F.col(c).alias(f"next_{c}") for c in ("words", "chars")])
         pairs = states[h].join(follow, PLACE).select(*PLACE, *sums, "rank", "next")
-        pairs = settle(pairs, "pairs", light=True).withColumnRenamed("rank", "here")
+        pairs = settle(pairs, "pairs", LIGHT).withColumnRenamed("rank", "here")
         states[n] = _ranked(pairs, ["here", "next"], n)
         cut = states[n].where("later") if n == min_lines else states[n].where(F.col("later") & enough)
         found = found.union(cut.select(*PLACE, F.lit(n)))
@@ -123,4 +123,4 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     if "n_chars" in base.columns:
         kind = base.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*base.columns, "lines_removed")
+    return gathered(out.select(*base.columns, "lines_removed"), WIDE)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, discard, settle, unused
+from docloom.llm.common import BUSY, LIGHT, WIDE, components, discard, gathered, settle, unused
 from docloom.llm.hashing import run_hashes, runs
 
 WORDS = 5
@@ -326,27 +326,27 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(counts, n))  # 2**SKETCH_BITS numbers, whatever the corpus
     light = settle(sketch_bands(docs, idf, bands, rows), "bands")
     exact = light.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = settle(exact.withColumn("node", F.monotonically_increasing_id()), "texts", light=True)  # numbers are fixed by being written
+    reps = settle(exact.withColumn("node", F.monotonically_increasing_id()), "texts", LIGHT)  # numbers are fixed by being written
 
     entries = reps.where("bands is not null").select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    buckets = settle(buckets, "buckets", light=True)
-    member = settle(entries.join(buckets.drop("n"), ["band", "key"]), "members", light=True)
-    pairs = settle(member.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs", light=True)
+    buckets = settle(buckets, "buckets", LIGHT)
+    member = settle(entries.join(buckets.drop("n"), ["band", "key"]), "members", LIGHT)
+    pairs = settle(member.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs", LIGHT)
     wanted = reps.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", F.col("rep").alias("_id"), F.col("text_key").alias("_key"))
     # One row a text: that of its smallest doc_id, however many copies there are.
     chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), text_digest().alias("_key"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), ["_id", "_key"])
     texts = settle(chosen.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "candidates")
-    links = settle(_verify(pairs, texts, idf, least), "links", light=True)
+    links = settle(_verify(pairs, texts, idf, least), "links", BUSY)
 
     failed = pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("doc"), F.lit(True).alias("failed"))
-    failed = settle(member.join(failed, ["lead", "doc"]).select("band", "key", "doc", "failed"), "failed", light=True)
+    failed = settle(member.join(failed, ["lead", "doc"]).select("band", "key", "doc", "failed"), "failed", LIGHT)
     open_ = failed.groupBy("band", "key").agg(F.count("*").alias("fails")).join(buckets.select("band", "key", "n"), ["band", "key"]).where("n > 2")
     wider = member.join(open_, ["band", "key"]).join(failed, ["band", "key", "doc"], "left")
-    more = settle(_within(wider.withColumn("failed", F.col("failed").isNotNull()), texts, idf, least), "links", light=True)
+    more = settle(_within(wider.withColumn("failed", F.col("failed").isNotNull()), texts, idf, least), "links", BUSY)
 
     parts = components(links.union(more)).withColumnRenamed("id", "node")
-    parts = settle(reps.select("node", "rep", "text_key").join(parts, "node"), "parts", light=True)
+    parts = settle(reps.select("node", "rep", "text_key").join(parts, "node"), "parts", LIGHT)
     discard(buckets, member, pairs, texts, links, failed, more)
     parts = parts.join(parts.groupBy("component").agg(F.min(F.struct("rep", "text_key")).alias("first")), "component").select("node", "first")
     first = F.coalesce(F.col("first"), F.struct("rep", "text_key"))
@@ -368,4 +368,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     own, key = unused(docs, "own", "key")
     kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
     named = docs.where("doc_id is not null").withColumns({own: F.col("doc_id").cast("long"), key: text_digest()})
-    return named.join(kept.hint("merge"), [own, key]).dropDuplicates([own, key]).select(*docs.columns).union(docs.where("doc_id is null"))
+    found = gathered(named.join(kept.hint("merge"), [own, key]).dropDuplicates([own, key]), WIDE)
+    return found.select(*docs.columns).union(gathered(docs.where("doc_id is null"), LIGHT))

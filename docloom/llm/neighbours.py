@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, discard, settle
+from docloom.llm.common import BUSY, LIGHT, components, discard, settle
 from docloom.llm.hnsw import Graph, audited_search, level_norms
 
 SHARD_ROWS = 8_192
@@ -268,7 +268,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard_rows: int =
     rows = every.where("blob is not null and label is not null")
     nodes = rows.groupBy("label", "dim", "blob").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # fixed by being written
-    sizes = settle(nodes.groupBy("label", "dim").agg(F.count("*").alias("rows")), "sizes", light=True)
+    sizes = settle(nodes.groupBy("label", "dim").agg(F.count("*").alias("rows")), "sizes", LIGHT)
     total, widest = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
     per = rows_a_shard(total, widest, shard_rows)
     sizes = sizes.select("label", "dim", F.ceil(F.col("rows") / per).cast("int").alias("shards"))
@@ -340,7 +340,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard_rows: int =
     discard(index)
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("outside"))
     parts = components(found.where("b is not null and a <> b").select("a", "b")).withColumnRenamed("id", "node")
-    parts = settle(nodes.select("node", "low").join(parts, "node"), "parts", light=True)
+    parts = settle(nodes.select("node", "low").join(parts, "node"), "parts", LIGHT)
     parts = parts.join(parts.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
     nodes = nodes.join(counts, "node", "left").join(parts, "node", "left").select(
         "label", "dim", "blob", (F.coalesce("outside", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")
