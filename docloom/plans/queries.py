@@ -497,15 +497,6 @@ def duplicate_contacts(spark, sf_dir):
     return bundle.duplicates(table(spark, sf_dir, "customer").withColumn("seen", F.col("c_custkey")), ["c_nationkey", "c_mktsegment"])
 
 
-@query("""SELECT q_id, vec_id, CAST(rank AS INT) AS rank, round(s, 5) AS similarity FROM (SELECT q.vec_id AS q_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
-  FROM embeddings v JOIN embeddings q ON q.vec_id < 10 AND v.vec_id <> q.vec_id) WHERE rank <= 5""")
-def top_similar_chunks(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.where("vec_id < 10").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    return bundle.top_similar(vectors, asked).select("q_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
-
-
 @query("""SELECT q_id, vec_id, CAST(rank AS INT) AS rank, round(s, 5) AS similarity FROM (SELECT q.vec_id AS q_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
   FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= 5""")
