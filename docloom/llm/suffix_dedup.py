@@ -161,6 +161,7 @@ def deduplicate(
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets, tasks = (max(1, math.ceil(total / x)) for x in (shard_bytes, bucket_bytes, TASK_BYTES))
+    tasks = max(tasks, min(shards, docs.sparkSession.sparkContext.defaultParallelism))  # small tables use all cores too
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     deal = F.pmod(F.xxhash64(ids, F.col("text")), F.lit(shards)).cast("int")  # rows that share an id, or have none, are spread too
     dealt = docs.select(ids.alias("doc_id"), body.alias("body"), deal.alias("shard"))
