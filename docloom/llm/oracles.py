@@ -54,4 +54,21 @@ SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(low, vec_id
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
 """
 
-SQL = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_line_dedup": LINE_DEDUP, "op6_embedding_dedup": EMBEDDING_DEDUP}
+# Every document against the five conditions; every order and step against every document of its part.
+FILTER_AUDIT = """
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+low AS (SELECT t, min(doc_id) AS low FROM w GROUP BY t),
+f AS (SELECT part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(low < doc_id, false)] AS fails,
+  doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM w JOIN low USING (t)),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT array_to_string(list_transform(ks, lambda x: substring('ABCDE', x, 1)), '') AS filter_order, n AS step, ks[n] AS k, ks[1:n - 1] AS done FROM o, (SELECT k AS n FROM k)),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT part, filter_order, step, substring('ABCDE', k, 1) AS filter, m.*, fails[k] AS hit, len(list_filter(done, lambda j: fails[j])) > 0 AS gone, len(list_filter(fails, lambda b: b)) = 1 AND fails[k] AS sole FROM s, m),
+r AS (SELECT part, filter_order, step, filter, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (sole), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM x GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+"""
+
+SQL = {"op11_filter_audit": FILTER_AUDIT, "op1_suffix_dedup": SUFFIX_DEDUP, "op4_line_dedup": LINE_DEDUP, "op6_embedding_dedup": EMBEDDING_DEDUP}

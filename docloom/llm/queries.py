@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import html, line_dedup, minhash, mixing, neighbours, packing, quality, secrets, suffix_dedup
+from docloom.llm import filter_audit, html, line_dedup, minhash, mixing, neighbours, packing, quality, secrets, suffix_dedup
 from docloom.llm.common import table
 from docloom.llm.oracles import SQL
 
@@ -65,12 +65,16 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.train(pages))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = (
         op1_suffix_dedup, op2_packing, op3_mixing, op4_line_dedup, op5_neighbours,
-        op6_embedding_dedup, op7_minhash, op8_quality, op9_secrets, op10_html,
+        op6_embedding_dedup, op7_minhash, op8_quality, op9_secrets, op10_html, op11_filter_audit,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 

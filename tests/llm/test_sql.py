@@ -13,7 +13,7 @@ SQL = queries.oracle_sql()
 def test_same_rows(spark, name, size):
     folder = f"/root/testdata/{size}"
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         c.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     rel = c.sql(SQL[name])
     df = queries.queries()[name](spark, folder)
