@@ -71,4 +71,24 @@ r AS (SELECT part, filter_order, step, filter, CAST(coalesce(sum(n) FILTER (NOT
 SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
 """
 
-SQL = {"op11_filter_audit": FILTER_AUDIT, "op1_suffix_dedup": SUFFIX_DEDUP, "op4_line_dedup": LINE_DEDUP, "op6_embedding_dedup": EMBEDDING_DEDUP}
+# Every prefix as a list of turns; every prefix again under each of its own prefixes. CRC-32 is a fold over the bits.
+PREFIX_TRIE = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), substring(coalesce(text, ''), 1, 64), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM t),
+b AS (SELECT c, list_transform(range(length(s)), lambda j: CAST(ascii(substring(s, CAST(j + 1 AS BIGINT), 1)) AS BIGINT)) AS codes FROM i),
+h AS (SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(codes, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 4 AS h FROM b),
+p AS (SELECT c, 0 AS part, pos, role, text FROM h JOIN t ON conv_id = c - c % 20 AND pos <= h UNION ALL SELECT c, 1, pos, role, text FROM h JOIN t ON conv_id = c AND pos > h),
+q AS (SELECT c, coalesce(turns, []) AS turns FROM h LEFT JOIN (SELECT c, list({'role': role, 'text': text} ORDER BY part, pos) AS turns FROM p GROUP BY c) USING (c)),
+m AS (SELECT c, len(turns) AS size, unnest(range(len(turns) + 1)) AS d, turns FROM q),
+n AS (SELECT turns[1:d] AS key, any_value(d) AS d, min(c) AS low, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = size) AS ends FROM m GROUP BY turns[1:d]),
+k AS (SELECT key, d, n, low, key[1:d - 1] AS above, CASE WHEN d > 0 THEN len(regexp_extract_all(key[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words, ends FROM n),
+kids AS (SELECT above, count(*) AS kids FROM k WHERE d > 0 GROUP BY above),
+w AS (SELECT k.*, coalesce(kids, 0) AS kids FROM k LEFT JOIN kids ON kids.above = k.key),
+sub AS (SELECT key[1:j] AS key, sum(CAST(kids = 0 AS INTEGER)) AS leaves, sum((n - 1) * words) AS saved FROM (SELECT *, unnest(range(d + 1)) AS j FROM w) GROUP BY key[1:j])
+SELECT w.low AS conv_id, CAST(w.d AS BIGINT) AS depth, u.low AS parent_conv_id, w.n AS n_convs, CAST(w.kids AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN sub USING (key) LEFT JOIN k u ON w.d > 0 AND u.key = w.above
+"""
+
+SQL = {"op12_prefix_trie": PREFIX_TRIE, "op11_filter_audit": FILTER_AUDIT, "op1_suffix_dedup": SUFFIX_DEDUP, "op4_line_dedup": LINE_DEDUP, "op6_embedding_dedup": EMBEDDING_DEDUP}
