@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import filter_audit, html, line_dedup, minhash, mixing, neighbours, packing, prefix_trie, quality, secrets, suffix_dedup
+from docloom.llm import filter_audit, html, line_dedup, minhash, mixing, neighbours, packing, prefix_trie, quality, secrets, suffix_dedup, token_counts
 from docloom.llm.common import table
 from docloom.llm.oracles import SQL
 
@@ -73,12 +73,16 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build(table(spark, sf_dir, "conversations"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = (
         op1_suffix_dedup, op2_packing, op3_mixing, op4_line_dedup, op5_neighbours,
-        op6_embedding_dedup, op7_minhash, op8_quality, op9_secrets, op10_html, op11_filter_audit, op12_prefix_trie,
+        op6_embedding_dedup, op7_minhash, op8_quality, op9_secrets, op10_html, op11_filter_audit, op12_prefix_trie, op13_token_counts,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
