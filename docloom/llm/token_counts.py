@@ -8,7 +8,7 @@ tokens of that part alone, and a row of tokens is right if each pair of neighbou
 
 Texts are cut into chunks that run side by side, a byte of every chunk at a time. A chunk begins in the state that the bytes
 before it suggest; that gives its state map (entry state to exit state and count). A prefix scan composes the maps of a text's
-chunks; where the state at a chunk's entry isn't in its map, the chunk runs again from that state and the scan is repeated.
+chunks; in a text where the state at a chunk's entry isn't in the chunk's map, such chunks are walked through once more.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ class Transducer:
 
     def reset(self) -> None:
         self.states: list[tuple] = [("S", b"", None)]
-        self.number = {self.states[0]: START}
+        self.number, self.memo = {self.states[0]: START}, {}
         self._lay(12)
 
     # ---- the table of transitions: open addressing, state << 8 | byte to state << 12 | change + 2048 ----
@@ -252,10 +252,12 @@ class Transducer:
 
     def run(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exit state and count of each chunk, from its entry state."""
+        if not len(lengths):
+            return entry, entry
         order = np.argsort(-lengths, kind="stable")
         at, size = starts[order], lengths[order]
         state, total = entry[order].astype(np.int64), np.zeros(len(order), np.int64)
-        many = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")  # chunks longer than so much
+        many = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # chunks longer than so much
         for t, k in enumerate(many):
             key = (state[:k] << 8) + raw[at[:k] + t]
             found, lacks = self._find(key)
@@ -269,6 +271,21 @@ class Transducer:
         exits[order], counts[order] = state, total - size * _ZERO
         return exits, counts
 
+    def walk(self, raw: bytes, state: int) -> tuple[int, int]:
+        """Exit state and count of one chunk, a byte after the other."""
+        total, memo = 0, self.memo
+        for b in raw:
+            key = state << 8 | b
+            found = memo.get(key)
+            if found is None:
+                value, lacks = self._find(np.array([key], np.int64))
+                if len(lacks):
+                    value = [self._made(key)]
+                    self._put([key], value)
+                found = memo[key] = int(value[0])
+            state, total = found >> _DELTA, total + (found & ((1 << _DELTA) - 1)) - _ZERO
+        return state, total
+
 
 def composed(entries: np.ndarray, exits: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inclusive prefix scan of state maps: exit state and count at each chunk's end, from the entry of its text's first chunk.
@@ -330,19 +347,19 @@ class Counter:
             back = np.maximum(begin[later] - self.behind, start[text[later]])
             guess[later] = self.machine.run(raw, back, begin[later] - back, np.full(len(later), START))[0]
         exits, counts = self.machine.run(raw, begin, end - begin, guess)
-        entries, exits, counts = guess[:, None], exits[:, None], counts[:, None]
         last = np.cumsum(pieces) - 1
-        while True:
-            reached, total = composed(entries, exits, counts, first)
-            lost = reached < 0
-            if not lost.any():
-                return reached[last], total[last]
-            here = np.flatnonzero(lost & ~np.concatenate([[False], lost[:-1]]))  # the first of each text; its map lacks where the scan stands
-            more = [np.full((len(text), 1), -1), np.full((len(text), 1), -1), np.zeros((len(text), 1), np.int64)]
-            more[0][here, 0] = reached[here - 1]
-            out = self.machine.run(raw, begin[here], end[here] - begin[here], reached[here - 1])
-            more[1][here, 0], more[2][here, 0] = out
-            entries, exits, counts = (np.concatenate([a, b], axis=1) for a, b in zip((entries, exits, counts), more, strict=True))
+        reached, total = composed(guess[:, None], exits[:, None], counts[:, None], first)
+        ends, sums = reached[last], total[last]
+        for t in np.flatnonzero(ends < 0).tolist():  # a map of this text lacks the state that it is entered in
+            state, count = entry[t], 0
+            for c in range(first[last[t]], last[t] + 1):
+                if state == guess[c]:
+                    state, count = int(exits[c]), count + int(counts[c])
+                else:
+                    state, more = self.machine.walk(raws[t][begin[c] - start[t] : end[c] - start[t]], state)
+                    count += more
+            ends[t], sums[t] = state, count
+        return ends, sums
 
     def _counted(self, raws: list[bytes]) -> list[int]:
         m = self.machine

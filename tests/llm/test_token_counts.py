@@ -58,8 +58,8 @@ def test_small_tables_start_afresh_and_long_runs_go_piece_by_piece():
     assert len(counter.machine.states) <= 400
 
 
-def test_lost_chunks_run_again_from_where_the_scan_stands(counter):
-    """Without a look behind, a chunk within a word begins in the wrong state; the repeated scan mends it."""
+def test_chunks_entered_in_another_state_are_walked_through(counter):
+    """Without a look behind, a chunk within a word begins in the wrong state."""
     blind = Counter(PATH, chunk=32, behind=0)
     same(blind, ["pneumonoultramicroscopicsilicovolcanoconiosis" * 40, "x" * 3_000, "ab" * 999 + " c"])
 
