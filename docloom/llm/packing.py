@@ -75,7 +75,7 @@ class WordTokenizer:
         tails, stems = [], dict.fromkeys(())
         for w in new:
             stem = w.rstrip(".,!?;:")
-            if stem and len(stem) < len(w) and stem.isalpha():
+            if stem and len(stem) < len(w) and stem.isalpha() and unicodedata.is_normalized("NFC", stem):  # else it may end in a mark, which joins the signs
                 tails.append((w, stem, w[len(stem) :]))
                 stems[stem] = stems[w[len(stem) :]] = None
             else:
