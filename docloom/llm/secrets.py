@@ -3,7 +3,7 @@
 A leaked credential is often spread over several places: an access identifier, a secret and an endpoint. Strong
 patterns are reported wherever they stand. Weak candidates (short assigned values, bare high-variety tokens, user
 names, endpoints) are interval-joined within a scope, a stretch of ``reach`` characters around each part that blank
-lines end, and are reported only if parts that complement each other meet there. Parts of a document are kept
+lines end, and are reported only if a secret and an identifier or endpoint meet there. Parts of a document are kept
 sorted and joined by bisection, so no pairs are listed and a text with very many parts stays cheap.
 """
 
@@ -30,7 +30,7 @@ USER = re.compile(r"""\b(?:user(?:_?name)?|login|client_id|access_key(?:_id)?)["
 BARE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=.-])", re.A)
 KINDS = ("assign", "access", "hex", "endpoint", "user", "secret")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
-_BREAK = re.compile(r"\n[ \t]*\n")
+_BREAK = re.compile(r"(?>\r\n?|\n)[ \t]*(?>\r\n?|\n)")  # a blank line, by any line end
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -49,7 +49,8 @@ def varied(token: str) -> bool:
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 300) -> list[tuple[int, int, str]]:
-    """Weak parts whose scope holds part of another side: of identifier, secret and endpoint two must meet.
+    """Weak parts whose scope holds their complement: for a secret an identifier or an endpoint, for an identifier a secret, for
+    an endpoint a secret that isn't bare hexadecimal, as addresses often stand beside digests.
 
     The scope of a part reaches ``reach`` characters beyond it on either side, but not over a blank line. Parts are joined
     as intervals: a part of another side counts if any of it lies in the scope, wherever it begins.
@@ -71,11 +72,12 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 300)
     if not weak:
         return []
     walls = [m.start() for m in _BREAK.finditer(text)]
-    sides = {"id": ([], []), "secret": ([], []), "place": ([], [])}  # starts and ends
+    sides = {"id": ([], []), "secret": ([], []), "keyed": ([], []), "place": ([], [])}  # starts and ends; keyed: secrets but bare hexadecimal
     side = {"access": "id", "user": "id", "assign": "secret", "hex": "secret", "assign?": "secret", "secret": "secret", "endpoint": "place"}
     for a, b, kind in base + weak:
-        for ends, at in zip(sides[side[kind]], (a, b), strict=True):
-            ends.append(at)
+        for which in (side[kind], "keyed") if side[kind] == "secret" and kind != "hex" else (side[kind],):
+            for ends, at in zip(sides[which], (a, b), strict=True):
+                ends.append(at)
     for starts, ends in sides.values():
         starts.sort()
         ends.sort()
@@ -87,9 +89,10 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 300)
         starts, ends = sides[which]
         return bisect_left(starts, hi) > bisect_right(ends, lo)  # begun before the scope's end, less those over by its begin
 
+    needs = {"id": ("secret",), "place": ("keyed",), "secret": ("id", "place")}
     out = []
     for a, b, kind in weak:
-        if any(near(a, b, which) for which in sides if which != side[kind]):
+        if any(near(a, b, which) for which in needs[side[kind]]):
             out.append((a, b, "secret" if kind == "assign?" else kind))
     return out
 
