@@ -148,5 +148,7 @@ def test_unclosed_elements_cost_linear_time(piece):
         return time.process_time() - began
 
     seconds(100)
-    small = max(seconds(4_000), 0.02)
-    assert seconds(16_000) < 10 * small
+    for _ in range(5):  # other work on the machine can slow any one run
+        if seconds(16_000) < 10 * max(seconds(4_000), 0.02):
+            return
+    pytest.fail("16,000 pieces took ten times as long as 4,000, five times over")
