@@ -52,7 +52,8 @@ class Transducer:
             stem = token.removesuffix("</w>")
             raw = b"".join(map(byte.__getitem__, stem))
             (self.last if stem != token else self.inner).add(raw)
-            self.begins.update(raw[:k] for k in range(1, len(raw) + 1))
+            self.begins.update(raw[:k] for k in range(1, len(raw)))
+        self.begins |= self.last  # what can go on or close a word
         self.special = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or "(?!)")
         self.most_states, self.fits, self.forms, self.kinds = most_states, {}, {}, {}
         self.safe: set[str] = set(map(chr, range(0x300)))
@@ -313,7 +314,7 @@ def composed(entries: np.ndarray, exits: np.ndarray, counts: np.ndarray, first:
 class Counter:
     """Tokens of whole texts, as the library gives them without added special tokens."""
 
-    def __init__(self, path: str, chunk: int = 1024, behind: int = 64, most_states: int = 150_000, piece: int = 1 << 16):
+    def __init__(self, path: str, chunk: int = 1024, behind: int = 64, most_states: int = 300_000, piece: int = 1 << 16):
         self.machine, self.chunk, self.behind = Transducer(path, most_states), chunk, behind
         self.piece = min(piece, most_states - 2)  # a fresh table has room for the states of so many bytes
 
@@ -399,7 +400,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
 
     A null text is an empty one, of no bytes and tokens; very long texts are counted whole, in chunks; repeated rows and rows
     that share an id or have none each give a row; an empty table gives an empty result. Columns other than id and text are
-    ignored. Narrow: no shuffle. A worker holds at most 150,000 states, then starts its table afresh.
+    ignored. Narrow: no shuffle. A worker holds at most 300,000 states, then starts its table afresh.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
