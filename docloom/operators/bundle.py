@@ -65,19 +65,6 @@ def host(url: Column) -> Column:
     return F.split_part(F.split_part(url, F.lit("/"), F.lit(3)), F.lit(":"), F.lit(1))
 
 
-def latest_before(rows: DataFrame, keys: DataFrame, by: str, when: str, as_of: str) -> DataFrame:
-    """As-of join: for each key row the newest row of the same ``by`` strictly before ``as_of``; all NULL if there is none.
-
-    An inequality join followed by a grouped maximum; candidates are never listed in one place.
-    """
-    other = [c for c in rows.columns if c != by]
-    best = (
-        keys.join(rows, by).where(F.col(when) < F.col(as_of))
-        .groupBy(*keys.columns).agg(F.max_by(F.struct(*other), F.struct(when, *[c for c in other if c != when])).alias("_b"))
-    )
-    return keys.join(best, keys.columns, "left").select(*keys.columns, *[F.col("_b")[c].alias(c) for c in other])
-
-
 def unknown_codes(billing: DataFrame, known: DataFrame, code: str = "dc_code") -> DataFrame:
     return billing.where(F.col(code).isNotNull()).join(known.select(code).distinct(), code, "left_anti").select(code).distinct()
 

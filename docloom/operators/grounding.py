@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.matching import phrases_in_texts
+from docloom.operators.selection import percentiles
+
 
 def ungrounded(refs: DataFrame, inputs: DataFrame) -> DataFrame:
     """Claims (id, ref, ...) whose ref is not an input id of the same document (id, ref)."""
@@ -12,8 +15,8 @@ def ungrounded(refs: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def grounded_by_phrase(claims: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Claims (id, phrase) that stand literally in an input text (id, text) of the same document."""
-    return claims.join(inputs.select("id", F.col("text").alias("_t")), "id").where(F.col("_t").contains(F.col("phrase"))).drop("_t").distinct()
+    """Claims (id, phrase, ...) that stand literally in an input text (id, text) of the same document; equal claims once."""
+    return claims.join(phrases_in_texts(claims, inputs), ["id", "phrase"], "left_semi").distinct()
 
 
 def entities(text: Column) -> Column:
@@ -27,8 +30,14 @@ def entities(text: Column) -> Column:
 def unfounded_entities(summaries: DataFrame, inputs: DataFrame) -> DataFrame:
     """(id, entity) named in a summary (id, text) but in none of the input texts (id, text) of the same document."""
     named = summaries.select("id", F.explode(entities(F.col("text"))).alias("entity"))
-    found = named.join(inputs.select("id", F.col("text").alias("_t")), "id").where(F.lower("_t").contains(F.lower("entity"))).select("id", "entity").distinct()
-    return named.join(found, ["id", "entity"], "left_anti")
+    return not_in_inputs(named, inputs)
+
+
+def not_in_inputs(named: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The rows (id, entity) that stand in none of the input texts (id, text) of their id, in any case."""
+    low = named.select("id", F.lower("entity").alias("phrase"))
+    found = phrases_in_texts(low, inputs.select("id", F.lower("text").alias("text")))
+    return named.join(found.withColumnRenamed("phrase", "_low"), (named.id == found.id) & (F.lower("entity") == F.col("_low")), "left_anti")
 
 
 def hallucination(claims: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -61,10 +70,10 @@ def monotonic(rates: DataFrame) -> DataFrame:
     return rates.agg(ok.alias("monotonic"))
 
 
-def latency(times: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Exact median and 95th percentile."""
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95)))
-    return times.groupBy(*(by or [])).agg(p.alias("_p"), F.count("*").alias("n")).select(*(by or []), "n", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"))
+def latency(times: DataFrame, column: str, by: list[str] | None = None, task_rows: int = 1_000_000) -> DataFrame:
+    """Exact median and 95th percentile, whatever the size of a group."""
+    found = percentiles(times, column, [0.5, 0.95], by, task_rows)
+    return found.select(*(by or []), "n", F.col("values")[0].alias("p50"), F.col("values")[1].alias("p95"))
 
 
 def style(scores: DataFrame, by: list[str], least: float = 4.0) -> DataFrame:

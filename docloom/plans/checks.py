@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import jsonx
-from docloom.functions.vocab import HEAVY, TYPICALLY_EMPTY
-from docloom.operators import bundle, grounding, lints, metrics
+from docloom.functions.vocab import EDGE_CASE_HINTS, HEAVY, TYPICALLY_EMPTY
+from docloom.operators import bundle, grounding, lints, matching, metrics
 from docloom.plans import report
 from docloom.plans.registry import query
 from docloom.plans.synth import EXPECTED_SQL, briefs, table
@@ -80,6 +80,59 @@ def phrases_in_inputs(spark, sf_dir):
     return grounding.grounded_by_phrase(claims, inputs).select("id")
 
 
+_CLAIMED = "substring(text, CAST(1 + doc_id * 7 % greatest(length(text) - {n}, 1) AS INT), {n})"
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, {_CLAIMED.format(n=60)} AS phrase FROM documents UNION ALL SELECT doc_id, {_CLAIMED.format(n=9)} FROM documents
+  UNION ALL SELECT doc_id + 1, {_CLAIMED.format(n=60)} FROM documents UNION ALL SELECT doc_id + 1, {_CLAIMED.format(n=5)} FROM documents)
+  SELECT DISTINCT id, phrase FROM c JOIN documents ON doc_id = id WHERE contains(text, phrase)""")
+def claims_in_inputs(spark, sf_dir):
+    """Long and short pieces of each text as claims on it and on the next document, against whole texts."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    cut = lambda n, of: docs.select((F.col("doc_id") + of).alias("id"), F.expr(_CLAIMED.format(n=n)).alias("phrase"))
+    claims = cut(60, 0).unionByName(cut(9, 0)).unionByName(cut(60, 1)).unionByName(cut(5, 1))
+    return grounding.grounded_by_phrase(claims, docs.select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,} [a-z]+')) AS entity FROM documents)
+  SELECT DISTINCT s.doc_id + 1 AS id, entity FROM s JOIN documents d ON d.doc_id = s.doc_id + 1 WHERE d.text IS NOT NULL AND NOT contains(lower(d.text), lower(entity))""")
+def names_of_the_document_before(spark, sf_dir):
+    """Names of each text that the next document doesn't have, in any case."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    named = docs.select((F.col("doc_id") + 1).alias("id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,} [a-z]+"), F.lit(0))).alias("entity"))
+    inputs = docs.select(F.col("doc_id").alias("id"), "text")
+    return grounding.not_in_inputs(named.join(inputs.select("id"), "id", "left_semi").distinct(), inputs)
+
+
+@query(f"""WITH h AS (SELECT DISTINCT token, hint FROM (VALUES {", ".join(f"('{t}', '{h}')" for t, hints in EDGE_CASE_HINTS.items() for h in hints)}) v(token, hint)),
+  d AS (SELECT doc_id, lower(text || ' ' || (SELECT string_agg(hint, ' ' ORDER BY hint) FROM h WHERE length(hint) % 7 = doc_id % 7)) AS t FROM documents)
+  SELECT doc_id AS id, token, count(*) AS hints FROM d JOIN h ON contains(t, hint) GROUP BY 1, 2""")
+def hints_in_texts(spark, sf_dir):
+    """All hint lists at once over whole texts, which end in some hints."""
+    hints = spark.createDataFrame([(t, h) for t, hs in EDGE_CASE_HINTS.items() for h in hs], "token string, pattern string").distinct()
+    ends = [" ".join(sorted({h for hs in EDGE_CASE_HINTS.values() for h in hs if len(h) % 7 == k})) for k in range(7)]
+    end = F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("doc_id") % 7 + 1).cast("int"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.concat_ws(" ", "text", end)).alias("text")).where("text is not null")
+    return matching.pattern_hits(texts, hints.select("pattern"), "doc_id").join(F.broadcast(hints), "pattern").groupBy("id", "token").agg(F.count("*").alias("hints"))
+
+
+@query("""WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark), p AS (SELECT DISTINCT array_to_string(w[i:i + 5], ' ') AS p FROM (SELECT w, unnest(range(1, len(w) - 4)) AS i FROM w))
+  SELECT doc_id AS id, count(*) AS passages FROM documents JOIN p ON contains(text, p) GROUP BY 1""")
+def passages_in_texts(spark, sf_dir):
+    """Every run of six words of the benchmark as a pattern over whole texts."""
+    w = F.split("text", " ")
+    runs = F.when(F.size(w) >= 6, F.transform(F.sequence(F.lit(1), F.size(w) - 5), lambda i: F.array_join(F.slice(w, i, F.lit(6)), " ")))
+    patterns = table(spark, sf_dir, "benchmark").select(F.explode(runs).alias("pattern"))
+    return matching.pattern_hits(table(spark, sf_dir, "documents"), patterns, "doc_id").groupBy("id").agg(F.count("*").alias("passages"))
+
+
+@query("""WITH n AS (SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier)
+  SELECT x.name AS a, y.name AS b, CAST(levenshtein(x.name, y.name) AS INT) AS distance FROM n x JOIN n y ON x.name < y.name WHERE levenshtein(x.name, y.name) <= 1""")
+def near_names(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")))
+    return matching.near_pairs(names, most=1)
+
+
 @query("""SELECT c_custkey AS id, 'GERMANY' AS entity FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name <> 'GERMANY'
   UNION ALL SELECT c_custkey, 'Ada Lovelace' FROM customer WHERE c_custkey % 2 = 1""")
 def unfounded_entities(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import jsonx
 from docloom.functions.vocab import ACCOUNT_SHAPES, EDGE_CASE_HINTS, EDGE_CASES, SOURCE_MIXES
-from docloom.operators import bundle, grounding, knobs, lints, masking, metrics, monitor, records
+from docloom.operators import asof, bundle, grounding, knobs, lints, masking, metrics, monitor, records, selection
 from docloom.operators.validate import violations
 from docloom.plans import checks, files, report  # noqa: F401  (checks and files register queries of their own)
 from docloom.plans.registry import QUERIES, SQL, query
@@ -439,6 +439,25 @@ def latency_percentiles(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
 
 
+@query("""SELECT coalesce(l_returnflag, 'all') AS flag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95,
+  round(quantile_cont(l_quantity::DOUBLE, 0.5), 6) AS q50, round(quantile_cont(l_quantity::DOUBLE, 0.95), 6) AS q95 FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
+def percentiles_of_large_groups(spark, sf_dir):
+    """Groups larger than a task may hold, one of them the whole table; prices with few ties and quantities with very many."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    flags = lines.select(F.explode(F.array(F.coalesce("l_returnflag", F.lit("all")), F.lit("all"))).alias("flag"), "l_extendedprice", "l_quantity")
+    price, pieces = (grounding.latency(flags, c, ["flag"], task_rows=2_000) for c in ("l_extendedprice", "l_quantity"))
+    names = {"p50": "q50", "p95": "q95"}
+    return price.join(pieces.drop("n").withColumnsRenamed(names), "flag").select("flag", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "q50", "q95")])
+
+
+@query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT *, sum(n) OVER () AS all_n, floor(n * least(50, sum(n) OVER ()) / sum(n) OVER ()) AS base FROM c),
+  q AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY round(n * least(50, all_n) / all_n - base, 9) DESC, lang NULLS FIRST, source NULLS FIRST) <= least(50, all_n) - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM t)
+  SELECT doc_id, d.lang, d.source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents) d
+  JOIN q ON d.lang IS NOT DISTINCT FROM q.lang AND d.source IS NOT DISTINCT FROM q.source WHERE r <= quota""")
+def held_out_fifty(spark, sf_dir):
+    return selection.held_out(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", ["lang", "source"])
+
+
 @query("SELECT event_type, round(avg(1 + user_id % 5), 6) AS mean, avg(1 + user_id % 5) >= 3 AS passed FROM events GROUP BY 1")
 def style_scores(spark, sf_dir):
     found = table(spark, sf_dir, "events").withColumn("score", 1 + F.col("user_id") % 5)
@@ -483,7 +502,20 @@ def billing_change(spark, sf_dir):
 def latest_prior(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     keys = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("asked"), F.col("ts").alias("now"))
-    return bundle.latest_before(events.select("user_id", "ts", "event_id"), keys, "user_id", "ts", "now").select("user_id", "asked", "ts")
+    return asof.latest_before(events.select("user_id", "ts", "event_id"), keys, "user_id", "ts", "now").select("user_id", "asked", "ts")
+
+
+_HALF = "CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END"
+
+
+@query(f"""WITH e AS (SELECT {_HALF} AS user_id, event_id, event_type, ts FROM events) SELECT k.user_id, k.event_id AS asked, e.ts, e.event_id AS prior
+  FROM (SELECT * FROM e WHERE event_type = 'purchase') k ASOF LEFT JOIN e ON e.user_id = k.user_id AND k.ts > e.ts""")
+def latest_prior_skewed(spark, sf_dir):
+    """One user has half of the events: the key is merged in chunks of time."""
+    events = table(spark, sf_dir, "events").withColumn("user_id", F.expr(_HALF))
+    keys = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("asked"), F.col("ts").alias("now"))
+    found = asof.latest_before(events.select("user_id", "ts", F.col("event_id").alias("prior")), keys, "user_id", "ts", "now", chunk_rows=1_000)
+    return found.select("user_id", "asked", "ts", "prior")
 
 
 @query("SELECT s_nationkey AS dc_code FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) GROUP BY 1")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.vocab import CLAIM_PATHS, EDGE_CASE_HINTS, SATISFIABLE_PATHS, SURFACE_SECTIONS
-from docloom.operators import bundle, grounding, knobs, lints, masking, metrics, monitor, records
+from docloom.operators import asof, bundle, grounding, knobs, lints, masking, metrics, monitor, records
 from docloom.plans import report
 from docloom.sources import io
 from docloom.streaming import score as streaming
@@ -130,7 +130,7 @@ def test_monitor(spark):
 def test_bundle(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y")], "k string, at int, v string")
     keys = spark.createDataFrame([("a", 5), ("a", 6), ("b", 9)], "k string, now int")
-    assert {(r.k, r.now): r.v for r in bundle.latest_before(rows, keys, "k", "at", "now").collect()} == {("a", 5): "x", ("a", 6): "y", ("b", 9): None}
+    assert {(r.k, r.now): r.v for r in asof.latest_before(rows, keys, "k", "at", "now").collect()} == {("a", 5): "x", ("a", 6): "y", ("b", 9): None}
     got = values(spark, [([("low", 1), ("critical", 2), ("?", 3), ("low", 0)],)], "e array<struct<urgency:string,n:int>>", bundle.ranked_by_urgency(F.col("e")))
     assert [x.n for x in got[0]] == [2, 1, 0, 3]
 
