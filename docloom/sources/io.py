@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.jsonx import first_object, strip
+from docloom.sources import named_files
 
 RECORD = "id string, messages array<struct<role: string, content: string>>"
 
@@ -63,20 +60,35 @@ def id_list(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame
     return found.distinct() if distinct else found
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """With ``_at``: file, place of the block in it, place in the block. The rows of a block are read in order, whichever task reads it."""
+    return rows.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("place")))
+
+
 def records(spark: SparkSession, path: str, first: int | None = None, limit: int | None = None) -> DataFrame:
-    """JSONL records with an id; those without are left out (count them with ``without_id``).
+    """JSONL records with an id; those without are left out (count them with ``without_id``, or in the same pass with ``records_counted``).
 
-    ``first`` takes the first n lines by file order and names those without an id by their line; ``limit`` counts after
-    records without an id are skipped.
+    ``first`` takes the first n lines, by the order of the files' paths, and names those without an id by their line, counted
+    from 0 over all files; ``limit`` counts after records without an id are skipped.
     """
     rows = spark.read.schema(RECORD).json(path)
     if first is not None:
-        rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(first)
-        return rows.select(F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("line"), F.col("_at").cast("string"))).alias("id"), "messages")
-    rows = rows.where("id <> ''")
+        rows = _in_order(rows).orderBy("_at").limit(first).withColumn("_line", F.row_number().over(Window.orderBy("_at")) - 1)
+        return rows.select(F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("line"), F.col("_line").cast("string"))).alias("id"), "messages")
     if limit is not None:
-        rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(limit).drop("_at")
-    return rows
+        return _in_order(rows).where("id <> ''").orderBy("_at").limit(limit).drop("_at")
+    return rows.where("id <> ''")
+
+
+def records_counted(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """Records with an id, and what the scan counts while it is read: ``lines`` and ``skipped`` (those without an id).
+
+    The counts are there after the first action on the records (``observation.get``), from the same pass.
+    """
+    seen = Observation()
+    missing = F.col("id").isNull() | (F.col("id") == "")
+    rows = spark.read.schema(RECORD).json(path).observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(missing).alias("skipped"))
+    return rows.where("id <> ''"), seen
 
 
 def first_record(spark: SparkSession, path: str) -> DataFrame:
@@ -138,30 +150,16 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def export_documents(docs: DataFrame, folder: str, threads: int = 16) -> DataFrame:
-    """One file {id}.json a document, indented and with its keys in order; returns (id, bytes).
+def export_documents(docs: DataFrame, folder: str) -> DataFrame:
+    """One file {id}.json a document, indented and with its keys in order; returns (id, bytes) of the files there.
 
-    Tasks format and write the texts, in any store that Spark writes to, under names of its own; the driver only gives the
-    files their names. Documents are objects: their closing brace is what ends a line. Ids must be unique and fit a file
-    name; a repeated id raises.
+    Tasks write the files under their names (``named_files``); the driver gets counts only. Ids must be unique and fit a file
+    name; a repeated id raises before anything is written.
     """
-    spark = docs.sparkSession
-    work = f"{folder}/_export-{uuid.uuid4().hex}"
-
-    def pretty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [json.dumps(json.loads(x.as_py()), indent=2, ensure_ascii=False).removesuffix("}") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "value"])
-
-    docs.select("id", "raw").mapInArrow(pretty, "id string, value string").write.option("lineSep", "}").option("maxRecordsPerFile", 1).partitionBy("id").text(work)
-    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(work).select("path", "length")
-    name = F.regexp_extract("path", "/id=([^/]*)/[^/]*$", 1)
-    found = written.select("path", F.col("length").alias("bytes"), F.call_function("url_decode", F.replace(name, F.lit("+"), F.lit("%2B"))).alias("id")).collect()
-    if len({r.id for r in found}) < len(found):
-        raise ValueError("an id is repeated")
-    hadoop, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    store = path(folder).getFileSystem(hadoop)
-    with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(lambda r: store.rename(path(r.path), path(f"{folder}/{r.id}.json")), found))
-    store.delete(path(work), True)
-    return spark.createDataFrame([(r.id, r.bytes) for r in found], "id string, bytes long")
+    spark = named_files.register(docs.sparkSession)
+    repeated = docs.groupBy("id").count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"an id is repeated: {repeated[0].id}")
+    docs.select("id", "raw").write.format("named_files").mode("append").option("suffix", ".json").option("pretty", "true").save(folder)
+    files = spark.read.format("binaryFile").load(f"{folder}/*.json")
+    return files.select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("id"), F.col("length").alias("bytes"))
