@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import jsonx
+from docloom.functions import jsonx, sql
 from docloom.functions.vocab import EDGE_CASE_HINTS, HEAVY, TYPICALLY_EMPTY
 from docloom.operators import bundle, grounding, lints, matching, metrics
 from docloom.plans import report
@@ -80,6 +80,29 @@ def phrases_in_inputs(spark, sf_dir):
     return grounding.grounded_by_phrase(claims, inputs).select("id")
 
 
+@query(f"""WITH {EXPECTED_SQL} SELECT surface, round(100.0 * sum(CASE WHEN schema_valid THEN 1 ELSE 0 END) / count(*), 6)::DOUBLE AS m1,
+  round(CASE WHEN sum(cov_d) <> 0 THEN 100.0 * sum(cov_n) / sum(cov_d) END, 6)::DOUBLE AS m3, round(CASE WHEN sum(attr_d) <> 0 THEN 100.0 * sum(attr_n) / sum(attr_d) END, 6)::DOUBLE AS m5 FROM sc GROUP BY 1""")
+def rates_in_sql(spark, sf_dir):
+    """The rates asked for in SQL, over the view of scores."""
+    sql.register_functions(spark)
+    sql.register_briefs(spark, briefs(spark, sf_dir).select("id", "raw"))
+    sums = "SELECT surface, count_if(schema_valid) AS valid, count(*) AS n, sum(cov_n) AS cov_n, sum(cov_d) AS cov_d, sum(attr_n) AS attr_n, sum(attr_d) AS attr_d FROM brief_scores GROUP BY surface"
+    rate = lambda m, n, d: f"CAST(round({m}({n}, {d}), 6) AS DOUBLE) AS {m}"
+    return spark.sql(f"SELECT surface, {rate('m1', 'valid', 'n')}, {rate('m3', 'cov_n', 'cov_d')}, {rate('m5', 'attr_n', 'attr_d')} FROM ({sums})")
+
+
+@query(f"WITH {EXPECTED_SQL} SELECT id, schema_valid, n_errors FROM sc WHERE surface = 'qbr'")
+def surface_in_sql(spark, sf_dir):
+    sql.register_briefs(spark, briefs(spark, sf_dir).select("id", "raw"))
+    return spark.sql("SELECT id, schema_valid, n_errors FROM briefs_of_surface('qbr')")
+
+
+@query(r"""SELECT c_custkey, regexp_matches(c_custkey::VARCHAR, '^[1-9]\d{3,5}$') AS cid_ok, regexp_matches(lpad(c_custkey::VARCHAR, 8, '0'), '^\d{8}$') AS case_ok, c_custkey % 10000 <> 0 AS amount_ok FROM customer""")
+def lints_in_sql(spark, sf_dir):
+    sql.register_functions(spark)
+    return spark.sql("SELECT c_custkey, lint_customer_id(c_custkey) AS cid_ok, lint_case_number(lpad(c_custkey, 8, '0')) AS case_ok, lint_messy_amount(c_custkey) AS amount_ok FROM {customer}", customer=table(spark, sf_dir, "customer"))
+
+
 _CLAIMED = "substring(text, CAST(1 + doc_id * 7 % greatest(length(text) - {n}, 1) AS INT), {n})"
 
 

@@ -9,8 +9,8 @@ from docloom.functions import jsonx
 from docloom.operators import knobs
 from docloom.plans.registry import query
 from docloom.plans.synth import table
-from docloom.sources import io
-from docloom.streaming import score
+from docloom.sources import feeds, io, named_files
+from docloom.streaming import score, ticks
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,14 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(knobs.id_name(k).alias("id"), F.to_json(F.struct(k.alias("key"), F.col("n_name").alias("name"))).alias("raw"), k)
 
 
-@query("""SELECT 'example-' || lpad(n_nationkey::VARCHAR, 3, '0') AS id, md5('{' || chr(10) || '  "key": ' || n_nationkey || ',' || chr(10) || '  "name": "' || n_name || '"' || chr(10) || '}') AS raw_md5 FROM nation""")
+@query("""SELECT 'example-' || lpad(doc_id::VARCHAR, CAST(greatest(3, length(doc_id::VARCHAR)) AS INT), '0') AS id, md5('{' || chr(10) || '  "key": ' || doc_id || ',' || chr(10) || '  "lang": "' || lang || '",' || chr(10) ||
+  '  "text_md5": "' || md5(text) || '"' || chr(10) || '}') AS raw_md5 FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL""")
 def exported_documents(spark, sf_dir):
+    """A file a document, named by tasks."""
     folder = io.shared_folder(spark, "exported")
-    io.export_documents(_nations(spark, sf_dir), folder)
+    docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
+    raw = F.to_json(F.struct(F.col("doc_id").alias("key"), "lang", F.md5(F.col("text").cast("binary")).alias("text_md5")))
+    io.export_documents(docs.select(knobs.id_name(F.col("doc_id")).alias("id"), raw.alias("raw")), folder)
     return io.documents(spark, f"{folder}/*.json").select("id", F.md5("raw").alias("raw_md5"))
 
 
@@ -78,6 +82,85 @@ def records_by_split(spark, sf_dir):
     return chars.select("split", "n", "skipped", "chars")
 
 
+@query("""SELECT CASE WHEN conv_id % 2 = 0 THEN 'train' ELSE 'eval' END AS split, count(DISTINCT conv_id) FILTER (conv_id % 5 <> 0) AS n, count(DISTINCT conv_id) FILTER (conv_id % 5 = 0) AS skipped,
+  count(DISTINCT conv_id) AS lines FROM conversations GROUP BY 1""")
+def records_read_once(spark, sf_dir):
+    """Records, and what the same pass skipped."""
+    folder = io.shared_folder(spark, "records")
+    io.write_records(_records(spark, sf_dir), folder)
+    rows = []
+    for split in ("train", "eval"):
+        found, seen = io.records_counted(spark, f"{folder}/split={split}")
+        n = found.agg(F.count("messages")).first()[0]
+        rows.append((split, n, seen.get["skipped"], seen.get["lines"]))
+    return spark.createDataFrame(rows, "split string, n long, skipped long, lines long")
+
+
+def _feed_files(spark: SparkSession, sf_dir: str) -> str:
+    """Pages as portions of three feeds, a hundred pages a file: RSS, a wiki dump and JSON lines; the last RSS file breaks off."""
+    folder = io.shared_folder(spark, "feeds")
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    i, url, html = F.col("page_id").cast("string"), F.col("url"), F.regexp_replace("html", r"\r\n?|[\x00-\x08\x0B\x0C\x0E-\x1F]", "\n")
+    forms = {
+        "news": (".rss", "<rss><channel><title>all</title>", F.concat(F.lit("<item><guid>"), i, F.lit("</guid><link>"), plain(url), F.lit("</link><description>"), plain(html), F.lit("</description></item>")), "</channel></rss>"),
+        "wiki": (".wiki.xml", '<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/">', F.concat(F.lit("<page><title>"), plain(url), F.lit("</title><id>"), i, F.lit("</id><revision><id>9</id><text>"), plain(html), F.lit("</text></revision></page>")), "</mediawiki>"),
+        "docs": (".jsonl", "", F.concat(F.to_json(F.struct(i.alias("id"), url.alias("url"), html.alias("text"))), F.lit("\n")), "not json"),
+    }
+    for k, (feed, (end, head, item, foot)) in enumerate(forms.items()):
+        pages = table(spark, sf_dir, "pages").where((F.col("page_id") % 3 == k) & F.col("html").isNotNull())
+        files = pages.groupBy(F.floor(F.col("page_id") / 300).alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", item.alias("x")))), lambda s: s.x), "").alias("items"))
+        cut = (F.col("part") == 0) if feed == "news" else F.lit(False)
+        named = files.select(F.concat_ws("-", F.lit(feed), "part").alias("name"), F.concat(F.lit(head), "items", F.when(cut, F.lit("<item><guid>")).otherwise(F.lit(foot))).alias("text"))
+        named_files.register(spark)
+        named.write.format("named_files").mode("append").option("suffix", end).save(folder)
+    return folder
+
+
+_FEEDS = r"""WITH p AS (SELECT page_id, ['news', 'wiki', 'docs'][1 + page_id % 3] AS feed, url, regexp_replace(html, '\r\n?|[\x00-\x08\x0B\x0C\x0E-\x1F]', chr(10), 'g') AS html FROM pages WHERE html IS NOT NULL)
+  SELECT feed, page_id::VARCHAR AS item_id, url AS place, md5(html) AS text_md5, false AS broken FROM p {where}"""
+_BROKEN = """ UNION ALL SELECT 'docs', NULL, NULL, NULL, true FROM (SELECT DISTINCT page_id // 300 FROM p WHERE feed = 'docs') UNION ALL SELECT DISTINCT 'news', NULL, NULL, NULL, true FROM p WHERE feed = 'news' AND page_id // 300 = 0"""
+
+
+def _feed_rows(found: DataFrame) -> DataFrame:
+    return found.select("feed", "item_id", F.coalesce("link", "title").alias("place"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("error").isNotNull().alias("broken"))
+
+
+@query(_FEEDS.format(where="") + _BROKEN)
+def feed_items(spark, sf_dir):
+    return _feed_rows(feeds.register(spark).read.format("feed").load(_feed_files(spark, sf_dir)))
+
+
+@query(_FEEDS.format(where="WHERE feed = 'wiki'"))
+def feed_items_of_one(spark, sf_dir):
+    """The condition chooses files before any is opened."""
+    return _feed_rows(feeds.register(spark).read.format("feed").load(_feed_files(spark, sf_dir)).where("feed = 'wiki'"))
+
+
+@query(_FEEDS.format(where="") + _BROKEN)
+def feed_items_streamed(spark, sf_dir):
+    folder, out = _feed_files(spark, sf_dir), io.shared_folder(spark, "feed-stream")
+    rows = _feed_rows(feeds.register(spark).readStream.format("feed").load(folder))
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query("""WITH l AS (SELECT event_id % 50 AS run, event_id // 50 AS step, CASE WHEN event_id % 4 = 0 THEN value END AS loss, value FROM events),
+  c AS (SELECT *, last_value(loss IGNORE NULLS) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS last_loss, max(value) OVER (PARTITION BY run, CAST(ceil(step / 5.0) AS BIGINT)) AS tick_peak FROM l)
+  SELECT run, step, last_loss, tick_peak FROM c WHERE step <> 0 AND step % 5 = 0""")
+def carried_ticks_streamed(spark, sf_dir):
+    """The log arrives in four files, even steps before odd ones, and the stream is started again for each."""
+    folder = io.shared_folder(spark, "carried-ticks")
+    ticks.prepare(spark, ends=True)
+    loss = F.when(F.col("event_id") % 4 == 0, F.col("value"))
+    log = table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("run"), F.floor(F.col("event_id") / 50).alias("step"), loss.alias("loss"), F.col("value").alias("peak"))
+    for k in (0, 2, 1, 3):
+        log.where(F.col("step") % 4 == k).write.mode("append").parquet(f"{folder}/in")
+        stream = ticks.ticks(spark.readStream.schema(log.schema).parquet(f"{folder}/in"))
+        keep = lambda rows, n: rows.write.mode("append").parquet(f"{folder}/out")
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return ticks.latest(spark.read.parquet(f"{folder}/out"))
+
+
 @query("""WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS line FROM (SELECT DISTINCT conv_id FROM conversations))
   SELECT 'first' AS kind, CASE WHEN conv_id % 5 = 0 THEN 'line' || line ELSE conv_id::VARCHAR END AS id FROM c WHERE line < 7
   UNION ALL SELECT 'limit', conv_id::VARCHAR FROM (SELECT * FROM c WHERE conv_id % 5 <> 0 ORDER BY conv_id LIMIT 7)
