@@ -5,7 +5,8 @@
 
 A task writes into a folder of its own attempt and moves its files to their names once all are whole; an attempt that fails removes its
 folder and leaves nothing. The driver gets counts and the name of a list of the files that a task has moved; if the job fails, what
-other tasks have moved is taken away by those lists. A task that runs again writes the same names.
+other tasks have moved is taken away by those lists (files of these names from before are gone, too). A task that runs again
+writes the same names.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ class Writer(DataSourceWriter):
         self.job = uuid.uuid4().hex
         if "/" in self.suffix:
             raise ValueError("a suffix has no slash")
+        files, _, work = self._folder()
+        files.create_dir(work, recursive=True)  # by the driver only: a task that starts after an abort finds no folder
 
     def _folder(self) -> tuple[fs.FileSystem, str, str]:
         files, root = store(self.path)
@@ -43,7 +46,7 @@ class Writer(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         files, root, work = self._folder()
         attempt, names, size = f"{work}/{uuid.uuid4().hex}", [], 0
-        files.create_dir(attempt, recursive=True)
+        files.create_dir(attempt, recursive=False)
         try:
             for row in iterator:
                 name, text = f"{row[0]}{self.suffix}", row[1] or ""
@@ -60,7 +63,8 @@ class Writer(DataSourceWriter):
             for name in names:
                 files.move(f"{attempt}/{name}", f"{root}/{name}")
         finally:
-            files.delete_dir(attempt)
+            if files.get_file_info(attempt).type == fs.FileType.Directory:
+                files.delete_dir(attempt)
         return Written(len(names), size, moved)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -68,17 +72,20 @@ class Writer(DataSourceWriter):
         files.delete_dir(work)
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Every list in the job's folder counts, also of tasks whose message got lost."""
+        """Every list in the job's folder counts, also of tasks whose message got lost. The folder gets another name first: tasks
+        that still run can move nothing from then on, and what they moved before is listed."""
         files, root, work = self._folder()
-        if files.get_file_info(work).type == fs.FileType.NotFound:
+        gone = f"{work}-aborted"
+        if files.get_file_info(work).type != fs.FileType.Directory:
             return
-        for found in files.get_file_info(fs.FileSelector(work)):
+        files.move(work, gone)
+        for found in files.get_file_info(fs.FileSelector(gone)):
             if found.path.endswith(".names"):
                 with files.open_input_stream(found.path) as stream:
                     for name in filter(None, stream.read().decode().split("\n")):
                         if files.get_file_info(f"{root}/{name}").is_file:
                             files.delete_file(f"{root}/{name}")
-        files.delete_dir(work)
+        files.delete_dir(gone)
 
 
 class NamedFiles(DataSource):
