@@ -30,6 +30,7 @@ END, SPECIAL = 0xFE, 0xFF  # bytes that UTF-8 never has: a text's end, a special
 START = 0
 _DELTA, _ZERO = 12, 1 << 11  # bits of a transition for the change of the count, and its offset
 _CONTRACTIONS = ("'s", "'t", "'m", "'d", "'re", "'ve", "'ll")
+_NEVER = 1 << 30  # a rank that no merge has
 _SPACES = re.compile(r"([ \t\n\r\x0b\x0c]+)")
 
 
@@ -55,7 +56,7 @@ class Transducer:
             self.begins.update(raw[:k] for k in range(1, len(raw)))
         self.begins |= self.last  # what can go on or close a word
         self.special = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or "(?!)")
-        self.most_states, self.fits, self.forms, self.kinds = most_states, {}, {}, {}
+        self.most_states, self.fits, self.halves, self.forms, self.kinds = most_states, {}, {}, {}, {}
         self.safe: set[str] = set(map(chr, range(0x300)))
         self.reset()
 
@@ -115,24 +116,55 @@ class Transducer:
 
     # ---- merges ----
 
+    def _merged(self, parts: list[str]) -> tuple[list[str], tuple | None]:
+        """What merging leaves of the parts, and the last merge: its rank, what it joined."""
+        last = None
+        while len(parts) > 1:
+            r, k = min((self.rank.get(p, _NEVER), k) for k, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if r == _NEVER:
+                break
+            last = (r, parts[k], parts[k + 1])
+            parts[k : k + 2] = ["".join(parts[k : k + 2])]
+        return parts, last
+
+    def _made_of(self, token: str) -> tuple | None:
+        """The merge that makes a token of its signs: rank and both parts; rank -1 for a single sign, None if merging makes something else of them."""
+        if token not in self.halves:
+            ends = token.endswith("</w>")
+            parts = list(token.removesuffix("</w>"))
+            parts[-1] += "</w>" * ends
+            parts, last = self._merged(parts)
+            self.halves[token] = None if len(parts) > 1 else last or (-1, None, None)
+        return self.halves[token]
+
     def _fits(self, before: bytes | None, token: bytes, ends: bool) -> bool:
-        """Whether merging gives just these two tokens (just this one after None)."""
+        """Whether merging gives just these two tokens (just this one after None).
+
+        It does unless a merge across their border comes first. Going back from the finished tokens, the later of both last
+        merges is undone, which shows who stood at the border before; a pair there that merges earlier than that would have been
+        joined. Of equal ranks the left one comes first.
+        """
         key = (before, token, ends)
         if key not in self.fits:
             if len(self.fits) > 300_000:
                 self.fits.clear()
-            parts = [_BYTE_SIGNS[b] for b in (before or b"") + token]
-            if ends:
-                parts[-1] += "</w>"
-            while len(parts) > 1:
-                r, k = min((self.rank.get(p, 1 << 30), k) for k, p in enumerate(zip(parts, parts[1:], strict=False)))
-                if r == 1 << 30:
-                    break
-                parts[k : k + 2] = ["".join(parts[k : k + 2])]
-            want = [len(before)] if before else []
-            self.fits[key] = len(parts) == len(want) + 1 and [len(p) for p in parts[:-1]] == want
+            right = "".join([_BYTE_SIGNS[x] for x in token]) + "</w>" * ends
+            self.fits[key] = self._made_of(right) is not None and (before is None or self._apart("".join([_BYTE_SIGNS[x] for x in before]), right))
         return self.fits[key]
 
+    def _apart(self, left: str, right: str) -> bool:
+        sooner, a, b = _NEVER, self._made_of(left), self._made_of(right)
+        while self.rank.get((left, right), _NEVER) >= sooner:
+            if a[0] > b[0]:
+                sooner, left = a[0], a[2]
+                a = self._made_of(left)
+            elif b[0] >= 0:
+                sooner, right = b[0] + 1, b[1]
+                b = self._made_of(right)
+            else:
+                return True
+        return False
+
     def _step(self, word: tuple, b: bytes) -> tuple[int, tuple]:
         """One more byte of a word. A word is (the longest end that begins a token, for each such end, by length: its length, the
         last token before it, the count there less the count now)."""
@@ -409,8 +441,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             _loaded[tokenizer_path] = Counter(tokenizer_path)
         for batch in batches:
             counts, sizes = [], []
-            for at in range(0, batch.num_rows, 500):
-                texts = [t or "" for t in batch.column(1).slice(at, 500).to_pylist()]
+            for at in range(0, batch.num_rows, 2_000):
+                texts = [t or "" for t in batch.column(1).slice(at, 2_000).to_pylist()]
                 counts += _loaded[tokenizer_path].count(texts)
                 sizes += [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -41,6 +41,24 @@ def test_normal_forms_are_stable_by_sign(counter):
     assert [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 for x in form(c) if form(x) != x] == []
 
 
+def test_borders_between_tokens_are_those_of_merging(counter):
+    m, rng = counter.machine, random.Random(6)
+    inner, last = sorted(m.inner), sorted(m.last)
+    common = [t for t in inner if t.isascii() and t.isalpha()]
+    good = 0
+    for k in range(30_000):
+        left = rng.choice(common if k % 2 else inner)
+        right, ends = rng.choice([(rng.choice(common if k % 2 else inner), False), (rng.choice(last), True)])
+        if m._made_of("".join(token_counts._BYTE_SIGNS[x] for x in left)) is None:
+            continue
+        parts = [token_counts._BYTE_SIGNS[x] for x in left + right]
+        parts[-1] += "</w>" * ends
+        want = [len(p.removesuffix("</w>")) for p in m._merged(parts)[0]] == [len(left), len(right)]
+        assert m._fits(left, right, ends) == want, (left, right, ends)
+        good += want
+    assert 1_000 < good < 29_000
+
+
 PIECES = ["the", "Straße", "don't", "'", "''s", "'re", "'rest", "'v", "'ll", " ", "\n", " ", " ", "12", "½", "!?", "...", "$#", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<|startoftext|>", "é", "é", "क़.", "한국", "가", "漢字", "🙂", "👩‍👩‍👧", "İ", "ΣΣ", "ﬁ", "\U00011382\U000113c9", "\U0001e921", "a" * 90, "\x85", "\x1c", "​", "الله", "ड़", "�", "\U000e0001"]
 
 
