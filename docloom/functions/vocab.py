@@ -38,8 +38,14 @@ SECTIONS = (
     "pricing_history", "renewal", "timeline", "asks_and_next_steps", "landmines", "talking_points", "carryover", "meeting_opener",
 )
 SURFACE_SECTIONS = {
-    "meeting_prep": tuple(s for s in SECTIONS if s not in ("support_health", "renewal", "timeline")),
-    "qbr": tuple(s for s in SECTIONS if s not in ("timeline", "landmines", "carryover", "meeting_opener")),
+    "meeting_prep": (
+        "must_address", "pipeline", "relationship_map", "recent_activity", "external_signal", "knowledge_context", "pricing_history",
+        "asks_and_next_steps", "landmines", "talking_points", "carryover", "meeting_opener",
+    ),
+    "qbr": (
+        "must_address", "pipeline", "support_health", "relationship_map", "recent_activity", "external_signal", "knowledge_context",
+        "pricing_history", "renewal", "asks_and_next_steps", "talking_points",
+    ),
     "handoff": ("pipeline", "support_health", "relationship_map", "recent_activity", "timeline", "asks_and_next_steps", "landmines"),
     "renewal_alert": (
         "must_address", "pipeline", "support_health", "relationship_map", "external_signal", "pricing_history", "renewal",

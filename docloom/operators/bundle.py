@@ -32,6 +32,25 @@ def renews_within(end: Column, as_of: Column, days: int) -> Column:
     return (end >= as_of) & (end <= F.date_add(as_of, days))
 
 
+def open_long(priority: Column, is_open: Column, opened: Column, as_of: Column, days: int = 30, urgent: str = "P1") -> Column:
+    """A case of the urgent priority that has been open for more than ``days`` days; unknown parts don't make one."""
+    return F.coalesce((priority == urgent) & is_open & (F.date_diff(as_of, opened) > days), F.lit(False))
+
+
+def lost_recently(stage: Column, closed: Column, as_of: Column, days: int = 90, lost: str = "Closed Lost") -> Column:
+    """An opportunity that was lost in the ``days`` days up to ``as_of``, that day included; later closings don't count yet."""
+    return F.coalesce((stage == lost) & F.date_diff(as_of, closed).between(0, days), F.lit(False))
+
+
+def left_recently(contacts: DataFrame, by: str, left: str, primary: str, as_of: Column, engagement: str, days: int = 90, low: float = 1.0) -> DataFrame:
+    """Per ``by`` whose primary contact left in the ``days`` days up to ``as_of``: the newest leaving, and whether those who are left
+    engage little: none of them more than ``low``. An account without anyone left counts as that, too."""
+    gone = F.coalesce(F.col(primary) & F.date_diff(as_of, F.col(left)).between(0, days), F.lit(False))
+    stays = F.col(left).isNull() | (F.col(left) > as_of)
+    found = contacts.groupBy(by).agg(F.max(F.when(gone, F.col(left))).alias("left"), F.max(F.when(stays, F.col(engagement))).alias("_most"))
+    return found.where("left is not null").select(by, "left", (F.coalesce(F.col("_most"), F.lit(0.0)) <= low).alias("low_engagement"))
+
+
 def last_activity(rows: DataFrame, by: str, when: str, as_of: Column) -> DataFrame:
     """Per ``by``: the newest time, and whole days from it to ``as_of``."""
     return rows.groupBy(by).agg(F.max(when).alias("last")).withColumn("days_ago", F.date_diff(as_of, F.col("last").cast("date")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -180,3 +182,16 @@ def conversations(attempts: DataFrame, prompts: DataFrame, retries: int = 3) ->
 
 def objects(v: Column) -> Column:
     return fields(v).isNotNull()
+
+
+def stamped(rows: DataFrame, started: float, name: str = "run") -> DataFrame:
+    """Rows of one run with its stamp in UTC, as in ``20260131-235959``: the same for all rows, whenever a task runs."""
+    stamp = datetime.fromtimestamp(started, UTC).strftime("%Y%m%d-%H%M%S")
+    return rows.withColumn(name, F.lit(stamp))
+
+
+def elapsed(attempts: DataFrame, began: str, ended: str, by: str = "row") -> DataFrame:
+    """Per row of a run: seconds from its first attempt's begin to its last attempt's end; NULL while one of them has no end."""
+    seconds = F.col(ended).cast("double") - F.col(began).cast("double")
+    total = F.max(F.col(ended).cast("double")) - F.min(F.col(began).cast("double"))
+    return attempts.groupBy(by).agg(F.when(F.count_if(F.col(ended).isNull()) == 0, total).alias("elapsed_s"), F.sum(seconds).alias("busy_s"))

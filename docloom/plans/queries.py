@@ -538,6 +538,36 @@ def top_similar_every_50th(spark, sf_dir):
     return bundle.top_similar(vectors, asked).select("q_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
+@query("""SELECT o_orderkey, coalesce(o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND date_diff('day', o_orderdate::DATE, DATE '1998-06-01') > 30, false) AS open_long,
+  coalesce(o_orderstatus = 'F' AND date_diff('day', o_orderdate::DATE, DATE '1998-06-01') BETWEEN 0 AND 900, false) AS lost FROM orders""")
+def dated_cases(spark, sf_dir):
+    """Urgent orders open for long, and finished ones that ended not long ago."""
+    day, placed = F.to_date(F.lit("1998-06-01")), F.col("o_orderdate").cast("date")
+    long = bundle.open_long(F.col("o_orderpriority"), F.col("o_orderstatus") == "O", placed, day, urgent="1-URGENT")
+    return table(spark, sf_dir, "orders").select("o_orderkey", long.alias("open_long"), bundle.lost_recently(F.col("o_orderstatus"), placed, day, 900, "F").alias("lost"))
+
+
+@query("""WITH c AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END AS gone, o_orderkey % 2 = 0 AS main, o_totalprice AS e FROM orders)
+  SELECT o_custkey, max(gone) FILTER (main AND date_diff('day', gone, DATE '1998-06-01') BETWEEN 0 AND 400)::VARCHAR AS gone, coalesce(max(e) FILTER (gone IS NULL OR gone > DATE '1998-06-01'), 0) <= 100000 AS low_engagement
+  FROM c GROUP BY 1 HAVING max(gone) FILTER (main AND date_diff('day', gone, DATE '1998-06-01') BETWEEN 0 AND 400) IS NOT NULL""")
+def champions_gone(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate").cast("date")).alias("gone"), (F.col("o_orderkey") % 2 == 0).alias("main"), F.col("o_totalprice").alias("e")
+    )
+    found = bundle.left_recently(orders, "o_custkey", "gone", "main", F.to_date(F.lit("1998-06-01")), "e", 400, 100_000.0)
+    return found.select("o_custkey", F.col("left").cast("string").alias("gone"), "low_engagement")
+
+
+@query("""SELECT user_id AS row, CASE WHEN count(*) FILTER (event_id % 7 = 0) = 0 THEN round(epoch(max(ts)) + max_by(value, ts) - epoch(min(ts)), 3) END AS elapsed_s, '20260131-235959' AS run FROM
+  (SELECT *, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 1 END AS done FROM events) GROUP BY 1""")
+def run_times(spark, sf_dir):
+    """Events as attempts that end after ``value`` seconds; some have no end."""
+    began = F.unix_micros(F.to_timestamp(F.col("ts").cast("string"))) / 1e6
+    ended = F.when(F.col("event_id") % 7 != 0, began + F.when(F.col("ts") == F.max("ts").over(Window.partitionBy("user_id")), F.col("value")).otherwise(0.0))
+    times = knobs.elapsed(table(spark, sf_dir, "events").select(F.col("user_id").alias("row"), began.alias("began"), ended.alias("ended")), "began", "ended")
+    return knobs.stamped(times.select("row", F.round("elapsed_s", 3).alias("elapsed_s")), 1769903999.0)
+
+
 @query("""SELECT c_custkey, count(o_orderkey) AS n_orders, min(o_orderkey) AS first_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
 def account_bundle(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("c_custkey", F.col("o_custkey"))
