@@ -26,9 +26,9 @@ def draw(seed: int, row: Column, slot: str, buckets: int) -> Column:
 
 def matrix(
     spark: SparkSession, surface: str, count: int, shape: str | None = None, edge_cases: list[str] | None = None, source_mix: str | None = None,
-    account_hint: str | None = None, seed: int = 42,
+    account_hint: str | None = None, seed: int = 42, rows: DataFrame | None = None,
 ) -> DataFrame:
-    """``count`` parameter rows. Shape is uniform; 0, 1, 2 or 3 edge cases come with weights 2:4:3:1, without repeats; the mix is
+    """``count`` parameter rows, or one for each of ``rows`` (row). Shape is uniform; 0, 1, 2 or 3 edge cases come with weights 2:4:3:1, without repeats; the mix is
     uniform over the mixes and none. Given slots override. Draws are hashes of seed and row, so rows are independent."""
     one_of("surface", surface or "", SURFACES), one_of("shape", shape or None, ACCOUNT_SHAPES), one_of("source_mix", source_mix or None, SOURCE_MIXES)
     row = F.col("row")
@@ -37,9 +37,8 @@ def matrix(
     n = F.when(ten < 2, 0).when(ten < 6, 1).when(ten < 9, 2).otherwise(3)
     order = F.array_sort(F.array(*[F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), F.lit(e))).alias("k"), F.lit(e).alias("e")) for e in EDGE_CASES]))
     chosen = F.transform(F.slice(order, F.lit(1), n), lambda x: x.e) if edge_cases is None else F.array(*[F.lit(e) for e in edge_cases]).cast("array<string>")
-    params = spark.range(count).select(
-        F.col("id").alias("row"), F.lit(surface).alias("surface"),
-    ).withColumns({
+    numbered = spark.range(count).withColumnRenamed("id", "row") if rows is None else rows.select("row")
+    params = numbered.withColumn("surface", F.lit(surface)).withColumns({
         "account_shape": F.lit(shape) if shape else pick(ACCOUNT_SHAPES, "shape"), "edge_cases": chosen,
         "source_mix": F.lit(source_mix) if source_mix else pick((*SOURCE_MIXES, None), "mix"), "account_hint": F.lit(account_hint).cast("string"),
     })

@@ -270,13 +270,14 @@ def _bits(key: str, n: int) -> str:
     return f"CAST('0x' || substr(md5({key}), 1, 7) AS BIGINT) % {n}"
 
 
-@query(f"""WITH r AS (SELECT range AS row FROM range(500)), m AS (SELECT row, {_bits("'42:' || row || ':shape'", 8)} AS s, {_bits("'42:' || row || ':mix'", 7)} AS x,
+@query(f"""WITH r AS (SELECT c_custkey AS row FROM customer), m AS (SELECT row, {_bits("'42:' || row || ':shape'", 8)} AS s, {_bits("'42:' || row || ':mix'", 7)} AS x,
   {_bits("'42:' || row || ':n'", 10)} AS t FROM r), e AS (SELECT row, token, row_number() OVER (PARTITION BY row ORDER BY md5('42:' || row || ':' || token)) AS k
   FROM r, (SELECT DISTINCT token FROM {_HINT_SQL}) tokens)
   SELECT m.row AS row, (ARRAY[{", ".join(f"'{s}'" for s in ACCOUNT_SHAPES)}])[1 + s] AS account_shape, (ARRAY[{", ".join(f"'{s}'" for s in SOURCE_MIXES)}, NULL])[1 + x] AS source_mix,
   coalesce((SELECT string_agg(token, ',' ORDER BY k) FROM e WHERE e.row = m.row AND k <= CASE WHEN t < 2 THEN 0 WHEN t < 6 THEN 1 WHEN t < 9 THEN 2 ELSE 3 END), '') AS edge_cases FROM m""")
 def generation_matrix(spark, sf_dir):
-    made = knobs.matrix(spark, "qbr", 500)
+    """A row of parameters for every customer."""
+    made = knobs.matrix(spark, "qbr", 0, rows=table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row")))
     return made.select("row", "account_shape", "source_mix", F.array_join("edge_cases", ",").alias("edge_cases"))
 
 
