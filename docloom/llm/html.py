@@ -1,27 +1,33 @@
 """HTML extraction by minimum-cut labelling.
 
 A page becomes blocks of text. What a small linear classifier thinks of a block gives it two terminal capacities, one to
-the source (content) and one to the sink (boilerplate). Its weights for the form of a block (length, links, headings, ...) are fitted to the
-pages at hand: where a page marks its article, what lies in it and what doesn't are labels; what the elements and class words around a
-block say is added to that, as evidence of its own. Blocks that follow each other, or are neighbours under one parent
-element, are joined by edges whose capacity falls with the steps between them in the element tree. Maximum flow finds the
-labelling of least cost, and the blocks still reachable from the source are the main text.
+the source (content) and one to the sink (boilerplate). It looks at the form of a block (length, links, headings, ...) and at
+signs: the elements around it and the names that pages give them. Its weights are fitted to the pages at hand: where a page
+marks its article, what lies in it and what doesn't are labels, and the mark itself is hidden from the fit. No sign weighs more
+than an edge does (``SMOOTH``), so neighbours can outvote it. Blocks that follow each other, or are neighbours under one parent
+element, are joined by edges whose capacity falls with the steps between them in the element tree; an element that begins a part
+of its own counts as several steps. Maximum flow finds the labelling of least cost, and the blocks still reachable from the source
+are the main text. What a page doesn't show is no block.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMOOTH = 1.5  # capacity between blocks of one element; class words weigh 6 at most
+SMOOTH = 4.0  # capacity between blocks of one element, and the most that one sign weighs
+STRONG = 0.6 * SMOOTH  # a sign against that ends what elements further out say for a part
+PART_STEPS = 10  # steps that an element counts as which begins a part of its own
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Elements by their part in a page, and words in class, id or role that tell a part.
@@ -33,7 +39,8 @@ BLOCK = {
     "summary", "table", "caption", "tbody", "thead", "tfoot", "tr", "ul",
 }
 SPACED = {"br", "td", "th", "img", "wbr", "option", "input"} - {"wbr"}
-TAG_COST = {"nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "search": -6.0, "fieldset": -4.0, "header": -4.5}
+APART = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldset", "header"}
+MARKS = {"article", "main"}
 SURE = set(
     "nav navbar navigation menubar breadcrumb breadcrumbs masthead topbar toolbar sidebar ad ads advert adverts advertisement adsense adsbygoogle sponsored "
     "cookie cookies gdpr newsletter disqus pagination pager comment comments tagcloud".split()
@@ -56,9 +63,10 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-UNSEEN, LEAST = -12.0, -12.0
+MARK, LEAST = 3.0, -12.0  # a marked article; the least that signs come to together
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSES_P = BLOCK - {"html", "body"}
+UNTOLD = {"html", "body", "div", "p", "center"} | MARKS  # elements that are no signs
 
 
 def token_cost(token: str) -> float:
@@ -68,62 +76,78 @@ def token_cost(token: str) -> float:
         return 1.5 if words & FOR and not words & LAYOUT else 0.0
     if words & (AGAINST | PERHAPS):
         whole = words & SURE or words & AGAINST and words <= AGAINST | PERHAPS | FOR | PLAIN
-        return -6.0 if whole else -2.0
+        return -SMOOTH if whole else -2.0
     return 1.5 if words & FOR else 0.0
 
 
-def attribute_cost(attributes: str, top: bool) -> float:
-    """What the attributes of an element say: negative for boilerplate, strongly so if the element is not shown."""
-    cost = 0.0
+def before(sign: str) -> float:
+    """What a sign is taken for before any page is seen: elements as ``<nav``, other signs are class names, ids and roles."""
+    if sign.startswith("<"):
+        return -SMOOTH if sign[1:] in APART else 0.0
+    return token_cost(sign)
+
+
+def read(attributes: str, named: bool) -> tuple[list[str], bool]:
+    """Class names, ids and roles of an element (if they count), and whether it is hidden."""
+    signs, hidden = [], False
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "style":
-            cost += UNSEEN if _UNSEEN.search(value) else 0.0
+            hidden |= bool(_UNSEEN.search(value))
         elif name == "hidden" or name == "aria-hidden":
-            cost += UNSEEN if name == "hidden" and value.lower() != "until-found" or value.lower() == "true" else 0.0
-        elif not top:
-            for token in value.split():
-                own = token_cost(token)
-                cost = min(cost, own) if own < 0 else cost + own
-    return max(UNSEEN, min(cost, 2.5))
+            hidden |= name == "hidden" and value.lower() != "until-found" or value.lower() == "true"
+        elif named:
+            signs.extend(value.split())
+    return signs, hidden
+
+
+def evidence(signs: list[str], learned: dict[str, float]) -> float:
+    """What the signs of one element say: a strong one against counts alone, others are added up, within the size of an edge."""
+    found = [learned[x] if x in learned else before(x) for x in signs]
+    low = min(found, default=0.0)
+    return max(-SMOOTH, low if low <= -STRONG else min(sum(found), 2.5))
 
 
 class Block:
-    """Text of a block with what the classifier looks at: cost of the surroundings, shares of link and button text, form."""
+    """Text of a block with what the classifier looks at: what signs around it say, shares of link and button text, form."""
 
-    __slots__ = ("text", "cost", "node", "links", "buttons", "heading", "item", "inside")
+    __slots__ = ("text", "cost", "node", "links", "buttons", "heading", "item", "inside", "chain", "title", "ahead")
 
     def __init__(self, text: str, at: Element, node: int, links: float, buttons: float, names: list[str]):
         self.text, self.cost, self.node, self.links, self.buttons, self.inside = text, at.cost, node, links, buttons, at.inside
+        self.chain, self.title, self.ahead = at.chain, "h1" in names, False
         self.heading, self.item = any(x in HEADINGS for x in names), "li" in names
 
 
 class Element:
-    __slots__ = ("name", "cost", "node", "inside")
+    """An open element; ``chain`` is (its signs, the chain of the element around it)."""
 
-    def __init__(self, name: str, cost: float, node: int, inside: bool):
-        self.name, self.cost, self.node, self.inside = name, cost, node, inside
+    __slots__ = ("name", "cost", "node", "inside", "hidden", "chain")
+
+    def __init__(self, name: str, cost: float, node: int, inside: bool, hidden: bool, chain: tuple | None):
+        self.name, self.cost, self.node, self.inside, self.hidden, self.chain = name, cost, node, inside, hidden, chain
 
 
 class Tree:
     """Parent and depth of every element with text of its own level."""
 
     def __init__(self):
-        self.parent, self.depth = [0], [0]
+        self.parent, self.depth, self.width = [0], [0], [1]
 
-    def add(self, parent: int) -> int:
+    def add(self, parent: int, width: int) -> int:
         self.parent.append(parent)
+        self.width.append(width)
         self.depth.append(self.depth[parent] + 1)
         return len(self.parent) - 1
 
     def steps(self, a: int, b: int) -> int:
-        """Edges between two nodes. For blocks that follow each other these are tags between them, so all sums are linear."""
+        """Edges between two nodes, each as long as its element counts. For blocks that follow each other these are tags between them, so all sums are linear."""
         n = 0
         while a != b:
             if self.depth[a] < self.depth[b]:
                 a, b = b, a
+            n += self.width[a]
             a = self.parent[a]
-            n += 1
         return n
 
 
@@ -140,11 +164,11 @@ def _end_of_head(page: str, at: int) -> re.Match | None:
 _HEAD_END = re.compile(r"</head[\s>]|<body[\s>]|<(?:article|main|div|nav|p|h1)[\s>]|<(script|style|title)\b", re.I)
 
 
-def blocks(page: str, tree: Tree | None = None) -> list[Block]:
-    """Text blocks in page order with the cost of their surroundings; end tags without a start are ignored. Time is linear."""
+def blocks(page: str, tree: Tree | None = None, learned: dict[str, float] | None = None) -> list[Block]:
+    """Text blocks in page order with what signs say of them; hidden text is left out, end tags without a start are ignored. Time is linear."""
     out: list[Block] = []
-    tree = tree or Tree()
-    stack = [Element("", 0.0, 0, False)]
+    tree, learned = tree or Tree(), learned or {}
+    stack = [Element("", 0.0, 0, False, False, None)]
     open_: Counter[str] = Counter()
     parts, linked, pressed, in_link, in_button, at, n = [], 0, 0, False, False, 0, len(page)
     unclosed: set[str] = set()  # elements that have no end tag from here on
@@ -153,13 +177,20 @@ def blocks(page: str, tree: Tree | None = None) -> list[Block]:
         nonlocal linked, pressed
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
+            if text and not stack[-1].hidden:
                 out.append(Block(text, stack[-1], stack[-1].node, min(1.0, linked / len(text)), min(1.0, pressed / len(text)), [e.name for e in stack[-3:]]))
             parts.clear()
         linked = pressed = 0
 
-    def begin(name: str, cost: float) -> None:
-        stack.append(Element(name, cost, tree.add(stack[-1].node), stack[-1].inside or name in ("article", "main")))
+    def begin(name: str, signs: list[str], hidden: bool) -> None:
+        around = stack[-1]
+        own, cost = evidence(signs, learned), around.cost
+        if name in MARKS:
+            cost = max(cost, -1.0) + MARK
+        cost = max(LEAST, min(cost, 0.0) + own) if own <= -STRONG else max(LEAST, min(cost + own, SMOOTH))
+        node = tree.add(around.node, PART_STEPS if abs(own) >= STRONG / 2 or name in APART else 1)
+        chain = (signs, around.chain) if signs and name not in MARKS else around.chain
+        stack.append(Element(name, cost, node, around.inside or name in MARKS, around.hidden or hidden, chain))
         open_[name] += 1
 
     def end() -> str:
@@ -205,9 +236,11 @@ def blocks(page: str, tree: Tree | None = None) -> list[Block]:
             elif name == "button":
                 in_button = True
             if name not in BLOCK:
-                if name not in VOID and name in ("span", "ins", "b", "i", "em", "font") and _NAMED.search(m[3]) and attribute_cost(m[3], False) < -5:
-                    flush()
-                    begin(name, stack[-1].cost + attribute_cost(m[3], False))
+                if name in ("span", "ins", "b", "i", "em", "font") and _NAMED.search(m[3]):
+                    signs, hidden = read(m[3], True)
+                    if hidden or evidence(signs, learned) <= -STRONG:
+                        flush()
+                        begin(name, signs, hidden)
                 continue
             flush()
             in_link = in_button = False
@@ -216,11 +249,10 @@ def blocks(page: str, tree: Tree | None = None) -> list[Block]:
                 end()
             if name in ("hr",):
                 continue
-            cost = stack[-1].cost
-            if name in ("article", "main"):
-                cost = max(cost, -1.0) + 3.0
-            own = attribute_cost(m[3], name in ("html", "body")) + (0.0 if name == "header" and stack[-1].inside else TAG_COST.get(name, 0.0))
-            begin(name, max(LEAST, min(cost + own, 4.0)) if own >= -3 else max(LEAST, min(cost, 1.0) + own))
+            signs, hidden = read(m[3], name not in ("html", "body"))
+            if name not in UNTOLD and not (name == "header" and stack[-1].inside):
+                signs.append("<" + name)
+            begin(name, signs, hidden)
         elif name == "a":
             in_link = False
         elif name == "button":
@@ -231,75 +263,119 @@ def blocks(page: str, tree: Tree | None = None) -> list[Block]:
                 while end() != name:
                     pass
     flush()
+    title = next((k for k, b in enumerate(out) if b.title), 0)
+    for b in out[:title]:
+        b.ahead = not b.inside
     return out
 
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-# Constant, words (logarithm), links, list item, heading, end of a sentence: where the fit starts from and what it is drawn to.
-PRIOR = (-0.6, 0.55, -3.0, -0.8, 1.0, 0.6)
-LINKS_INSIDE, BUTTON = -0.8, -6.0
+class Weights(NamedTuple):
+    """Of the form: constant, words (logarithm), links, list item, heading, end of a sentence, ahead of the title. Of signs: those that were learned."""
+
+    form: tuple[float, ...]
+    signs: dict[str, float]
+
+
+PRIOR = Weights((-0.6, 0.55, -3.0, -0.8, 1.0, 0.6, -2.5), {})  # where the fit starts from and what it is drawn to
+LINKS_INSIDE, BUTTON = -0.8, -SMOOTH
 FIT_PAGES, FIT_BLOCKS = 400, 60  # pages of the sample (by a hash of the page), blocks of each (evenly spread)
+FIT_SIGNS, SIGN_PAGES = 500, 3  # signs learned: those on most pages of the sample, on this many at least; others keep what they were taken for
 
 
 def form(b: Block) -> tuple[float, ...]:
     """What the weights apply to."""
     words = b.text.count(" ") + 1
-    return 1.0, math.log1p(words), b.links, float(b.item), float(b.heading), float(b.text[-1] in ".!?…。\"”»")
+    return 1.0, math.log1p(words), b.links, float(b.item), float(b.heading), float(b.text[-1] in ".!?…。\"”»"), float(b.ahead)
 
 
-def odds(b: Block, weights: tuple[float, ...] = PRIOR) -> float:
-    """Log-odds that a block is main text, from its form and its surroundings. In an article links and lists say little."""
+def odds(b: Block, weights: Weights = PRIOR) -> float:
+    """Log-odds that a block is main text, from its form and its signs. In an article links and lists say little."""
     x = list(form(b))
-    z = b.cost + BUTTON * (b.buttons > 0.8)
+    z = min(b.cost, 0.0) + BUTTON if b.buttons > 0.8 else b.cost
     if b.inside:
         z += LINKS_INSIDE * x[2]
         x[2] = x[3] = 0.0
-    return z + sum(w * v for w, v in zip(weights, x, strict=True))
+    return z + sum(w * v for w, v in zip(weights.form, x, strict=True))
 
 
-def fit(x: np.ndarray, y: np.ndarray, most: float = 300.0) -> tuple[float, ...]:
-    """Weights of the likeliest logistic curve around ``PRIOR``. Classes count alike, and all blocks together as ``most``
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, loose: np.ndarray, most: float = 300.0) -> np.ndarray:
+    """Weights of the likeliest logistic curve around ``prior``, from which they stray by about ``loose``. Classes count alike, and all blocks together as ``most``
     at most, so that pages of one make don't carry the weights away. Without blocks of both classes it is the prior."""
-    prior = np.array(PRIOR)
     if len(set(y.tolist())) < 2:
-        return PRIOR
+        return prior
     share = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y <= 0).sum())) * min(most, len(y)) / 2
-    tight = 1 / (0.5 * np.maximum(np.abs(prior), 0.4)) ** 2
+    tight = 1 / loose**2
+    loss = lambda w: (share * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w))).sum() + (tight * (w - prior) ** 2).sum() / 2
     w = prior.copy()
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (share * (p - y)) + tight * (w - prior)
         step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.diag(tight), gradient)
-        w -= np.clip(step, -1, 1)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
         if np.abs(step).max() < 1e-9:
             break
-    return tuple(w.tolist())
+    return w
 
 
-def marked(page: str, most: int = FIT_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """Forms and labels of blocks of a page that marks its article: 1 inside, unless something speaks against it, 0 outside."""
+def marked(page: str, most: int = FIT_BLOCKS) -> list[tuple[tuple[float, ...], list[str], bool]]:
+    """Form, signs and label of blocks of a page that marks its article: true inside, unless a sign speaks against it. The mark and
+    what it is named are no signs."""
     found = blocks(page)
     if not any(b.inside for b in found):
-        found = []
+        return []
     kept = [b for b in found if not b.inside or b.cost >= 1.0]
-    kept = [kept[k] for k in sorted({round(k) for k in np.linspace(0, len(kept) - 1, min(most, len(kept)))})] if kept else []
-    return np.array([form(b) for b in kept], "<f8").reshape(-1, len(PRIOR)), np.array([b.inside for b in kept], "<f8")
+    out = []
+    for k in sorted({round(k) for k in np.linspace(0, len(kept) - 1, min(most, len(kept)))}) if kept else []:
+        b, signs, chain = kept[k], set(), kept[k].chain
+        while chain:
+            signs.update(chain[0])
+            chain = chain[1]
+        out.append((form(b), sorted(signs), b.inside))
+    return out
+
+
+def table(pages: list[list[tuple[tuple[float, ...], list[str], bool]]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Features and labels of the blocks of ``marked`` pages, and the signs that columns behind the form stand for."""
+    on = Counter(x for page in pages for x in {x for _, signs, _ in page for x in signs})
+    names = sorted(sorted((x for x in on if on[x] >= SIGN_PAGES), key=lambda x: (-on[x], x))[:FIT_SIGNS])
+    column = {x: len(PRIOR.form) + k for k, x in enumerate(names)}
+    rows = [row for page in pages for row in page]
+    x = np.zeros((len(rows), len(PRIOR.form) + len(names)))
+    for k, (own, signs, _) in enumerate(rows):
+        x[k, : len(own)] = own
+        x[k, [column[s] for s in signs if s in column]] = 1.0
+    return x, np.array([float(row[2]) for row in rows]), names
+
+
+def spread(prior: np.ndarray) -> np.ndarray:
+    """How far weights may stray: of the form little, of signs more, most of signs that nothing is known of."""
+    own = np.arange(len(prior)) < len(PRIOR.form)
+    return np.where(own, 0.2 * np.maximum(np.abs(prior), 0.4), 1.0)
+
+
+def learn(pages: list[list[tuple[tuple[float, ...], list[str], bool]]]) -> Weights:
+    """Weights from ``marked`` pages; a sign's weight stays within the size of an edge."""
+    x, y, names = table(pages)
+    own, prior = len(PRIOR.form), np.array([*PRIOR.form, *[before(s) for s in names]])
+    w = fit(x, y, prior, spread(prior)).tolist()
+    return Weights(tuple(w[:own]), {s: max(-SMOOTH, min(v, SMOOTH)) for s, v in zip(names, w[own:], strict=True) if v != before(s)})
 
 
-def train(pages: DataFrame, fit_pages: int = FIT_PAGES) -> tuple[float, ...]:
+def train(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Weights:
     """Weights fitted to a bounded sample of pages; those without a marked article teach nothing. No table gives the prior."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [marked(p.as_py()) for p in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(marked(p.as_py())) for p in batch.column(0)], pa.string())], names=["found"])
 
     sample = pages.where("length(html) > 0").select("html").orderBy(F.xxhash64("html"), F.xxhash64(F.reverse("html"))).limit(fit_pages)
-    rows = sorted((bytes(r.x), bytes(r.y)) for r in sample.mapInArrow(run, "x binary, y binary").collect())
-    x, y = (np.frombuffer(b"".join(r[k] for r in rows), "<f8") for k in (0, 1))
-    return fit(x.reshape(-1, len(PRIOR)), y)
+    return learn([json.loads(found) for found in sorted(r.found for r in sample.mapInArrow(run, "found string").collect())])
 
 
 def least_cut(terminals: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -355,9 +431,9 @@ def least_cut(terminals: list[tuple[float, float]], edges: list[tuple[int, int,
                 turn[v] += 1
 
 
-def main_text(page: str, smooth: float = SMOOTH, weights: tuple[float, ...] = PRIOR) -> str:
+def main_text(page: str, smooth: float = SMOOTH, weights: Weights = PRIOR) -> str:
     tree = Tree()
-    found = blocks(page, tree)
+    found = blocks(page, tree, weights.signs)
     if not found:
         return ""
     terminals = []
@@ -367,15 +443,17 @@ def main_text(page: str, smooth: float = SMOOTH, weights: tuple[float, ...] = PR
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, smooth / (1 + tree.steps(found[i - 1].node, b.node))))
+            begins = PART_STEPS if found[i - 1].ahead and not b.ahead else 0  # so does the title
+            edges.append((i - 1, i, smooth / (1 + begins + tree.steps(found[i - 1].node, b.node))))
         parent = tree.parent[b.node]
-        if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, smooth / 3))
-        last[parent] = i
+        if tree.width[b.node] == 1:  # text on both sides of a part belongs together
+            if parent in last and last[parent] != i - 1 and found[last[parent]].ahead == b.ahead:
+                edges.append((last[parent], i, smooth / 3))
+            last[parent] = i
     return "\n".join(b.text for b, keep in zip(found, least_cut(terminals, edges), strict=True) if keep)
 
 
-def extract(pages: DataFrame, weights: tuple[float, ...] = PRIOR) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights = PRIOR) -> DataFrame:
     """One row per page, see ``SCHEMA``, by the ``weights`` of ``train``: the article without menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
     A null, empty or text-free page gives the empty text. Broken markup (missing end tags, stray ends, cut tails) is read
