@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 URGENCY = ("critical", "high", "medium", "low")
 
 
-def attach(accounts: DataFrame, rows: DataFrame, key: str, name: str, fields: list[str], order: str) -> DataFrame:
-    """Accounts with an ordered list of their rows as structs; an account without rows gets an empty list."""
-    kept = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(name))
+def attach(accounts: DataFrame, rows: DataFrame, key: str, name: str, fields: list[str], order: str, most: int | None = None) -> DataFrame:
+    """Accounts with an ordered list of their rows as structs; an account without rows gets an empty list.
+
+    A list is one value, so without ``most`` an account's rows must fit into one. With ``most`` the list holds the first that many, and
+    ``n_<name>`` counts all rows: each task sends at most that many rows of an account and its count, however many the account has.
+    """
+    listed = F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(name)
+    if most is None:
+        kept = rows.groupBy(key).agg(listed)
+    else:
+        held = [key, *dict.fromkeys([order, *fields])]
+        kept = top_rows(rows.select(*held), key, [order], most).groupBy(key).agg(listed)
+        counts = rows.groupBy(key).agg(F.count("*").alias(f"n_{name}"))
+        accounts = accounts.join(counts, key, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long")))
     return accounts.join(kept, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kept.schema[name].dataType)))
 
 
@@ -70,7 +81,10 @@ def activity_volume(rows: DataFrame, by: str, when: Column, contact: Column, as_
 
 
 def top_rows(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
-    """The first ``k`` rows of each ``by``, with their ``rank``: ranked before anything is listed, so lists stay short."""
+    """The first ``k`` rows of each ``by``, with their ``rank``: ranked before anything is listed, so lists stay short.
+
+    Spark ranks within each task first and sends only what can be among the first ``k``, so a ``by`` that holds much of all rows is no load.
+    """
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 

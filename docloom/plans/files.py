@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import jsonx
 from docloom.operators import knobs
 from docloom.plans.registry import query
-from docloom.plans.synth import table
+from docloom.plans.synth import EXPECTED_SQL, briefs, table
 from docloom.sources import feeds, io, named_files
 from docloom.streaming import score, ticks
 
@@ -234,6 +234,16 @@ def streamed_scores(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("id", "schema_valid", "surface")
 
 
+@query(f"WITH {EXPECTED_SQL} SELECT id, schema_valid, surface, CAST(cov_n AS INT) AS cov_n, CAST(cov_d AS INT) AS cov_d FROM sc")
+def streamed_brief_scores(spark, sf_dir):
+    """All briefs arrive as files of JSON lines, a few files a batch; whole ones and broken ones are scored as they come."""
+    folder = io.shared_folder(spark, "arriving")
+    briefs(spark, sf_dir).select("id", "raw").write.json(f"{folder}/in")
+    arriving = spark.readStream.schema("id string, raw string").option("maxFilesPerTrigger", 3).json(f"{folder}/in")
+    score.score_stream(arriving, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "schema_valid", "surface", F.col("cov_n").cast("int").alias("cov_n"), F.col("cov_d").cast("int").alias("cov_d"))
+
+
 @query("SELECT n_name AS name, length(n_name) AS chars FROM nation WHERE n_nationkey = 7")
 def resource_text(spark, sf_dir):
     path = io.shared_folder(spark, "resource")

@@ -576,6 +576,18 @@ def account_bundle(spark, sf_dir):
     return made.select("c_custkey", F.size("orders").cast("long").alias("n_orders"), F.try_element_at("orders", F.lit(1)).o_orderkey.alias("first_order"))
 
 
+@query("""WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id + 1 END AS user_id, event_id, event_type FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM e)
+  SELECT user_id, max(n) AS n_events, string_agg(event_id || ':' || event_type, ',' ORDER BY event_id) AS events FROM r WHERE r <= 4 GROUP BY 1""")
+def account_bundle_skewed(spark, sf_dir):
+    """One account holds a third of all rows: its first rows and its count are told without a list of them all."""
+    user = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id") + 1).alias("user_id")
+    rows = table(spark, sf_dir, "events").select(user, "event_id", "event_type")
+    made = bundle.attach(rows.select("user_id").distinct(), rows, "user_id", "events", ["event_type"], "event_id", most=4)
+    shown = F.transform("events", lambda e: F.concat_ws(":", e.event_id.cast("string"), e.event_type))
+    return made.select("user_id", "n_events", F.array_join(shown, ",").alias("events"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' OR o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY")
 def open_or_recent(spark, sf_dir):
     as_of = F.lit("1998-01-01").cast("date")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.metrics import THRESHOLDS, meets, percent
+from docloom.sources.io import shared_folder
 
 OVERALL = "OVERALL"
 
@@ -59,8 +60,12 @@ def paired(predictions: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def card(scores: DataFrame, ids: DataFrame | None = None, most: int = 3) -> DataFrame:
-    """The report card (part, line): a line a surface, targets of the whole, missing ids, the first failures and warnings."""
-    found = report(scores)
+    """The report card (part, line): a line a surface, targets of the whole, missing ids, the first failures and warnings.
+
+    Documents are parsed and scored once: what the parts read is written to the shared folder, with the first messages only.
+    """
+    scores = written(scores.withColumn("schema_errors", F.slice("schema_errors", 1, most)), "scores")
+    found = written(report(scores), "rollup")  # a row a surface
     total = F.col("surface") == OVERALL
     show = lambda c: F.coalesce(F.format_string("%.1f%%", F.col(c)), F.lit("n/a"))
     rows = found.select(F.when(total, "2 total").otherwise("1 surface").alias("part"), F.concat_ws(" ", "surface", F.col("n").cast("string"), show("m1"), show("m3"), show("m5")).alias("line"))
@@ -78,6 +83,12 @@ def card(scores: DataFrame, ids: DataFrame | None = None, most: int = 3) -> Data
     return out
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lines(rows: list) -> list[str]:
     """The report as text; all logic is in the rows."""
     show = lambda x: "n/a" if x is None else f"{x:.1f}%"
