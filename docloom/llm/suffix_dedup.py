@@ -3,12 +3,15 @@
 Documents are dealt into shards by a hash of doc_id. Two passes bring together what can match, wherever it stands:
 
 1. Every shard selects fingerprints of its windows (the least hash of the pieces of ``PIECE`` bytes in a window, so equal
-   windows select alike). Buckets of fingerprints find those that more than one document has.
+   windows select alike). Buckets of fingerprints find those that more than one document has, and heavy ones: pieces that stand in
+   so many different surroundings that their stretches would overload one bucket.
 2. Stretches of windows under such a fingerprint go to its bucket, each distinct one once a shard. A stretch that several
    shards send counts as one of the first. The bucket builds the Burrows-Wheeler transform of each shard's stretches, merges the
    transforms by interleave refinement to a depth of ``LENGTH`` bytes, and finds the least doc_id of every repeated interval.
    A shard hears which windows have a smaller doc_id elsewhere, and cuts the bytes.
 
+Windows under a heavy fingerprint go one by one, each to the bucket of its own hash, so no fingerprint fills a bucket however common it is.
+
 A bucket gets one copy of a stretch from a shard however many documents hold it, so common passages and large groups of
 copies stay small. The shuffled documents are used by three steps of one query; the exchange is reused.
 """
@@ -33,6 +36,7 @@ SHARD_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 TASK_BYTES = 32 << 20  # of text; a task takes shard after shard, so its memory is that of one
 EXPAND = 1 << 20
+MANY_PLACES = 16  # a shard tells how many bytes stand under a fingerprint from so many places on
 KEY_BYTES = 6
 NO_ID = (1 << 63) - 1
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -109,6 +113,28 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
         return ((_trim(values) * _M) >> np.uint64(33)) % np.uint64(buckets)
 
 
+def _whole_hashes(flat: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of whole windows."""
+    out = np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            out = out * _B + flat[start + k] + np.uint64(1)
+        out ^= out >> np.uint64(29)
+        out *= _M
+        return out ^ (out >> np.uint64(32))
+
+
+def one_by_one(flat: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, value: np.ndarray, heavy: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Stretches with those under a fingerprint of ``heavy`` taken apart: each window alone, its hash in place of the fingerprint."""
+    apart = np.isin(_trim(value), heavy)
+    n = np.where(apart, count, 1)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    doc, start, count, value, apart = (np.repeat(x, n) for x in (doc, start, count, value, apart))
+    start, count = start + at, np.where(apart, 1, count)
+    value[apart] = _whole_hashes(flat, start[apart], length)
+    return doc, start, count, value
+
+
 def _squeeze(*parts: np.ndarray | bytes) -> bytes:
     """Several arrays packed as one blob, their lengths and that of the whole in front."""
     parts = [x if isinstance(x, bytes) else x.tobytes() for x in parts]
@@ -136,10 +162,11 @@ class Shard:
 
     def __init__(self, batches):
         found = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
-        ids = np.array(found.column("doc_id").to_numpy(), np.int64)
+        null = np.array(found.column("doc_id").is_null().to_numpy(), bool)
+        ids = np.array(found.column("doc_id").fill_null(NO_ID).to_numpy(), np.int64)
         texts = found.column("body").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids = ids[order]
+        self.ids, self.null = ids[order], null[order]
         self.flat_bytes = b"".join(texts[i] for i in order)
         self.flat = np.frombuffer(self.flat_bytes, np.uint8)
         self.size = np.array([len(texts[i]) for i in order], np.int64)
@@ -151,43 +178,51 @@ def _rows(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
 
 
 def deduplicate(
-    docs: DataFrame, length: int = LENGTH, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, text_out: bool = False,
+    docs: DataFrame, length: int = LENGTH, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, text_out: bool = False, heavy_bytes: int | None = None,
 ) -> DataFrame:
     """One row per document, see ``SCHEMA``; with ``text_out`` also ``kept``, the bytes left.
 
     Texts are UTF-8 bytes; null is empty; texts shorter than ``length`` lose nothing. Rows of equal doc_id don't
-    count against each other; a null doc_id counts as larger than any other. Extra columns are ignored; an empty table gives an empty result. Whole texts are read.
+    count against each other; a null doc_id counts as the largest there can be. Fingerprints over ``heavy_bytes`` (that of a bucket)
+    of stretches are split. Extra columns are ignored; an empty table gives an empty result. Whole texts are read.
     """
+    heavy_bytes = bucket_bytes if heavy_bytes is None else heavy_bytes
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets, tasks = (max(1, math.ceil(total / x)) for x in (shard_bytes, bucket_bytes, TASK_BYTES))
     tasks = max(tasks, min(shards, docs.sparkSession.sparkContext.defaultParallelism))  # small tables use all cores too
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    deal = F.pmod(F.xxhash64(ids, F.col("text")), F.lit(shards)).cast("int")  # rows that share an id, or have none, are spread too
+    ids = F.col("doc_id").cast("long")
+    deal = F.pmod(F.xxhash64(F.coalesce(ids, F.lit(NO_ID)), F.col("text")), F.lit(shards)).cast("int")  # rows that share an id, or have none, are spread too
     dealt = docs.select(ids.alias("doc_id"), body.alias("body"), deal.alias("shard"))
     dealt = dealt.repartition(tasks, "shard")
 
     def fingerprints(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shard(batches)
-        doc, _, _, value = stretches(s.flat, s.begin, s.size, length, piece)
+        doc, start, count, value = stretches(s.flat, s.begin, s.size, length, piece)
         value, owner = _trim(value), s.ids[doc]
         order = np.argsort(value, kind="stable")  # documents stay in order of id
+        start, end = start[order], (start + count + length - 1)[order]
         value, owner = value[order], owner[order]
         first = np.ones(len(value), bool)
         first[1:] = value[1:] != value[:-1]
         at = np.flatnonzero(first)
         last = np.append(at[1:], len(value)) - 1 if len(at) else at
         many = owner[at] != owner[last]
+        size = np.zeros(len(at), np.uint32)  # of different stretches, where there are many
+        for k in np.flatnonzero(last - at >= MANY_PLACES - 1).tolist():
+            size[k] = sum(map(len, {s.flat_bytes[a:b] for a, b in zip(start[at[k] : last[k] + 1].tolist(), end[at[k] : last[k] + 1].tolist(), strict=True)}))
         value = value[at]
         bucket = _bucket(value, buckets)
         order = np.argsort(bucket, kind="stable")
-        value, many, bucket = value[order], many[order], bucket[order]
+        value, many, size, bucket = value[order], many[order], size[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         yield _rows([
             ("bucket", pa.int32(), some), ("shard", pa.int32(), [key[0].as_py()] * len(some)),
             ("keys", pa.binary(), [_pack(value[cuts[b] : cuts[b + 1]]) for b in some]),
             ("many", pa.binary(), [np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes() for b in some]),
+            ("sized", pa.binary(), [_pack(value[cuts[b] : cuts[b + 1]][size[cuts[b] : cuts[b + 1]] > 0]) for b in some]),
+            ("sizes", pa.binary(), [size[cuts[b] : cuts[b + 1]][size[cuts[b] : cuts[b + 1]] > 0].astype("<u4").tobytes() for b in some]),
         ])
 
     def shared(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +231,18 @@ def deduplicate(
         many = [np.unpackbits(np.frombuffer(m, np.uint8))[: len(k)].astype(bool) for m, k in zip(found.column("many").to_pylist(), keys, strict=True)]
         every = np.sort(np.concatenate(keys))
         repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[m] for k, m in zip(keys, many, strict=True))]))
-        out = [_pack(k[np.isin(k, repeated, assume_unique=True)]) for k in keys]
-        yield _rows([("shard", pa.int32(), found.column("shard").to_pylist()), ("keys", pa.binary(), out)])
-
-    marks = dealt.groupBy("shard").applyInArrow(fingerprints, "bucket int, shard int, keys binary, many binary")
-    marks = marks.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(shared, "shard int, keys binary")
+        sized = np.concatenate([_unpack(k) for k in found.column("sized").to_pylist()])
+        sizes = np.concatenate([np.frombuffer(x, "<u4") for x in found.column("sizes").to_pylist()])
+        sized, place = np.unique(sized, return_inverse=True)
+        shards_over = heavy_bytes // (2 * length)  # each sends one stretch at least
+        heavy = [sized[np.bincount(place, sizes, len(sized)) > heavy_bytes], np.unique(every[shards_over:][every[shards_over:] == every[: len(every) - shards_over]])]
+        heavy = np.intersect1d(np.unique(np.concatenate(heavy)), repeated, assume_unique=True)
+        keys = [k[np.isin(k, repeated, assume_unique=True)] for k in keys]
+        own = [_pack(k[np.isin(k, heavy, assume_unique=True)]) for k in keys]
+        yield _rows([("shard", pa.int32(), found.column("shard").to_pylist()), ("keys", pa.binary(), [_pack(k) for k in keys]), ("heavy", pa.binary(), own)])
+
+    marks = dealt.groupBy("shard").applyInArrow(fingerprints, "bucket int, shard int, keys binary, many binary, sized binary, sizes binary")
+    marks = marks.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(shared, "shard int, keys binary, heavy binary")
 
     kinds = [("target", pa.string()), ("shard", pa.int32()), ("blob", pa.binary())]
 
@@ -213,6 +255,9 @@ def deduplicate(
         keys = [_unpack(k) for k in right.column("keys").to_pylist()] if right.num_rows else []
         take = np.isin(_trim(value), np.concatenate(keys)) if keys else np.zeros(len(value), bool)
         doc, start, count, value = doc[take], start[take], count[take], value[take]
+        heavy = np.concatenate([_unpack(k) for k in right.column("heavy").to_pylist()]) if keys else np.zeros(0, np.uint64)
+        if len(heavy):
+            doc, start, count, value = one_by_one(s.flat, doc, start, count, value, heavy, length)
         seen: dict[bytes, int] = {}
         flat, stretch = s.flat_bytes, np.empty(len(start), np.int64)
         first = []
@@ -328,10 +373,9 @@ def deduplicate(
         removed = total_gone[end] - total_gone[s.begin]
         spans = total_rise[end] - total_rise[s.begin]
         kept = [s.flat_bytes[a:b] if not r else (s.flat[a:b][~gone[a:b]].tobytes() if r < b - a else b"") for a, b, r in zip(s.begin.tolist(), end.tolist(), removed.tolist(), strict=True)]
-        columns = [s.ids, s.size, removed, spans, [hashlib.sha256(k).hexdigest() for k in kept]] + [kept] * text_out
-        return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, out_kinds, strict=True)], names=[n for n, _ in out_kinds])
+        columns = [pa.array(s.ids, pa.int64(), mask=s.null), s.size, removed, spans, [hashlib.sha256(k).hexdigest() for k in kept]] + [kept] * text_out
+        return pa.Table.from_arrays([columns[0], *[pa.array(c, t) for c, (_, t) in zip(columns[1:], out_kinds[1:], strict=True)]], names=[n for n, _ in out_kinds])
 
     found = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(apply, schema)
-    found = found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
     # Rows of digests are small: adaptive execution puts those of many tasks in few files.
     return found if text_out else found.repartition("doc_id", "kept_sha256")

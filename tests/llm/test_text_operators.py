@@ -71,6 +71,35 @@ def test_suffix_dedup_in_many_buckets(spark, monkeypatch):
     assert got == removed(texts, ids, 50)
 
 
+@pytest.mark.parametrize("heavy_bytes", [0, 300, 3_000, None])
+def test_suffix_dedup_with_a_piece_in_every_document(spark, heavy_bytes):
+    """A piece of 30 bytes in every document, in different surroundings; some documents are copies, the largest and no doc_id at all."""
+    rng = random.Random(5)
+    piece = words(rng, 30)[:30]
+    texts = [words(rng, rng.randint(0, 9)) + piece + words(rng, rng.randint(0, 9)) for _ in range(80)]
+    texts += [rng.choice(texts[:20]) for _ in range(20)] + [texts[3][5:] + words(rng, 4) for _ in range(5)]
+    ids = [*range(len(texts) - 1), (1 << 63) - 1]
+    found = suffix_dedup.deduplicate(frame(spark, texts, ids), shard_bytes=700, bucket_bytes=2_000, heavy_bytes=heavy_bytes)
+    assert sorted(tuple(r)[:5] for r in found.collect()) == removed(texts, ids, 50)
+    (row,) = suffix_dedup.deduplicate(frame(spark, [texts[0]], [None])).collect()
+    assert row.doc_id is None and row.n_removed == 0
+
+
+def test_heavy_fingerprints_are_spread_over_buckets():
+    rng = random.Random(6)
+    piece = words(rng, 30)[:25]
+    texts = [words(rng, 6)[:25] + piece + words(rng, 6)[:25] for _ in range(4_000)]
+    flat, size = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
+    found = suffix_dedup.stretches(flat, np.cumsum(size) - size, size)
+    values, times = np.unique(suffix_dedup._trim(found[3]), return_counts=True)
+    heavy = values[times > 400]
+    assert len(heavy) == 1
+    load = lambda f: np.bincount(suffix_dedup._bucket(f[3], 16).astype(int), f[2] + 49, 16)
+    under = np.isin(suffix_dedup._trim(found[3]), heavy)
+    before, after = load([x[under] for x in found]), load(suffix_dedup.one_by_one(flat, *[x[under] for x in found], heavy))
+    assert before.max() == before.sum() and after.max() < 1.1 * after.mean()
+
+
 @pytest.mark.parametrize("depth", [1, 3, 8, 13, 50])
 def test_transforms_are_in_byte_order_shard_by_shard_and_merged(depth):
     rng = random.Random(depth)
