@@ -32,16 +32,27 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-# Tasks a core that write a frame: whole texts or all rows; work in Python on some of the rows; a few numbers for some of the rows.
+# Tasks a core, or a ``CORE_BYTES`` of files read, that write a frame: whole texts or all rows; work in Python on some of the rows; a few
+# numbers for some of the rows.
 WIDE, BUSY, LIGHT = 8, 4, 1
+CORE_BYTES = 1 << 30
+
+
+def read_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` is made from, once for each time it reads them; other sources count as nothing."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)
 
 
 def gathered(df: DataFrame, a_core: int) -> DataFrame:
     """``df`` in at most so many partitions a core, each taking several of the old ones one after the other, without a shuffle.
 
-    Joins whose skewed parts were split, and frames of few rows, else end in very many small files.
+    Joins whose skewed parts were split, and frames of few rows, else end in very many small files. Cores are a minimum: each gigabyte of
+    files read counts as a core, so partitions grow with the input, however few executors a cluster begins with.
     """
-    return df.coalesce(a_core * df.sparkSession.sparkContext.defaultParallelism)
+    cores = max(df.sparkSession.sparkContext.defaultParallelism, -(-read_bytes(df) // CORE_BYTES))
+    return df.coalesce(a_core * cores)
 
 
 def settle(df: DataFrame, tag: str, a_core: int = WIDE) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, neighbours
+from docloom.llm import common, line_dedup, neighbours
 from docloom.llm.hnsw import Graph, level_norms
 
 FIELDS = "vec_id long, embedding array<float>, label int"
@@ -107,3 +107,19 @@ def test_graphs_grown_by_insertion_find_what_is_near(shape):
     near = np.sort(q @ v.T, 1)[:, ::-1][:, :10]
     sims = g.search(q, 64)[1][:, :10]
     assert (sims >= near[:, -1:] - 1e-4).mean() >= 0.95
+
+
+def test_partitions_of_settled_frames_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """Cores are a minimum; beyond it the bytes of the files count, those of a join for both sides, those of local rows not."""
+    spark.range(200_000).selectExpr("id", "md5(cast(id as string)) as x").repartition(64).write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert common.read_bytes(files) == size and common.read_bytes(files.join(files.withColumnRenamed("x", "y"), "id")) == 2 * size
+    local = spark.createDataFrame([(1, "a")], "id long, x string")
+    assert common.read_bytes(local.union(files)) < 1.01 * size
+    assert common.read_bytes(spark.range(1 << 40)) == 1 << 43  # sizes beyond 32 bits come whole
+    cores = spark.sparkContext.defaultParallelism
+    wide = files.repartition(60, "x")
+    assert common.gathered(wide, 1).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(common, "CORE_BYTES", size // 20)
+    assert 20 <= common.gathered(wide, 1).rdd.getNumPartitions() <= 21 and common.gathered(wide, 2).rdd.getNumPartitions() >= 40
