@@ -11,7 +11,7 @@ from docloom.functions import jsonx
 from docloom.functions.vocab import ACCOUNT_SHAPES, EDGE_CASE_HINTS, EDGE_CASES, SOURCE_MIXES
 from docloom.operators import asof, bundle, grounding, knobs, lints, masking, metrics, monitor, records, selection
 from docloom.operators.validate import violations
-from docloom.plans import checks, files, report  # noqa: F401  (checks and files register queries of their own)
+from docloom.plans import checks, files, report, variants  # noqa: F401  (checks, files and variants register queries of their own)
 from docloom.plans.registry import QUERIES, SQL, query
 from docloom.plans.synth import EXPECTED_SQL, briefs, table
 

@@ -5,7 +5,7 @@ import statistics
 
 import pytest
 
-from docloom.operators import asof, grounding, matching, selection
+from docloom.operators import asof, bundle, grounding, matching, selection
 
 
 @pytest.mark.parametrize("chunk_rows", [1_000_000, 40])
@@ -126,3 +126,13 @@ def test_near_pairs_against_all_pairs(spark, most):
     found = {tuple(r) for r in matching.near_pairs(spark.createDataFrame([(n,) for n in names], "name string"), most=most).collect()}
     known = sorted({n for n in names if n is not None})
     assert found == {(a, b, edits(a, b)) for a in known for b in known if a < b and edits(a, b) <= most}
+
+
+def test_attached_lists_of_an_account_with_most_rows(spark):
+    """First rows and counts of accounts, one of which holds nearly all; accounts without rows; ranks are cut before rows are sent."""
+    accounts = spark.createDataFrame([("hot",), ("few",), ("none",)], "k string")
+    rows = spark.range(5_000).selectExpr("if(id % 1000 = 7, 'few', 'hot') as k", "5000 - id as at", "id as v")
+    made = bundle.attach(accounts, rows, "k", "items", ["v"], "at", most=3)
+    assert made._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # one of them ahead of the exchange
+    got = {r.k: (r.n_items, [(x["at"], x.v) for x in r["items"]]) for r in made.collect()}
+    assert got == {"hot": (4_995, [(1, 4_999), (2, 4_998), (3, 4_997)]), "few": (5, [(993, 4_007), (1_993, 3_007), (2_993, 2_007)]), "none": (0, [])}
