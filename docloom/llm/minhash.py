@@ -4,7 +4,9 @@ Texts of equal content are one class from the start. The rest of the work is on
 
 1. Document frequencies of five-word shingles, over all documents, in a sketch of fixed width. What a counter holds on
    average is taken off, and what is left below the spread of the counters counts as that spread: the spread's share of the documents
-   falls as the corpus grows, so frequencies stay told apart at any size.
+   falls as the corpus grows, so frequencies stay told apart at any size. Weights go up to that of ``RARE``: text that a group of copies
+   shares stands in as many documents as the group has, and without that bound an edit would weigh the more against it the larger
+   corpus and group are.
 2. ``HASHES`` consistent weighted samples a document; ``ROWS`` of them make a band, equal bands make a bucket.
 3. In a bucket each text is verified against the bucket's smallest doc_id by weighted Jaccard similarity.
 4. Texts that failed are joined with their whole bucket (the others hang together already): failed texts and texts of the bucket
@@ -15,6 +17,7 @@ Texts of equal content are one class from the start. The rest of the work is on
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +32,7 @@ from docloom.llm.hashing import run_hashes, runs
 WORDS = 5
 SIMILARITY = 0.8
 SKETCH_BITS = 20
+RARE = 1 / 250  # of the documents; what stands in fewer weighs the same, so copies don't make each other's text light
 BANDS, ROWS = 8, 2
 CHUNK = 512
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -112,6 +116,11 @@ def inverse_frequencies(counts: np.ndarray, n: int) -> np.ndarray:
     return np.log((n + 1) / (df + 0.5)).clip(0.05).astype(np.float64)
 
 
+def shingle_weights(counts: np.ndarray, n: int) -> np.ndarray:
+    """Inverse frequencies, none above that of a shingle in a share of ``RARE`` of the documents."""
+    return np.minimum(inverse_frequencies(counts, n), -math.log(RARE))
+
+
 class Sampler:
     """Improved consistent weighted sampling. Gamma(2,1) and log-gamma variates come from tables of quantiles."""
 
@@ -323,7 +332,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     are kept and link with nothing. Extra columns are ignored. An empty table gives an empty result. Texts are read whole.
     """
     counts, n = document_frequencies(docs)
-    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(counts, n))  # 2**SKETCH_BITS numbers, whatever the corpus
+    idf = docs.sparkSession.sparkContext.broadcast(shingle_weights(counts, n))  # 2**SKETCH_BITS numbers, whatever the corpus
     light = settle(sketch_bands(docs, idf, bands, rows), "bands")
     exact = light.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     reps = settle(exact.withColumn("node", F.monotonically_increasing_id()), "texts", LIGHT)  # numbers are fixed by being written

@@ -130,3 +130,13 @@ def test_buckets_with_a_bad_lead(spark, monkeypatch, chunk):
             if set(x) & set(failed):
                 assert len({part[k] for k in x}) == 1
         assert part[0] == 0 and part[1] != part[20]
+
+
+def test_copies_in_a_large_group_of_a_large_table(spark):
+    """Copies with five words changed, over 0.8 by plain Jaccard; the group is large, so its text is common and the edits are rare."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    docs = [(0, " ".join(base))] + [(k, " ".join(base[: 5 * k] + [f"x{k}y{i}" for i in range(5)] + base[5 * k + 5 :])) for k in range(1, 17)]
+    docs += [(k, " ".join(f"v{rng.randrange(10**6)}" for _ in range(30))) for k in range(17, 3_000)]
+    rows = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(rows[k] == 0 for k in range(17)) and all(rows[k] == k for k in range(17, 3_000))
