@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3  # words of a key at most
-SHORT_CHUNK = 500  # short phrases of one document that a text is compared with at once
+CHUNK = 500  # phrases of one document that a text is compared with at once
 
 
 # ---- phrases: an inverted index of hashed word n-grams ----
@@ -25,27 +25,35 @@ def _grams(words: Column, n: int) -> Column:
 def phrases_in_texts(claims: DataFrame, inputs: DataFrame) -> DataFrame:
     """Distinct ``id, phrase`` of claims (id, phrase) that stand literally in an input text (id, text) of the same id.
 
-    The words inside a phrase (between its first and its last blank) are whole words of any text that holds it. So up to three of
-    them are the phrase's key; texts list the keys of all their runs of one to three words, and what meets by id and key is
-    verified in the text. Phrases without a word inside are compared in chunks of 500 an id. Every text is shuffled once
-    for each of the two kinds, and copied for the phrases that its keys name. NULL ids, phrases and texts meet nothing; an empty
-    phrase is in any text.
+    The phrases of an id that has up to ``CHUNK`` of them go to its texts as one list and are looked up in each: a text is read once and
+    nothing is made from it. Where an id has more, the words inside a phrase (between its first and its last blank) are whole words of any text
+    that holds it. So up to three of them are the phrase's key; the texts of these ids list the keys of all their runs of one to
+    three words, and what meets by id and key is verified in the text. Phrases without a word inside are compared in chunks of
+    ``CHUNK`` an id. NULL ids, phrases and texts meet nothing; an empty phrase is in any text.
     """
-    whole = claims.where("id is not null and phrase is not null").select("id", "phrase").distinct().withColumn("_w", F.split("phrase", " "))
+    whole = claims.where("id is not null and phrase is not null").select("id", "phrase").distinct()
     texts = inputs.where("id is not null and text is not null").select("id", "text")
+    sizes = whole.groupBy("id").agg(F.count("*").alias("_phrases"))
+    many = whole.join(sizes.where(F.col("_phrases") > CHUNK).select("id"), "id", "left_semi").withColumn("_w", F.split("phrase", " "))
     n = F.least(F.size("_w") - 2, F.lit(GRAM))
-    keyed = whole.where(n >= 1).select("id", "phrase", F.xxhash64(n, F.slice("_w", F.lit(2), n)).alias("_key"))
+    keyed = many.where(n >= 1).select("id", "phrase", F.xxhash64(n, F.slice("_w", F.lit(2), n)).alias("_key"))
     mark = F.xxhash64("text")
     words = F.split("text", " ")
-    listed = texts.select("id", mark.alias("_text"), F.explode(F.array_distinct(F.concat(*[_grams(words, k) for k in range(1, GRAM + 1)]))).alias("_key"))
+    asked = texts.join(keyed.select("id").distinct(), "id", "left_semi")
+    listed = asked.select("id", mark.alias("_text"), F.explode(F.array_distinct(F.concat(*[_grams(words, k) for k in range(1, GRAM + 1)]))).alias("_key"))
     met = listed.join(keyed, ["id", "_key"]).select("id", "_text", "phrase").distinct()
-    found = met.join(texts.withColumn("_text", mark), ["id", "_text"]).where(F.contains("text", "phrase")).select("id", "phrase")
+    found = met.join(asked.withColumn("_text", mark), ["id", "_text"]).where(F.contains("text", "phrase")).select("id", "phrase")
 
-    short = whole.where(n < 1)
-    chunks = short.groupBy("id").agg(F.ceil(F.count("*") / SHORT_CHUNK).alias("_chunks"))
-    lists = short.join(chunks, "id").groupBy("id", F.pmod(F.xxhash64("phrase"), F.col("_chunks")).alias("_chunk")).agg(F.collect_list("phrase").alias("_phrases"))
-    brief = texts.join(lists, "id").select("id", F.explode(F.filter("_phrases", lambda p: F.contains(F.col("text"), p))).alias("phrase"))
-    return found.unionByName(brief).distinct()
+    few = whole.join(sizes.where(F.col("_phrases") <= CHUNK).select("id"), "id", "left_semi")
+    short = many.where(n < 1).select("id", "phrase")
+    return found.unionByName(_looked_up(few, texts)).unionByName(_looked_up(short, texts)).distinct()
+
+
+def _looked_up(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, phrase`` of distinct phrases in a text of their id: each text is compared with lists of about ``CHUNK`` phrases."""
+    chunks = phrases.groupBy("id").agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
+    lists = phrases.join(chunks, "id").groupBy("id", F.pmod(F.xxhash64("phrase"), F.col("_chunks")).alias("_chunk")).agg(F.collect_list("phrase").alias("_phrases"))
+    return texts.join(lists, "id").select("id", F.explode(F.filter("_phrases", lambda p: F.contains(F.col("text"), p))).alias("phrase"))
 
 
 # ---- many patterns: Aho-Corasick automata ----

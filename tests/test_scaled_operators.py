@@ -91,6 +91,17 @@ def test_phrases_are_found_as_contains_has_it(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 20
 
 
+def test_texts_of_few_phrases_are_not_taken_apart(spark, monkeypatch):
+    """Texts list their runs of words only for ids with more phrases than a list holds."""
+    claims = spark.createDataFrame([(1, "b the x y"), (1, "the z w v"), (2, "a b c d"), (2, "b c d e")], "id int, phrase string")
+    inputs = spark.createDataFrame([(1, "ab the x b the x yes"), (2, "a b c d e"), (3, None)], "id int, text string")
+    for chunk in (1, 500):
+        monkeypatch.setattr(matching, "CHUNK", chunk)
+        if chunk == 500:
+            monkeypatch.setattr(matching, "_grams", lambda words, n: matching.F.transform(words, lambda w: matching.F.raise_error(w).cast("bigint")))
+        assert sorted(tuple(r) for r in matching.phrases_in_texts(claims, inputs).collect()) == [(1, "b the x y"), (2, "a b c d"), (2, "b c d e")]
+
+
 def test_names_in_no_input(spark):
     named = spark.createDataFrame([(1, "Ada L"), (1, "ADA l"), (2, "Ada L"), (3, "Ada L")], "id int, entity string")
     inputs = spark.createDataFrame([(1, "met ada lovelace"), (2, "nobody")], "id int, text string")
