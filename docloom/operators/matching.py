@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.sources.io import spread
+
 GRAM = 3  # words of a key at most
 CHUNK = 500  # phrases of one document that a text is compared with at once
 
@@ -102,36 +104,41 @@ def _matcher(sent):
     return run
 
 
-# ---- names that differ by few letters: a join on segments ----
+# ---- names that differ by few letters: a join on what is left of a name ----
+
+
+def _left_over(name: Column, most: int) -> Column:
+    """Array of structs: up to ``most`` letters taken out (d of them) or masked (s): ``v`` is what is left."""
+    size = lambda x: F.length(x.v)
+    made = lambda v, s, d, at: F.struct(v.alias("v"), s.cast("int").alias("s"), d.cast("int").alias("d"), at.cast("int").alias("at"))
+    level, out = F.array(made(name, F.lit(0), F.lit(0), F.lit(1))), []
+    for _ in range(most):
+        def edited(x: Column) -> Column:
+            places = F.when(x.at <= size(x), F.sequence(x.at, size(x))).otherwise(F.array().cast("array<int>"))
+            head, tail = (lambda i: F.substring(x.v, F.lit(1), i - 1)), (lambda i: F.substring(x.v, i + 1, size(x)))
+            masked = F.transform(places, lambda i: made(F.concat(head(i), F.lit("\x00"), tail(i)), x.s + 1, x.d, i + 1))
+            return F.concat(masked, F.transform(places, lambda i: made(F.concat(head(i), tail(i)), x.s, x.d + 1, i)))
+
+        out.append(level)
+        level = F.flatten(F.transform(level, edited))
+    return F.concat(*out, level)
 
 
 def near_pairs(names: DataFrame, column: str = "name", most: int = 2) -> DataFrame:
     """``a, b, distance``: pairs a < b of different names within ``most`` edits of each other, each pair once.
 
-    A name is cut into ``most + 1`` even segments; of two names so near, one segment of the shorter stands unchanged in the
-    longer, at most ``most`` places off. So names meet by length, number and text of a segment, and the distance of what meets is
-    computed. Keys a name: its segments, and (most + 1) x (2 most + 1) x (most + 1) places to look at. Copies of a name are one
-    name; NULL names take no part.
+    Of two names that near the same is left when the letters that differ are masked in both and those that only one has are taken out of it. So
+    names meet by what is left, the number of masks and the letters taken out on either side, all together ``most`` at most: what meets
+    is a pair, however much of their letters all names share; hashes are verified by the distance. Keys a name of n letters:
+    about (2 n) ** most / most!. Copies of a name are one name; NULL names take no part.
     """
-    parts = most + 1
-    name, size = F.col("_n"), F.length("_n")
-    all_names = names.where(F.col(column).isNotNull()).select(F.col(column).alias("_n")).distinct()
-
-    def begin(n: Column, i: Column) -> Column:
-        return i * F.floor(n / parts) + F.greatest(F.lit(0), i - (parts - n % parts))
-
-    def width(n: Column, i: Column) -> Column:
-        return F.floor(n / parts) + (i >= parts - n % parts).cast("int")
-
-    every = F.sequence(F.lit(0), F.lit(most))
-    kept = all_names.select(name, size.alias("_size"), F.explode(every).alias("_i"))
-    kept = kept.select(F.col("_n").alias("_short"), "_size", "_i", F.substring("_n", begin(F.col("_size"), F.col("_i")).cast("int") + 1, width(F.col("_size"), F.col("_i")).cast("int")).alias("_segment"))
-    tried = all_names.select(name, size.alias("_m"), F.explode(F.sequence(F.greatest(size - most, F.lit(0)), size)).alias("_size")).select("*", F.explode(every).alias("_i"))
-    n, i, m = F.col("_size"), F.col("_i"), F.col("_m")
-    low, high = F.greatest(F.lit(0), begin(n, i) - most), F.least(m - width(n, i), begin(n, i) + most)
-    places = F.when(high >= low, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
-    tried = tried.select("_n", "_size", "_i", F.explode(places).alias("_p"), width(n, i).cast("int").alias("_width"))
-    tried = tried.select(F.col("_n").alias("_long"), "_size", "_i", F.substring("_n", F.col("_p") + 1, F.col("_width")).alias("_segment")).distinct()
-    met = tried.join(kept, ["_size", "_i", "_segment"]).where("_short <> _long")
-    pairs = met.select(F.least("_short", "_long").alias("a"), F.greatest("_short", "_long").alias("b")).distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
+    all_names = spread(names.where(F.col(column).isNotNull()).select(F.col(column).alias("_n")).distinct(), "_n", task_bytes=512 << 10)
+    left = all_names.select("_n", F.explode(_left_over(F.col("_n"), most)).alias("_x")).select("_n", "_x.v", "_x.s", "_x.d")
+    pairs = left.where(F.col("s") + F.col("d") <= most).withColumn("_other", F.explode(F.sequence(F.lit(0), most - F.col("s") - F.col("d"))))
+    low, high = F.least("d", "_other"), F.greatest("d", "_other")
+    keyed = pairs.select("_n", (F.col("d") - F.col("_other")).alias("_more"), F.xxhash64("v", "s", low, high).alias("_key")).distinct()
+    # The side with fewer letters taken out asks; with as many on both, the smaller name.
+    one, two = keyed.where("_more <= 0").select(F.col("_n").alias("_a"), "_key", "_more"), keyed.where("_more >= 0").select(F.col("_n").alias("_b"), "_key")
+    met = one.join(two, "_key").where("_a <> _b and (_more < 0 or _a < _b)")
+    found = met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    return found.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")

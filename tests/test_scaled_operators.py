@@ -139,6 +139,13 @@ def test_near_pairs_against_all_pairs(spark, most):
     assert found == {(a, b, edits(a, b)) for a in known for b in known if a < b and edits(a, b) <= most}
 
 
+def test_names_that_share_half_their_letters_meet_only_their_like(spark, monkeypatch):
+    names = spark.range(2_000).selectExpr("concat('Customer#', lpad(id * 7, 9, '0')) AS name")
+    pairs = matching.near_pairs(names, most=1).count()
+    monkeypatch.setattr(matching.F, "levenshtein", lambda a, b, most: matching.F.lit(0))
+    assert 0 < pairs == matching.near_pairs(names, most=1).count()  # what meets is what is near
+
+
 def test_attached_lists_of_an_account_with_most_rows(spark):
     """First rows and counts of accounts, one of which holds nearly all; accounts without rows; ranks are cut before rows are sent."""
     accounts = spark.createDataFrame([("hot",), ("few",), ("none",)], "k string")
