@@ -2,9 +2,9 @@
 
 Spark keeps the state by run (``transformWithState``, RocksDB), so a restart goes on where the checkpoint stands. A step that
 comes late changes its tick, and the carried loss of later ticks up to the next one that has a loss of its own: changed
-ticks are given again, and the last version of a tick is the one that counts. Ticks that lie ``keep`` behind the newest are
-folded into one carried loss when there are twice as many, or when a timer runs out, so the state of a run is bounded; steps later
-than that are left out.
+ticks are given again, and the last version of a tick is the one that counts, however late a step is. Only where a caller says how
+late steps can be (``keep``), ticks that lie so many behind the newest are folded into one carried loss when there are twice as many, or
+when a timer runs out; steps later than that are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ class TickProcessor(StatefulProcessor):
     """State of a run, one value: its ticks (peak, whether the tick's own step came, last loss and its step), the newest tick
     folded away and the loss carried over it, the number of the last version, and when the timer runs out."""
 
-    def __init__(self, every: int, keep: int, idle_ms: int):
+    def __init__(self, every: int, keep: int | None, idle_ms: int):
         self.every, self.keep, self.idle_ms = every, keep, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -63,17 +63,19 @@ class TickProcessor(StatefulProcessor):
             touched = tick in changed or touched and at < 0  # carried on from a changed tick
             if touched and whole and tick > 0:
                 yield Row(run=key[0], step=tick * self.every, last_loss=loss, tick_peak=peak, version=held["version"])
-        if len(known) > 2 * self.keep:
-            self._fold(held)
-        if held["timer"] is not None:
-            self.handle.deleteTimer(held["timer"])
-        held["timer"] = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
-        self.handle.registerTimer(held["timer"])
+        if self.keep is not None:
+            if len(known) > 2 * self.keep:
+                self._fold(held)
+            if held["timer"] is not None:
+                self.handle.deleteTimer(held["timer"])
+            held["timer"] = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(held["timer"])
         self.state.update((json.dumps(held),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self._held()
-        self._fold(held)
+        if self.keep is not None:  # a timer of a stream that was started with ``keep`` before
+            self._fold(held)
         self.state.update((json.dumps(held | {"timer": None}),))
         return iter(())
 
@@ -81,9 +83,9 @@ class TickProcessor(StatefulProcessor):
         pass
 
 
-def ticks(log: DataFrame, every: int = 5, keep: int = 1_000, idle_ms: int = 3_600_000) -> DataFrame:
+def ticks(log: DataFrame, every: int = 5, keep: int | None = None, idle_ms: int = 3_600_000) -> DataFrame:
     """``run, step, last_loss, tick_peak, version`` of a stream (run, step, loss, peak): ticks whose own step has come, again
-    when a late step changes them. Needs the RocksDB state store (``prepare``); output mode update.
+    when a late step changes them. Without ``keep`` the state of a run has all its ticks (about 40 bytes each). Needs the RocksDB state store (``prepare``); output mode update.
 
     Equal steps: the last one's loss counts. A NULL loss or peak says nothing; a NULL run or step is left out.
     """

@@ -114,6 +114,18 @@ def test_ticks_with_late_steps_and_restarts(spark, tmp_path):
     assert found == {("a", 5): (8.0, 7.0), ("a", 10): (8.0, 2.0), ("a", 15): (4.0, 1.0), ("a", 20): (4.0, 1.0), ("b", 5): (None, None)}
 
 
+def test_steps_however_late_change_their_ticks(spark, tmp_path):
+    ticks.prepare(spark, ends=True)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    log = spark.range(12_000).selectExpr("'a' as run", "id as step", "if(id % 4 = 0, double(id), null) as loss", "double(id % 97) as peak")
+    for odd in (0, 1):
+        log.where(f"step % 2 = {odd}").coalesce(1).write.mode("append").parquet(source)
+        keep = lambda df, n: df.write.mode("append").parquet(out)
+        ticks.ticks(spark.readStream.schema(log.schema).parquet(source)).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    found = {r.step: (r.last_loss, r.tick_peak) for r in ticks.latest(spark.read.parquet(out)).collect()}
+    assert found == {t: (float(t - t % 4), float(max(x % 97 for x in range(t - 4, t + 1)))) for t in range(5, 12_000, 5)}
+
+
 def test_old_ticks_are_folded_and_their_loss_goes_on():
     held = {"ticks": {k: [1.0, True, None if k % 4 else float(k), -1 if k % 4 else 5 * k] for k in range(1, 12)}, "folded": -1, "loss": None}
     ticks.TickProcessor(5, 3, 1)._fold(held)
