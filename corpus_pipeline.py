@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +56,25 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed windows, numbered along the schedule; consecutive documents of it are packed together.
+    """Pieces of packed windows, numbered along the order of the documents; consecutive documents of it are packed together.
 
-    Files are read back in any order, so the slots are computed again: they follow from the rows alone. A null or empty text
-    is the end id alone; rows without a doc_id are packed too, repeated rows each.
+    Documents read from files are taken in the order in which the files hold them, by the files' numbers and the rows' places: the order
+    that the stage before wrote. Rows of any other frame have no order and get that of the default schedule. A null or empty
+    text is the end id alone; rows without a doc_id are packed too, repeated rows each.
     """
-    return packing.pack(mixing.mix(docs), tokenizer_path(), order_col="mix_slot")
+    place = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    found = docs.withColumn("mix_slot", place) if _scanned(docs) else mixing.mix(docs)
+    return packing.pack(found, tokenizer_path(), order_col="mix_slot")
+
+
+def _scanned(docs: DataFrame) -> bool:
+    """Whether the rows are those of files just as they lie there."""
+    if docs._jdf.queryExecution().analyzed().children().nonEmpty():
+        return False
+    try:
+        return bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
 
 
 STAGES = [

@@ -91,6 +91,18 @@ def test_packing_covers_every_document_along_the_schedule(spark, docs):
     assert padding < 0.01 * sum(map(len, ids.values()))
 
 
+def test_packing_follows_the_order_that_mixing_wrote(spark, docs, tmp_path):
+    """Whatever order the files hold is the order of the sequences."""
+    for k, how in enumerate((F.desc("doc_id"), F.asc("text"))):
+        path = str(tmp_path / f"in{k}")
+        docs.repartitionByRange(3, how, "doc_id").sortWithinPartitions(how, "doc_id").write.parquet(path)
+        place = {r.doc_id: i for i, r in enumerate(docs.orderBy(how, "doc_id").select("doc_id").collect())}
+        first = {}
+        for r in STAGE["packing"](spark, spark.read.parquet(path), DATA).collect():
+            first[r.sequence_id] = min(first.get(r.sequence_id, place[r.doc_id]), place[r.doc_id])
+        assert [first[s] for s in sorted(first)] == sorted(first.values())
+
+
 LONG = " ".join(f"word{k % 977} and{k % 31}" for k in range(40_000))
 ODD = [
     (1, "A plain text that has some words in it, and ends here.", "en", "a", 5), (1, "Another text under the same number, with other words.", "en", None, None), (2, None, None, None, None), (3, "", "en", "a", 0),
