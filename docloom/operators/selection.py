@@ -36,7 +36,7 @@ def percentiles(rows: DataFrame, column: str, ps: list[float], by: list[str] | N
 
     Groups of up to ``task_rows`` values use the plain aggregate. A larger one is cut at values that a sketch proposes, the parts
     (and the cut values themselves) are counted exactly, and only the parts that hold a wanted rank go on, until they are
-    small. A round reads the column and shuffles counts and sketches; each leaves about a 64th of a group.
+    small. A round reads what the one before left and shuffles counts and sketches; each leaves about a 64th of a group for a rank.
     """
     by = list(by or [])
     held = rows.select(*by, F.col(column).cast("double").alias("_v")).where("_v is not null")
@@ -72,7 +72,7 @@ def _selected(rows: DataFrame, groups: DataFrame, ps: list[float], task_rows: in
         if big.isEmpty():
             return reduce(DataFrame.unionByName, out)
         # cells in order of value: 2i between the i-th and the next grid value, 2i - 1 at the i-th
-        passed = F.size(F.filter("_grid", lambda x: x <= F.col("_v")))
+        passed = reduce(lambda a, b: a + b, ((F.col("_grid")[k] <= F.col("_v")).cast("int") for k in range(GRID + 1)))  # compiled, a lambda isn't
         cells = rows.join(big, "_part").select("_part", "_v", (2 * passed - F.array_contains("_grid", F.col("_v")).cast("int")).alias("_cell"))
         below = F.sum("_n").over(Window.partitionBy("_part").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
         counted = cells.groupBy("_part", "_cell").agg(F.count("*").alias("_n"), F.min("_v").alias("_low")).withColumn("_below", F.coalesce(below, F.lit(0)))
@@ -81,7 +81,8 @@ def _selected(rows: DataFrame, groups: DataFrame, ps: list[float], task_rows: in
         out.append(hit.where("_cell % 2 = 1").select("_g", "rank", F.col("_low").alias("value")))
         inner = F.concat_ws("/", "_part", "_cell")
         wanted = hit.where("_cell % 2 = 0").select("_g", inner.alias("_part"), "rank", (F.col("_local") - F.col("_below")).alias("_local"))
-        rows = cells.select(inner.alias("_part"), "_v").join(wanted.select("_part").distinct(), "_part", "left_semi")
+        # Written, so that a later round reads what is left of the groups and not the whole column again through all rounds before.
+        rows = _kept(cells.select(inner.alias("_part"), "_v").join(wanted.select("_part").distinct(), "_part", "left_semi"), "rows")
 
 
 def draw(key: Column, seed: int) -> Column:

@@ -77,6 +77,21 @@ def test_held_out_is_exact_and_the_same_for_any_partitioning(spark):
     assert selection.held_out(df.limit(0), "id", ["s"]).collect() == []
 
 
+def test_rounds_of_percentiles_read_what_the_round_before_left(spark, monkeypatch):
+    kept, left = selection._kept, []
+
+    def count(df, tag):
+        out = kept(df, tag)
+        if tag == "rows":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(selection, "_kept", count)
+    rows = spark.range(4_000).selectExpr("double(id * 7919 % 4000) AS v")
+    assert selection.percentiles(rows, "v", [0.5], None, 500).first()["values"] == [1999.5]
+    assert left and left[0] <= 500
+
+
 WORDS = ["ab", "abc", "b", "", "the", "x.", "Été", "a b"]
 
 
