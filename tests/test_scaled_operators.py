@@ -92,6 +92,19 @@ def test_rounds_of_percentiles_read_what_the_round_before_left(spark, monkeypatc
     assert left and left[0] <= 500
 
 
+def test_tasks_of_briefs_grow_in_number_with_the_input(spark):
+    from docloom.plans.synth import briefs
+
+    small, large = (briefs(spark, f"/root/testdata/{sf}").rdd.getNumPartitions() for sf in ("sf0.001", "sf0.1"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        fewer = briefs(spark, "/root/testdata/sf0.1").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(least))
+    assert small == least <= large and fewer >= 3
+
+
 WORDS = ["ab", "abc", "b", "", "the", "x.", "Été", "a b"]
 
 
