@@ -3,6 +3,7 @@
 import json
 import os
 import time
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,23 @@ def test_named_files(spark, tmp_path):
     assert len(os.listdir(folder)) == 40
 
 
+def test_many_small_files_are_few_partitions_with_the_rows_of_sparks_reader(spark, tmp_path):
+    for k in range(300):
+        put(tmp_path, f"n {k}é%20.json", "" if k == 7 else f'{{"k": {k}}}\n')
+    for name in ("_hidden.json", ".hidden.json", "other.txt", "inner/a.json"):
+        put(tmp_path, name, "{}")
+    (tmp_path / "broken.json").write_bytes(b"\xff{}")
+    found, glob = io.documents(spark, f"file://{tmp_path}/*.json"), f"{tmp_path}/*.json"
+    plain = spark.read.text(glob, wholetext=True).select("_metadata.file_name", "_metadata.file_path", F.hex(F.col("value").cast("binary")))
+    want = {(unquote(n).removesuffix(".json"), p, v) for n, p, v in plain.collect()}  # without the empty file
+    rows = [tuple(r) for r in found.select("id", "path", F.hex(F.col("raw").cast("binary"))).collect()]
+    assert len(rows) == 301 and {r for r in rows if r[2]} == want and [r[0] for r in rows if not r[2]] == ["n 7é%20"]
+    assert found.rdd.getNumPartitions() == 1  # a task for 32 files before
+    assert io.file_names(spark, glob).count() == 301 and io.documents(spark, f"{tmp_path}/none*.json").count() == 0
+    many = spark.read.format("whole_files").option("partitionBytes", 1 << 16).load(str(tmp_path))
+    assert many.rdd.getNumPartitions() > 10 and many.count() == 302
+
+
 @pytest.mark.parametrize("bad", ["a/b", "", None, "_x", ".x"])
 def test_a_failed_job_leaves_no_files(spark, tmp_path, bad):
     folder = str(tmp_path / "out")
