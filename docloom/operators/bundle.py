@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,24 +133,103 @@ def newest(entries: Column, most: int = 5) -> Column:
     return F.slice(F.reverse(F.array_sort(entries)), 1, most)
 
 
-def top_similar(vectors: DataFrame, asked: DataFrame, k: int = 5, vector_block: int = 4096, question_block: int = 1024) -> DataFrame:
+def top_similar(vectors: DataFrame, asked: DataFrame, k: int = 5, vector_block: int = 16_384, question_block: int = 4_096) -> DataFrame:
     """Per question (q_id, q) the k most similar vectors (vec_id, embedding) by cosine, ties to the smaller id.
 
     Neither side is bounded: both are dealt into blocks, every block of questions meets every block of vectors by key,
-    and only the k best of a question in a pair of blocks go on to its final ranking.
+    and only the k best of a question in a pair of blocks go on to its final ranking. Blocks are multiplied as matrices; what a
+    rounding error could put among the k best is computed again, summed in the vectors' order. A cosine that isn't a number comes first, one
+    of NULL or empty vectors, NULL elements or unequal lengths is NULL and comes last.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v, q = F.col("embedding"), F.col("q")
     rows, questions = (max(1, -(-df.count() // n)) for df, n in ((vectors, vector_block), (asked, question_block)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = vectors.select("vec_id", v, F.sqrt(dot(v, v)).alias("_v"), block("vec_id", rows).alias("_rows"), every(questions).alias("_questions"))
-    right = asked.select("q_id", q, F.sqrt(dot(q, q)).alias("_q"), block("q_id", questions).alias("_questions"), every(rows).alias("_rows"))
-    met = left.hint("merge").join(right, ["_rows", "_questions"]).where(F.col("vec_id") != F.col("q_id"))
-    scored = met.select("_rows", "_questions", "q_id", "vec_id", (dot(v, q) / (F.col("_v") * F.col("_q"))).alias("similarity"))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "vec_id"))
-    best = scored.withColumn("rank", rank("_rows", "_questions", "q_id")).where(F.col("rank") <= k)
-    return best.select("q_id", "vec_id", "similarity").withColumn("rank", rank("q_id")).where(F.col("rank") <= k)
+    block = lambda i, x, n: F.pmod(F.xxhash64(i, x), F.lit(n)).cast("int")
+    left = vectors.where("vec_id is not null").select("vec_id", "embedding", block("vec_id", "embedding", rows).alias("_rows"), every(questions).alias("_questions"))
+    own = F.col("q_id").cast(vectors.schema["vec_id"].dataType).alias("_own")
+    right = asked.where("q_id is not null").select("q_id", own, "q", block("q_id", "q", questions).alias("_questions"), every(rows).alias("_rows"))
+    keys = ["_rows", "_questions"]
+    kinds = [f"q_id {asked.schema['q_id'].dataType.simpleString()}", f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}", "similarity double"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda v, q: _best_of_blocks(v, q, k), ", ".join(kinds))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+SLICE = 1 << 20  # pairs that are compared at once
+
+
+def _vectors(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: places of the vectors without NULLs, and the vectors."""
+    held = column.combine_chunks()
+    if isinstance(held, pa.ChunkedArray):
+        held = held.chunk(0) if held.num_chunks else pa.array([], column.type)
+    size = pc.fill_null(pc.list_value_length(held), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    nulls = pc.unique(pc.list_parent_indices(held).filter(pc.is_null(pc.list_flatten(held)))).to_numpy(zero_copy_only=False)
+    size[nulls] = -1
+    out = {}
+    for n in np.unique(size[size > 0]):
+        places = np.flatnonzero(size == n)
+        flat = pc.list_flatten(held.take(pa.array(places))).to_numpy(zero_copy_only=False)
+        out[int(n)] = places, np.asarray(flat, np.float64).reshape(len(places), n)
+    return out
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed from the first element on as F.aggregate does: the same for equal vectors wherever they stand."""
+    s = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        s = s + x * y
+    return s
+
+
+def _best_of_blocks(vectors: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """``q_id, vec_id, similarity`` of the k best vectors of each question."""
+    vectors = vectors.take(pc.sort_indices(vectors["vec_id"]))  # places are in the order of the ids
+    ids = pa.chunked_array([*vectors["vec_id"].chunks, *asked["_own"].chunks], vectors["vec_id"].type).combine_chunks().dictionary_encode()
+    codes = (ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids).indices.to_numpy(zero_copy_only=False)
+    n, m = len(vectors), len(asked)
+    code, own = codes[:n], codes[n:]
+    known, questions = _vectors(vectors["embedding"]), _vectors(asked["q"])
+    of = {int(p): (size, at) for size, (places, _) in questions.items() for at, p in enumerate(places)}
+    out_q, out_v, out_s = [], [], []
+    step = max(1, SLICE // max(1, n))
+    with np.errstate(all="ignore"):
+        norms = {size: np.sqrt(_dot(x, x)) for size, (_, x) in known.items()}
+        asked_norms = {size: np.sqrt(_dot(x, x)) for size, (_, x) in questions.items()}
+        for first in range(0, m if n else 0, step):
+            some = range(first, min(m, first + step))
+            near = np.full((len(some), n), -3.0)  # NULL cosines
+            again = np.zeros(near.shape, bool)
+            for size, (places, x) in known.items():
+                mine = [p for p in some if p in of and of[p][0] == size]
+                if not mine:
+                    continue
+                at = [of[p][1] for p in mine]
+                both = asked_norms[size][at][:, None] * norms[size][None, :]
+                c = (questions[size][1][at] @ x.T) / both
+                odd = ~np.isfinite(c) | ~((both > 1e-140) & (both < 1e140))  # errors are larger there: computed again in any case
+                c[odd] = -3.0
+                here = np.ix_([p - first for p in mine], places)
+                near[here], again[here] = c, odd
+            near[own[first : first + len(some), None] == code[None, :]] = -9.0  # the question itself
+            far = np.partition(near, max(0, n - k), axis=1)[:, max(0, n - k)]
+            for p in some:
+                row = near[p - first]
+                found = np.flatnonzero((again[p - first] | (row >= far[p - first] - 1e-9)) & (row > -9.0))
+                exact = np.full(len(found), -np.inf)  # NULL cosines, after all others
+                if p in of:
+                    size, at = of[p]
+                    places, x = known.get(size, (np.array([], np.int64), None))
+                    there = np.searchsorted(places, found)
+                    fits = np.flatnonzero((there < len(places)) & (places[np.minimum(there, len(places) - 1)] == found)) if len(places) else []
+                    if len(fits):
+                        t = there[fits]
+                        exact[fits] = _dot(x[t], np.broadcast_to(questions[size][1][at], (len(t), size))) / (norms[size][t] * asked_norms[size][at])
+                order = np.lexsort((found, -np.where(np.isnan(exact), np.inf, exact)))[:k]
+                out_q += [p] * len(order)
+                out_v += found[order].tolist()
+                out_s += [None if s == -np.inf else s for s in exact[order].tolist()]
+    take = lambda column, places: column.take(pa.array(places, pa.int64()))
+    return pa.table({"q_id": take(asked["q_id"], out_q), "vec_id": take(vectors["vec_id"], out_v), "similarity": pa.array(out_s, pa.float64())})
 
 
 def normalised_amount(mrr: Column, amount: Column) -> Column:

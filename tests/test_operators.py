@@ -211,3 +211,30 @@ def test_top_similar_in_blocks_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
     assert {r.q_id for r in own.queries()["top_similar_every_50th"](spark, sf).collect()} == ids
+
+
+def test_top_similar_of_odd_vectors_and_of_near_ties(spark):
+    from docloom.operators import bundle
+
+    copies = [(i, [0.1, 0.7, 0.3]) for i in range(40, 60)]  # copies of one vector: exact ties, wherever they stand
+    odd = [(1, [1e-160, 0.0, 0.0]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 2.0]), (5, [1.0, 2.0]), (6, []), (7, [1.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    vectors = spark.createDataFrame(copies + odd, "vec_id long, embedding array<double>").repartition(3)
+    asked = vectors.where("vec_id in (3, 7, 45)").selectExpr("vec_id as q_id", "embedding as q")
+    for blocks in ((100, 100), (3, 2)):
+        found = {q: [] for q in (3, 7, 45)}
+        for r in bundle.top_similar(vectors, asked, 8, *blocks).orderBy("rank").collect():
+            found[r.q_id].append((r.vec_id, r.similarity))
+        assert [v for v, _ in found[45]] == [2, 40, 41, 42, 43, 44, 46, 47] or [v for v, _ in found[45]] == [1, 2, 40, 41, 42, 43, 44, 46]
+        assert len({s for v, s in found[45] if v >= 40}) == 1
+        assert [v for v, _ in found[3]] == [1, 2, 4, 5, 6, 7, 40, 41] and all(s is None for _, s in found[3])
+        assert found[7][0][0] in (1, 2) and 3 not in dict(found[7])
+    few = bundle.top_similar(vectors.where("vec_id < 8"), asked.where("q_id = 7"), 9).orderBy("rank").collect()
+    assert len(few) == 6 and [r.vec_id for r in few][2:] == [3, 4, 5, 6]
+
+
+def test_top_similar_multiplies_blocks(spark):
+    from docloom.operators import bundle
+
+    vectors = spark.range(50).selectExpr("id as vec_id", "array(cast(id as double), 1d) as embedding")
+    plan = bundle.top_similar(vectors, vectors.selectExpr("vec_id as q_id", "embedding as q"))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan  # a row a pair before
