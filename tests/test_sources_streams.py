@@ -7,6 +7,7 @@ from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter
 
 from docloom.functions import sql
 from docloom.operators import lints
@@ -96,6 +97,16 @@ def test_many_small_files_are_few_partitions_with_the_rows_of_sparks_reader(spar
     assert many.rdd.getNumPartitions() > 10 and many.count() == 302
 
 
+def test_what_tasks_of_feeds_and_named_files_hold_is_bounded(tmp_path):
+    put(tmp_path, "docs-1.jsonl", "".join(json.dumps({"id": k, "text": "x" * 100_000}) + "\n" for k in range(200)))
+    for reader in (feeds.FeedReader({"path": str(tmp_path)}), feeds.FeedStream({"path": str(tmp_path)})):
+        found = list(reader.read(feeds.Portion([str(tmp_path / "docs-1.jsonl")])))  # rows that Spark puts into batches of 10,000 before
+        assert [k for b in found for k in b.column("item_id").to_pylist()] == [str(k) for k in range(200)]
+        assert len(found) > 3 and max(b.nbytes for b in found) < 5 << 20
+    assert list(feeds.FeedReader({"path": str(tmp_path)}).read(feeds.Portion([]))) == []
+    assert issubclass(named_files.Writer, DataSourceArrowWriter)  # no row of a batch is an object before its file is written
+
+
 @pytest.mark.parametrize("bad", ["a/b", "", None, "_x", ".x"])
 def test_a_failed_job_leaves_no_files(spark, tmp_path, bad):
     folder = str(tmp_path / "out")
