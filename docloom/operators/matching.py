@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.sources.io import spread
 
 GRAM = 3  # words of a key at most
+HITS = 10_000  # hits that a task holds, and those of one text more
 CHUNK = 500  # phrases of one document that a text is compared with at once
 
 
@@ -65,7 +66,8 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text
     """``id, pattern, n``: how often each pattern (column ``pattern``) stands in each text, overlaps counted; only where it does.
 
     Patterns are dealt into blocks of about ``block_bytes`` of UTF-8; a task builds the automaton of a block and reads its texts
-    past it once, whatever the number of patterns in it. Texts aren't shuffled; there is a pass over them a block. NULL texts and
+    past it once, whatever the number of patterns in it. Texts aren't shuffled; there is a pass over them a block. A task holds an automaton, a batch of texts as Spark sends it
+    (``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``) and ``HITS`` hits. NULL texts and
     NULL or empty patterns hit nothing; repeated patterns count as one; repeated rows each give their hits.
     """
     spark = texts.sparkSession
@@ -92,6 +94,7 @@ def _matcher(sent):
             automaton.make_automaton()
         for batch in batches:
             rows, hits, counts = [], [], []
+            found = lambda: pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, pa.string()), pa.array(counts, pa.int64())], names=["id", "pattern", "n"])  # noqa: B023, E731
             for row, value in enumerate(batch.column(1)):
                 seen: dict[int, int] = {}
                 for _, k in automaton.iter(value.as_py() or "") if words else ():
@@ -99,7 +102,10 @@ def _matcher(sent):
                 rows += [row] * len(seen)
                 hits += [words[k] for k in seen]
                 counts += seen.values()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, pa.string()), pa.array(counts, pa.int64())], names=["id", "pattern", "n"])
+                if len(rows) >= HITS:
+                    yield found()
+                    rows, hits, counts = [], [], []
+            yield found()
 
     return run
 

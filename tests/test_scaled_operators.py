@@ -182,3 +182,16 @@ def test_attached_lists_of_an_account_with_most_rows(spark):
     assert made._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # one of them ahead of the exchange
     got = {r.k: (r.n_items, [(x["at"], x.v) for x in r["items"]]) for r in made.collect()}
     assert got == {"hot": (4_995, [(1, 4_999), (2, 4_998), (3, 4_997)]), "few": (5, [(993, 4_007), (1_993, 3_007), (2_993, 2_007)]), "none": (0, [])}
+
+
+def test_hits_leave_a_task_in_small_batches():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    run = matching._matcher(SimpleNamespace(value=["a", "b"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30_000)), pa.array(["ab a"] * 30_000)], names=["id", "text"])
+    found = list(run(iter([batch])))
+    assert max(b.num_rows for b in found) <= matching.HITS + 1 and sum(b.num_rows for b in found) == 60_000  # one batch of 60,000 before
+    rows = [r for b in found for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(rows) == sorted([(k, "a", 2) for k in range(30_000)] + [(k, "b", 1) for k in range(30_000)])
