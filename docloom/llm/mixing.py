@@ -8,9 +8,9 @@ sizes alone: a few heap steps and 20 bytes a block.
 
 Nothing is dropped or repeated: a source that runs out leaves its later slots empty, and the others keep their ratios.
 
-What the driver holds is bounded: blocks grow where the corpus would have more than ``MOST_BLOCKS`` of them, and more than
-``MOST_SOURCES`` sources are scheduled in as many families by a hash of their names. A family has the weights of its
-members together and is itself within a block of its target; inside it rows stand in random order.
+Every source is scheduled by itself, however many there are: the driver holds a few numbers a source and a block. Blocks grow where
+the corpus would have more than ``MOST_BLOCKS`` of them, beside one a source. The schedule of more than ``MOST_SOURCES`` sources is joined
+without being sent to all executors; the result doesn't depend on that.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +51,10 @@ def exact_shares(weights: dict[str, float]) -> dict[str, int]:
     """Whole numbers in exactly the ratios of the weights."""
     if any(not 0 <= w < math.inf for w in weights.values()):
         raise ValueError("weights must be finite and not negative")
-    exact = {s: Fraction(w) for s, w in weights.items()}
-    unit = math.lcm(*(x.denominator for x in exact.values()))
-    return {s: int(x * unit) for s, x in exact.items()}
+    unit = 1
+    for w in weights.values():
+        unit = math.lcm(unit, Fraction(w).denominator)
+    return {s: int(Fraction(w) * unit) for s, w in weights.items()}
 
 
 def place(shares: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[int, str, int]]:
@@ -122,40 +124,33 @@ def mix(
     size_, line, chunk, chunks_, sum_, before_ = unused(base, "__size", "__line", "__chunk", "__chunks", "__sum", "__before")
     size = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    found = base.groupBy(source.alias("s")).agg(F.count("*").alias("n"), F.sum(size).alias("chars"))
-    totals = found.limit(MOST_SOURCES + 1).collect()
-    spark, name = docs.sparkSession, source
-    if len(totals) <= MOST_SOURCES:
-        sizes = {r.s: r.chars for r in totals}
-        asked = weights or default_weights(sizes)
-        asked = {s: asked.get(s, min(asked.values())) for s in sizes} or {"": 1.0}
+    spark = docs.sparkSession
+    totals = base.groupBy(source.alias("s")).agg(F.count("*").alias("n"), F.sum(size).alias("chars")).toArrow()
+    totals = totals.take(pc.sort_indices(totals["s"]))  # a source's place is its number; in the order of the names, which breaks ties
+    sizes = dict(enumerate(totals["chars"].to_pylist()))
+    if weights:
+        least = min(weights.values())
+        asked = {i: weights.get(s.as_py(), least) for i, s in enumerate(totals["s"])}
     else:
-        name = F.pmod(F.xxhash64(source), F.lit(MOST_SOURCES)).cast("string")
-        if weights:
-            given = spark.createDataFrame(list(weights.items()), "s string, w double")
-            found = found.join(given, "s", "left").withColumn("w", F.coalesce("w", F.lit(float(min(weights.values())))))
-        else:
-            found = found.withColumn("w", F.pow("chars", F.lit(POWER)))
-        family = F.pmod(F.xxhash64("s"), F.lit(MOST_SOURCES)).cast("string").alias("s")
-        totals = found.groupBy(family).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("w").alias("w")).collect()
-        sizes, asked = {r.s: r.chars for r in totals}, {r.s: r.w for r in totals}
+        asked = default_weights(sizes)
     block_chars = max(block_chars, -(-sum(sizes.values()) // MOST_BLOCKS))
-    names = sorted(asked)
-    number = {x: i for i, x in enumerate(names)}
     # The block of a row is that of its first character, so no source has more blocks than these.
     owners, blocks, slots = array("i"), array("q"), array("q")
-    for t, x, j in place(exact_shares(asked), {x: -(-sizes.get(x, 0) // block_chars) for x in names}):
-        owners.append(number[x])
+    for t, x, j in place(exact_shares(asked), {x: -(-n // block_chars) for x, n in sizes.items()}):
+        owners.append(x)
         blocks.append(j)
         slots.append(t)
-    owner = pa.DictionaryArray.from_arrays(pa.array(owners, pa.int32()), pa.array(names, pa.string())).dictionary_decode()
+    owner = totals["s"].take(pa.array(owners, pa.int32())).combine_chunks()
     fields = pa.schema([(line, pa.string()), ("mix_block", pa.int64()), ("mix_slot", pa.int64())])
     times = spark.createDataFrame(pa.table([owner, pa.array(blocks, pa.int64()), pa.array(slots, pa.int64())], schema=fields))
-    chunks = spark.createDataFrame([(r.s, math.ceil(r.n / chunk_rows)) for r in totals] or [("", 1)], f"`{line}` string, `{chunks_}` int")
+    large = totals.filter(pc.greater(totals["n"], chunk_rows))
+    dealt = [(s, math.ceil(n / chunk_rows)) for s, n in zip(large["s"].to_pylist(), large["n"].to_pylist(), strict=True)]
+    chunks = spark.createDataFrame(dealt or [("", 1)], f"`{line}` string, `{chunks_}` int")
+    sent = F.broadcast if totals.num_rows <= MOST_SOURCES else lambda df: df
 
     keyed = (
-        base.withColumns({"mix_source": source, line: name, size_: size})
-        .join(F.broadcast(chunks), line, "left")  # at most MOST_SOURCES rows
+        base.withColumns({"mix_source": source, line: source, size_: size})
+        .join(F.broadcast(chunks), line, "left")  # one of every chunk_rows rows at most
         .withColumn(chunk, F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.coalesce(F.col(chunks_), F.lit(1))))
         .drop(chunks_)
     )
@@ -168,6 +163,6 @@ def mix(
     return (
         keyed.join(parts, [line, chunk])
         .withColumn("mix_block", F.floor((F.col(before_) + F.coalesce(within, F.lit(0))) / block_chars).cast("long"))
-        .join(F.broadcast(times), [line, "mix_block"])  # at most MOST_BLOCKS and one a source
+        .join(sent(times), [line, "mix_block"])  # at most MOST_BLOCKS and one a source
         .select(*base.columns, "mix_source", "mix_block", "mix_slot")
     )

@@ -112,6 +112,17 @@ def test_more_sources_and_blocks_than_the_driver_holds(spark, monkeypatch):
                 assert len(slots) <= 7 + len(families) + 1
 
 
+def test_many_sources_are_scheduled_as_few_are(spark, monkeypatch):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "x" * rng.randint(1, 50), rng.choice([None, f"s{rng.randrange(30)}"])) for i in range(300)], "doc_id long, text string, source string")
+    for weights in (None, {"s1": 3.0, "s2": 0.0, "": 0.7}):
+        found = []
+        for most in (50_000, 6):  # more than 6 sources were scheduled in families before
+            monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+            found.append(sorted(map(tuple, mixing.mix(df, weights, block_chars=100, chunk_rows=16).select("doc_id", "mix_source", "mix_block", "mix_slot").collect())))
+        assert found[0] == found[1] and len(found[0]) == 300
+
+
 def test_rows_of_one_id_do_not_meet_in_one_chunk(spark):
     df = spark.range(4_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
     found = mixing.mix(df, block_chars=1_000, chunk_rows=200).groupBy("mix_block").agg(F.sum(F.length("text")).alias("n")).collect()
