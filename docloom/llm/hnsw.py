@@ -16,6 +16,7 @@ import numpy as np
 DEGREE = 16
 CANDIDATES = 48
 BATCH = 1_024
+WIDE = 8  # nodes of a beam opened in one step
 
 
 def level_norms(vectors: np.ndarray) -> np.ndarray:
@@ -118,7 +119,7 @@ class Graph:
             found = np.full((len(batch), 0), -1, np.int64)
             if start is not None:
                 wide = len(here) > 0
-                found = self._blocks(v[batch], k, start, ef if wide else 4, 4 if wide else 1)[0]
+                found = self._blocks(v[batch], k, start, ef if wide else 4, WIDE if wide else 1)[0]
                 start = found[:, :4]
             if not len(here):
                 continue
@@ -138,68 +139,65 @@ class Graph:
 
     def _blocks(self, q: np.ndarray, layer: int, start: np.ndarray, ef: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
         """``_beam`` for any number of queries, in blocks whose marks of seen nodes stay small."""
-        step = max(1, min(256, 4_000_000 // max(1, len(self.vectors))))
+        step = max(1, min(256, 8_000_000 // max(1, len(self.vectors))))
         ef = max(1, min(ef, len(self.vectors)))
-        parts = [self._beam(q[a : a + step], layer, start[a : a + step, :ef], ef, wide) for a in range(0, len(q), step)]
+        parts = [self._beam(q[a : a + step], layer, start[a : a + step, :ef], ef, min(wide, ef)) for a in range(0, len(q), step)]
         return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
     def _beam(self, q: np.ndarray, layer: int, start: np.ndarray, ef: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
-        own, links = self.nodes[layer], self.links[layer]
-        row_of = None if len(own) == len(self.vectors) else {"at": np.full(len(self.vectors), -1, np.int64)}
-        if row_of:
-            row_of["at"][own] = np.arange(len(own))
-        m = len(q)
-        ids = np.full((m, ef), -1, np.int64)
-        sims = np.full((m, ef), -np.inf, np.float32)
-        done = np.ones((m, ef), bool)
-        k = start.shape[1]
-        ids[:, :k], done[:, :k] = start, start < 0
-        sims[:, :k] = np.where(start < 0, -np.inf, np.einsum("qd,qkd->qk", q, self.vectors[start]))
-        slot = np.full((m, len(self.vectors)), -1, np.int16)
-        r, c = np.nonzero(start >= 0)
-        slot[r, start[r, c]] = -2
-        live = np.arange(m)
-        for _ in range(4 * len(own) + 8):
-            masked = np.where(done[live], -np.inf, sims[live])
-            open_ = np.argpartition(-masked, min(wide, ef) - 1, axis=1)[:, : min(wide, ef)]
-            has = np.take_along_axis(masked, open_, 1) > -np.inf
+        v, own, links = self.vectors, self.nodes[layer], self.links[layer]
+        row_of = None
+        if len(own) < len(v):
+            row_of = np.full(len(v) + 1, -1, np.int64)
+            row_of[own] = np.arange(len(own))
+        m, k = len(q), start.shape[1]
+        ids = np.full((m, ef), -1, np.int32)
+        sims, todo = np.full((2, m, ef), -np.inf, np.float32)  # todo: the same for nodes not opened yet
+        ids[:, :k] = start
+        sims[:, :k] = todo[:, :k] = np.where(start < 0, -np.inf, np.einsum("qd,qkd->qk", q, v[start]))
+        base = np.arange(m) * (len(v) + 1)
+        seen = np.zeros(m * (len(v) + 1), bool)
+        seen[len(v) :: len(v) + 1] = True  # where number -1 falls
+        seen[base[:, None] + start] = True
+        live, last_ids, last_sims = np.arange(m), np.empty_like(ids), np.empty_like(sims)
+        while True:
+            open_ = np.argpartition(todo, -wide, axis=1)[:, -wide:]
+            has = np.take_along_axis(todo, open_, 1) > -np.inf
             alive = has.any(1)
-            live, open_, has = live[alive], open_[alive], has[alive]
+            if not alive.all():
+                last_ids[live[~alive]], last_sims[live[~alive]] = ids[~alive], sims[~alive]
+                live, base, q, ids, sims, todo, open_, has = (x[alive] for x in (live, base, q, ids, sims, todo, open_, has))
             if not len(live):
                 break
-            picked = np.where(has, np.take_along_axis(ids[live], open_, 1), -1)
-            flag = done[live]
-            np.put_along_axis(flag, open_, True, 1)
-            done[live] = flag
-            at = picked if row_of is None else np.where(picked < 0, -1, row_of["at"][picked])
-            found = np.where((at < 0)[:, :, None], -1, links[at]).reshape(len(live), -1)
-            safe = np.where(found < 0, 0, found)
-            seen = (slot[live[:, None], safe] == -2) | (found < 0)
-            column = np.broadcast_to(np.arange(found.shape[1], dtype=np.int16), found.shape)
-            r, c = np.nonzero(~seen)
-            slot[live[r], found[r, c]] = column[r, c]
-            fresh = slot[live[r], found[r, c]] == c
-            r, c = r[fresh], c[fresh]
-            slot[live[r], found[r, c]] = -2
-            got = found[r, c]
-            near = np.einsum("kd,kd->k", q[live[r]], self.vectors[got])
-            better = near > sims[live].min(1)[r]
-            r, got, near = r[better], got[better], near[better]
-            if not len(r):
+            at = np.where(has, np.take_along_axis(ids, open_, 1), -1)
+            np.put_along_axis(todo, open_, -np.inf, 1)
+            if row_of is not None:
+                at = row_of[at]
+            found = links[at]
+            found[at < 0] = -1
+            found = found.reshape(len(live), -1)
+            mark = (base[:, None] + found).ravel()
+            new = np.flatnonzero(~seen[mark])  # a node found twice in one step is here twice
+            r, got, mark = new // found.shape[1], found.ravel()[new], mark[new]
+            seen[mark] = True
+            near = np.einsum("kd,kd->k", np.take(q, r, 0), np.take(v, got, 0))
+            better = np.flatnonzero(near > sims.min(1)[r])
+            better = better[np.unique(mark[better], return_index=True)[1]]
+            if not len(better):
                 continue
+            r, got, near = r[better], got[better], near[better]
             count = np.bincount(r, minlength=len(live))
-            place = np.arange(len(r)) - (np.cumsum(count) - count)[r]
-            add_ids = np.full((len(live), count.max()), -1, np.int64)
-            add_sims = np.full(add_ids.shape, -np.inf, np.float32)
-            add_ids[r, place], add_sims[r, place] = got, near
-            all_ids, all_sims = np.concatenate([ids[live], add_ids], 1), np.concatenate([sims[live], add_sims], 1)
-            all_done = np.concatenate([done[live], add_ids < 0], 1)
-            best = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
-            ids[live], sims[live], done[live] = (np.take_along_axis(x, best, 1) for x in (all_ids, all_sims, all_done))
-        order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-
-    def search(self, q: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+            place = ef + np.arange(len(r)) - (np.cumsum(count) - count)[r]
+            more = int(count.max())
+            all_ids, (all_sims, all_todo) = np.full((len(live), ef + more), -1, np.int32), np.full((2, len(live), ef + more), -np.inf, np.float32)
+            all_ids[:, :ef], all_sims[:, :ef], all_todo[:, :ef] = ids, sims, todo
+            all_ids[r, place], all_sims[r, place], all_todo[r, place] = got, near, near
+            best = np.argpartition(all_sims, more, axis=1)[:, more:]
+            ids, sims, todo = (np.take_along_axis(x, best, 1) for x in (all_ids, all_sims, all_todo))
+        order = np.argsort(-last_sims, axis=1, kind="stable")
+        return np.take_along_axis(last_ids, order, 1).astype(np.int64), np.take_along_axis(last_sims, order, 1)
+
+    def search(self, q: np.ndarray, ef: int, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and inner products of up to ``ef`` near rows for every query, nearest first, -1 where there are none."""
         if not len(self.vectors) or not len(q):
             ef = max(1, min(ef, len(self.vectors)))

@@ -15,7 +15,7 @@ from docloom.llm.hnsw import Graph, audited_search, level_norms
 
 SHARD_ROWS = 8_192
 MOST_SHARD_ROWS, MOST_SHARD_BYTES = 65_536, 32 << 20
-FEW_SHARDS = 64
+FEW_SHARDS = 16
 QUERY_ROWS = 1_024
 TASK_ROWS = 16_384
 COSINE = 0.93
@@ -56,7 +56,7 @@ def precision(vectors: DataFrame) -> str:
 
 
 def rows_a_shard(n: int, dim: int, least: int) -> int:
-    """Rows a shard: ``least`` up to 64 shards, then growing to what a task holds with ease, so that there are fewer shards to ask."""
+    """Rows a shard: ``least`` up to ``FEW_SHARDS`` shards, then growing to what a task holds with ease, so that there are fewer shards to ask."""
     most = max(least, min(MOST_SHARD_ROWS, MOST_SHARD_BYTES // (4 * max(1, dim))))
     return min(most, max(least, math.ceil(n / FEW_SHARDS)))
 

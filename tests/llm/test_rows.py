@@ -109,6 +109,34 @@ def test_graphs_grown_by_insertion_find_what_is_near(shape):
     assert (sims >= near[:, -1:] - 1e-4).mean() >= 0.95
 
 
+def test_shards_stop_growing_in_number_before_tasks_are_full():
+    """Every query asks every shard: up to a million vectors of 64 numbers their number stays the same, so that only queries and rows grow."""
+    asked = [math.ceil(n / neighbours.rows_a_shard(n, 64, neighbours.SHARD_ROWS)) for n in (10_256, 51_282, 131_072, 262_144, 615_384, 1_000_000)]
+    assert asked == [2, 7, 16, 16, 16, 16]
+    assert neighbours.rows_a_shard(10**9, 64, neighbours.SHARD_ROWS) == neighbours.MOST_SHARD_ROWS and neighbours.rows_a_shard(10**9, 4_096, 16) == neighbours.MOST_SHARD_BYTES // (4 * 4_096)
+
+
+def test_beams_open_several_nodes_in_a_step_and_compare_a_node_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = level_norms(rng.normal(size=(3_000, 24)).astype(np.float32))
+    g, q, steps, pairs = Graph.build(v), v[::100], [], []
+    take = np.take
+
+    def counted(a, i, axis=None):
+        if a is g.vectors:
+            steps.append(len(i)), pairs.append(i)
+        return take(a, i, axis)
+
+    monkeypatch.setattr(np, "take", counted)
+    ids, sims = g._beam(q, 0, np.repeat(g.nodes[-1][None, :1], len(q), 0), 64, 8)
+    monkeypatch.undo()
+    assert 0 < len(steps) <= 16 and max(map(len, pairs)) < len(q) * 8 * 64  # 64 places of a beam, 8 a step: 8 steps at least
+    assert all(len(set(x)) == 64 for x in ids.tolist()) and (np.diff(sims, axis=1) <= 0).all()
+    assert np.allclose(sims, np.einsum("qd,qkd->qk", q, v[ids]), atol=1e-4)
+    near = np.sort(q @ v.T, 1)[:, ::-1][:, :10]
+    assert (sims[:, :10] >= near[:, -1:] - 1e-4).mean() >= 0.95
+
+
 def test_partitions_of_settled_frames_grow_with_the_input(spark, tmp_path, monkeypatch):
     """Cores are a minimum; beyond it the bytes of the files count, those of a join for both sides, those of local rows not."""
     spark.range(200_000).selectExpr("id", "md5(cast(id as string)) as x").repartition(64).write.parquet(f"{tmp_path}/t")
