@@ -229,7 +229,7 @@ class Graph:
 
 
 def audited_search(graph: Graph, q: np.ndarray, k: int, ef: int, least: float = 0.97, sample: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Search whose beam is doubled until a sample of the queries, compared with all rows of the shard, reaches recall ``least``."""
+    """Search whose beam grows, twofold and then by half, until a sample of the queries, compared with all rows of the shard, reaches recall ``least``."""
     n = len(graph.vectors)
     probe = np.unique(np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int))
     exact = q[probe] @ graph.vectors.T
@@ -239,6 +239,6 @@ def audited_search(graph: Graph, q: np.ndarray, k: int, ef: int, least: float =
         if ef < n:
             sims = graph.search(q[probe], ef)[1][:, :k]
             if (sims >= bar[:, None] - 1e-5).mean() < least:
-                ef *= 2
+                ef += max(ef // 2, 64)
                 continue
         return graph.search(q, ef)
