@@ -3,11 +3,13 @@
 Features are indicators of word and word-shape n-grams, hashed to a fixed number of columns. Every column is scaled
 by its class log-count ratio, rows are brought to unit length, and a linear hinge-loss model is fitted by dual
 coordinate descent. A logistic curve over cross-fitted margins turns margins into probabilities. The fit uses a bounded sample of
-labelled rows (``FIT_ROWS``, the rows with the smallest hash of their id); scoring reads every whole text, narrowly.
+labelled rows (``FIT_ROWS``, the rows with the smallest hash of their id), in one task; the driver gets the model alone. Scoring reads
+every whole text, narrowly.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from docloom.llm.hashing import run_hashes, runs
 
 BITS = 18
 FIT_ROWS = 8_000
-FIT_BYTES = 128 << 20  # of column lists on the driver, 4 bytes a column
+FIT_BYTES = 128 << 20  # of column lists in the task that fits, 4 bytes a column
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANK = np.zeros(256, bool)
@@ -70,10 +72,13 @@ class Features:
 
 
 def fit_hinge(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss over unit rows of scaled indicators; classes are weighted to balance half-way."""
+    """Dual coordinate descent for the hinge loss over unit rows of scaled indicators; classes are weighted to balance half-way.
+
+    A row's values are looked up at each step: lists of them would take several times the memory of ``rows``.
+    """
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(len(scale)), 0.0
-    values = [(v := scale[r]) / (np.linalg.norm(v) or 1.0) for r in rows]
+    norms = [np.linalg.norm(scale[r]) or 1.0 for r in rows]
     y = np.where(labels > 0, 1.0, -1.0)
     share = np.array([max(1, (y < 0).sum()), max(1, (y > 0).sum())]) / max(1, len(y))
     upper = cost * np.sqrt(0.5 / share)[(y > 0).astype(int)]
@@ -81,7 +86,8 @@ def fit_hinge(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, cos
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            r, v = rows[i], values[i]
+            r = rows[i].astype(np.intp, copy=False)
+            v = scale[r] / norms[i]
             gradient = y[i] * (w[r] @ v + bias) - 1.0
             a = min(max(alpha[i] - gradient / (v @ v + 1.0), 0.0), upper[i])
             if (step := a - alpha[i]) != 0.0:
@@ -163,8 +169,8 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS, target: str = "quality") -> Model:
     """Fit on at most ``fit_rows`` labelled rows that are not held out. Labels without a text, or null, are left out.
 
-    The chosen labels are a bounded side and are broadcast; texts become column lists on the executors. Rows come to the
-    driver in the order of a hash of their id, until there are ``FIT_BYTES``; of several texts under one id one is taken.
+    The chosen labels are a bounded side and are broadcast; texts become column lists on the executors. One task takes rows in the
+    order of a hash of their id, until there are ``FIT_BYTES``, and fits; of several texts under one id one is taken.
     """
     chance = F.xxhash64(F.col("doc_id").cast("long"), F.lit(11))
     chosen = (
@@ -179,19 +185,27 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: in
             blobs = [of(t.as_py() or "").astype("<i4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2)], names=["doc_id", "columns", "y"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+        for batch in batches:
+            for doc, found, y in zip(*batch.columns, strict=True):
+                if held <= FIT_BYTES:
+                    blob = found.as_py()
+                    held += len(blob)
+                    if held <= FIT_BYTES or not kept:
+                        kept.append((doc.as_py(), blob, y.as_py()))
+        kept.sort()
+        model = fit([np.frombuffer(x, "<i4") for _, x, _ in kept], np.array([y for _, _, y in kept], int), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
     found = (
         docs.select(F.col("doc_id").cast("long"), F.col("text")).join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "text", F.col("y").cast("int")).mapInArrow(columns, "doc_id long, columns binary, y int")
-        .groupBy("doc_id").agg(F.min("columns").alias("columns"), F.first("y").alias("y")).orderBy(chance, "doc_id")
+        .groupBy("doc_id").agg(F.min("columns").alias("columns"), F.first("y").alias("y"))
+        .repartition(1).sortWithinPartitions(chance, "doc_id")
     )
-    kept, held = [], 0
-    for r in found.toLocalIterator(prefetchPartitions=True):
-        if held + len(r.columns) > FIT_BYTES and kept:
-            break
-        kept.append((r.doc_id, bytes(r.columns), r.y))
-        held += len(r.columns)
-    kept.sort()
-    return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, x, _ in kept], np.array([y for _, _, y in kept], int), bits)
+    row = found.mapInArrow(fitted, "model binary").first()
+    return pickle.loads(row.model) if row else fit([], np.zeros(0, int), bits)  # no task runs over no rows
 
 
 def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:

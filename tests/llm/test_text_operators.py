@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -431,6 +432,23 @@ def test_quality_without_labels(spark):
     assert quality.score(frame(spark, []), quality.train(df, lab)).count() == 0
 
 
+def test_quality_is_fitted_by_a_task_and_the_driver_holds_the_model_alone(spark):
+    distinct = "concat_ws(' ', transform(sequence(1, 1500), k -> hex(xxhash64(id, k)))) as text"
+    df = spark.range(600).selectExpr("id as doc_id", distinct)
+    lab = spark.range(600).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    tracemalloc.start()
+    try:
+        model = quality.train(df, lab)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 12 << 20  # two lists of 2**BITS weights, pickled too; the fit alone took several times that
+    kept = [r for r in df.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    of = quality.Features().of
+    want = quality.fit([of(r.text) for r in kept], np.array([r.doc_id % 2 for r in kept]))
+    assert (model.scale == want.scale).all() and np.allclose(model.weight, want.weight, atol=1e-6) and np.allclose([model.bias, model.slope, model.shift], [want.bias, want.slope, want.shift])
+
+
 # ---- secrets ----
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
