@@ -20,6 +20,8 @@ QUERY_ROWS = 1_024
 TASK_ROWS = 16_384
 COSINE = 0.93
 PROBES = 64
+HELD = 192  # links of a query found by beams; one with more is compared with the whole shard
+CELLS = 1 << 22  # numbers of a matrix of cosines, four times those of the vectors compared in double precision at once
 _GRAPH = "sizes binary, nodes binary, widths binary, links binary"
 _PARTS = "ids binary, ends binary, vectors binary, " + _GRAPH
 
@@ -219,38 +221,111 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return root[node], node
 
 
-def _links(graph: Graph, q: np.ndarray, least: float, ef: int, sample: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query number, row number) of unit vectors whose cosine, in 32 bits, is ``least`` or hardly less.
-
-    A beam that holds links only may be too narrow: its query is searched again with one four times as wide, and if that
-    is full too, compared with the whole shard. Then a sample of queries is compared with all rows: while one of its links is missing, or
-    too few of its nearest rows are found, links or not, all beams double.
-    """
-    n, loose = len(graph.vectors), np.float32(least - 1e-5)
-    probe = np.unique(np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int))
-    exact = q[probe] @ graph.vectors.T
+def _beams(graph: Graph, q: np.ndarray, loose: np.float32, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs found by beams of ``ef`` nodes, or four times as many where the first hold links only; and the queries with too many links for either."""
+    n, todo, heads, tails = len(graph.vectors), np.arange(len(q)), [], []
+    for width in (min(ef, n), min(4 * ef, n)):
+        ids, sims = graph.search(q[todo], width)
+        full = (sims[:, -1] >= loose) & (width < n)
+        many = (sims >= loose).sum(1) > HELD
+        r, c = np.nonzero((sims >= loose) & ~(full | many)[:, None])
+        heads.append(todo[r]), tails.append(ids[r, c])
+        todo = todo[full | many]
+    return np.concatenate(heads), np.concatenate(tails), todo
+
+
+def _whole(graph: Graph, q: np.ndarray, loose: np.float32, todo: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the queries ``todo`` by comparison with every row, a bounded number at a time."""
+    step = max(1, CELLS // len(graph.vectors))
+    for at in range(0, len(todo), step):
+        r, c = np.nonzero(q[todo[at : at + step]] @ graph.vectors.T >= loose)
+        yield todo[at + r], c
+
+
+def _audited(graph: Graph, q: np.ndarray, loose: np.float32, least: float, ef: int, sample: int) -> int:
+    """The beam, doubled from ``ef`` until a sample of the queries finds all its links and enough of its nearest rows, links or not; 0 if only comparing all will do."""
+    n = len(graph.vectors)
+    q = q[np.unique(np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int))]
+    exact = q @ graph.vectors.T
     r, c = np.nonzero(exact >= least + 1e-5)
-    truth = np.sort(probe[r] * np.int64(n) + c)
     k = min(8, n)
     bar = -np.partition(-exact, k - 1, axis=1)[:, k - 1]
-    while True:
-        todo, heads, tails = np.arange(len(q)), [], []
-        for width in (min(ef, n), min(4 * ef, n)):
-            ids, sims = graph.search(q[todo], width)
-            full = (sims[:, -1] >= loose) & (width < n)
-            r, c = np.nonzero((sims >= loose) & ~full[:, None])
-            heads.append(todo[r]), tails.append(ids[r, c])
-            todo = todo[full]
-        for at in range(0, len(todo), 512):
-            r, c = np.nonzero(q[todo[at : at + 512]] @ graph.vectors.T >= loose)
-            heads.append(todo[at + r]), tails.append(c)
-        a, b = np.concatenate(heads), np.concatenate(tails)
-        if ef >= n:
-            break
-        if np.isin(truth, a * np.int64(n) + b).all() and (graph.search(q[probe], min(ef, n))[1][:, :k] >= bar[:, None] - 1e-5).mean() >= 0.97:
+    while ef < n:
+        a, b, todo = _beams(graph, q, loose, ef)
+        seen = ~np.isin(r, todo)  # the others are compared with all rows
+        if np.isin(r[seen] * np.int64(n) + c[seen], a * np.int64(n) + b).all() and (graph.search(q, ef)[1][:, :k] >= bar[:, None] - 1e-5).mean() >= 0.97:
             break
         ef *= 2
-    return a, b
+        if 32 * ef > n:  # such a beam reads as many rows as there are
+            return 0
+    return ef
+
+
+def _links(graph: Graph, q: np.ndarray, least: float, ef: int, sample: int = PROBES, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query number, row number) of unit vectors whose cosine, in 32 bits, is ``least`` or hardly less, in pieces of bounded size.
+
+    A beam that holds links only may be too narrow: its query is searched again with one four times as wide, and if that
+    is full too, or holds over ``HELD`` links, compared with the whole shard. Before that a sample of queries is compared with all rows: while
+    one of its links is missing, or too few of its nearest rows are found, links or not, all beams double. With ``same`` the queries are
+    the shard's own rows: a pair found from either side comes once. For that only what beams found is held, up to ``HELD`` rows a query;
+    queries compared with the whole shard know all their links.
+    """
+    n, loose = len(graph.vectors), np.float32(least - 1e-5)
+    ef = _audited(graph, q, loose, least, ef, sample)
+    whole, low, high = np.zeros(len(q), bool), [], []
+    for at in range(0, len(q), QUERY_ROWS):
+        if not ef:
+            whole[at : at + QUERY_ROWS] = True
+            continue
+        a, b, todo = _beams(graph, q[at : at + QUERY_ROWS], loose, ef)
+        a = a + at
+        whole[at + todo] = True
+        if same:
+            low.append(np.minimum(a, b).astype(np.int32)[a != b]), high.append(np.maximum(a, b).astype(np.int32)[a != b])
+        else:
+            yield a, b
+    for a, b in _whole(graph, q, loose, np.flatnonzero(whole)):
+        once = (a < b) | (a > b) & ~whole[b] if same else slice(None)
+        yield a[once], b[once]
+    if low:
+        a, b = np.concatenate(low), np.concatenate(high)
+        del low, high
+        rest = ~(whole[a] | whole[b])
+        a, b = a[rest], b[rest]
+        parts = -(-len(a) // CELLS) or 1
+        for part in range(parts):  # both sides of a pair are in the same part
+            mine = a % parts == part
+            pair = np.unique(a[mine] * np.int64(n) + b[mine])
+            yield pair // n, pair % n
+
+
+def _linked(
+    graph: Graph, q: np.ndarray, raw: np.ndarray, q_n: np.ndarray, n: np.ndarray, least: float, ef: int, same: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of the vectors ``q`` to those of the graph, ``raw``, whose numbers of rows are ``q_n`` and ``n``: per node its links' rows, and the edges
+    (root, node) of a spanning forest. Nodes are the queries, then the rows; with ``same`` both are the same.
+
+    Memory doesn't grow with the number of links: they are compared in double precision, counted and taken into the forest piece by piece.
+    """
+    one = _scaled(q)
+    two = one if same else _scaled(raw)
+    one_norm, two_norm = (np.sqrt((x * x).sum(1)) for x in (one, two))
+    nodes = len(raw) if same else len(q) + len(raw)
+    count, root, node = np.zeros(nodes), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = max(1, CELLS // (4 * max(1, q.shape[1])))
+    for a, b in _links(graph, graph.vectors if same else _unit(q), least - 1e-6, ef, same=same):
+        near = np.zeros(len(a), bool)
+        for at in range(0, len(a), step):
+            x, y = a[at : at + step], b[at : at + step]
+            near[at : at + step] = (one[x] * two[y]).sum(1) / (one_norm[x] * two_norm[y]) >= least
+        a, b = a[near], b[near]
+        if not len(a):
+            continue
+        c = b if same else b + len(q)
+        count += np.bincount(a, n[b], nodes)
+        count += np.bincount(c, q_n[a], nodes)
+        root, node = _forest(np.concatenate([root, a]), np.concatenate([node, c]), nodes)
+    return count.astype(np.int64), root, node
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, ef: int = 48) -> DataFrame:
@@ -260,8 +335,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard_rows: int =
     themselves. Equal vectors of a label are one node that counts for each of its rows. Rows of one vec_id are vectors of
     their own: each has its links; its component is named by the smallest vec_id in it. Extra columns are ignored; an
     empty table gives an empty result. Each shard of a label is asked with the vectors of that shard and of those before
-    it: a task loads one graph and streams up to ``TASK_ROWS`` vectors past it. Links are counted where they are found and
-    leave the task as counts and a spanning forest, not as pairs.
+    it: a task loads one graph and streams up to ``TASK_ROWS`` vectors past it. Links are counted where they are found, piece by
+    piece, and leave the task as counts and a spanning forest, not as pairs.
     """
     kind = precision(vectors)
     every = settle(usable(vectors, ("label",), others=True), "vectors")
@@ -316,19 +391,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard_rows: int =
 
     def links(state: tuple, q: np.ndarray, q_ids: np.ndarray, q_n: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
         raw, graph, ids, n = state
-        a, b = _links(graph, graph.vectors if same else _unit(q), least - 1e-6, ef)
-        one, two = _scaled(q[a]), _scaled(raw[b])
-        cosine = (one * two).sum(1) / (np.sqrt((one * one).sum(1)) * np.sqrt((two * two).sum(1)))
-        a, b = a[cosine >= least], b[cosine >= least]
-        if same:  # found from either side, counted once
-            pair = np.unique(np.minimum(a, b) * np.int64(len(q)) + np.maximum(a, b))
-            a, b = pair // len(q), pair % len(q)
-            a, b = a[a != b], b[a != b]
-        left = np.bincount(a, n[b], len(q_ids)).astype(np.int64)
-        right = np.bincount(b, q_n[a], len(ids)).astype(np.int64)
+        count, root, node = _linked(graph, q, raw, q_n, n, least, ef, same)
         names = ids if same else np.concatenate([q_ids, ids])
-        count = left + right if same else np.concatenate([left, right])
-        root, node = _forest(a, b if same else b + len(q_ids), len(names))
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([names[some], names[root]])), pa.array([*[None] * len(some), *names[node].tolist()], pa.int64()), pa.array([*count[some].tolist(), *[None] * len(root)], pa.int64())],

@@ -1,6 +1,7 @@
 """Vector operators, page extraction, components and the pipeline."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -71,6 +72,33 @@ def test_near_duplicates_equal_brute_force(spark, shard_rows):
     assert got == {i: (len(js), part[i], part[i] == i) for i, js in links.items()}
 
 
+def dense(sizes, dim=8, noise=0.2, seed=4):
+    """Groups of near copies around random vectors, some links in them a little under the bound."""
+    rng = np.random.default_rng(seed)
+    found = [x + rng.normal(size=(n, dim)) * noise for n, x in zip(sizes, rng.normal(size=(len(sizes), dim)), strict=True)]
+    return np.concatenate(found).astype(np.float32)
+
+
+@pytest.mark.parametrize("shard_rows", [300, 8192])
+def test_links_of_groups_around_what_a_task_holds(spark, shard_rows):
+    v = dense([700, 250, 190, 60, 9, *[1] * 100])
+    unit = v.astype(float) / np.sqrt((v.astype(float) ** 2).sum(1, keepdims=True))
+    near = unit @ unit.T >= 0.93
+    rows = [(int(i), x.tolist(), 1) for i, x in enumerate(v)]
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(vectors(spark, rows), shard_rows=shard_rows).collect()}
+    assert got == dict(enumerate((near.sum(1) - 1).tolist()))
+
+
+def test_memory_of_links_does_not_grow_with_their_number():
+    v = dense([2_500], dim=64, noise=0.1)
+    graph, ones = Graph.build(neighbours._unit(v)), np.ones(len(v), np.int64)
+    tracemalloc.start()
+    count, root, node = neighbours._linked(graph, v, v, ones, ones, 0.93, 48, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count.sum() > 6_000_000 and len(node) == len(v) - 1 and most < 400e6  # twice six million vectors of 64 doubles are 6 GB
+
+
 def test_no_vectors(spark):
     none = vectors(spark, [])
     assert neighbours.search(none, F.col("vec_id") % 20 == 0).count() == 0 and neighbours.near_duplicates(none).count() == 0
