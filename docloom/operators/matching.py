@@ -145,6 +145,6 @@ def near_pairs(names: DataFrame, column: str = "name", most: int = 2) -> DataFra
     keyed = pairs.select("_n", (F.col("d") - F.col("_other")).alias("_more"), F.xxhash64("v", "s", low, high).alias("_key")).distinct()
     # The side with fewer letters taken out asks; with as many on both, the smaller name.
     one, two = keyed.where("_more <= 0").select(F.col("_n").alias("_a"), "_key", "_more"), keyed.where("_more >= 0").select(F.col("_n").alias("_b"), "_key")
-    met = one.join(two, "_key").where("_a <> _b and (_more < 0 or _a < _b)")
+    met = one.hint("merge").join(two.hint("merge"), "_key").where("_a <> _b and (_more < 0 or _a < _b)")  # the files are far smaller than the keys: not to be broadcast
     found = met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
     return found.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")

@@ -174,6 +174,14 @@ def test_names_that_share_half_their_letters_meet_only_their_like(spark, monkeyp
     assert 0 < pairs == matching.near_pairs(names, most=1).count()  # what meets is what is near
 
 
+def test_keys_of_names_are_not_sent_through_the_driver(spark, tmp_path):
+    """The files of a million names are small enough for a broadcast; their 38 million keys aren't."""
+    spark.range(500).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS name").write.parquet(str(tmp_path / "names"))
+    found = matching.near_pairs(spark.read.parquet(str(tmp_path / "names")), most=1)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 500 * (9 + 9 + 4) // 2  # three digits, the first of them up to 4
+
+
 def test_attached_lists_of_an_account_with_most_rows(spark):
     """First rows and counts of accounts, one of which holds nearly all; accounts without rows; ranks are cut before rows are sent."""
     accounts = spark.createDataFrame([("hot",), ("few",), ("none",)], "k string")
