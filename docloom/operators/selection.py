@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.sources.io import shared_folder
 
-GRID = 64  # parts that a round cuts a group into
+GRID = 1_024  # shares of a group between the values that a sketch proposes
 
 
 def _kept(df: DataFrame, tag: str) -> DataFrame:
@@ -34,9 +34,9 @@ def percentiles(rows: DataFrame, column: str, ps: list[float], by: list[str] | N
     """``by, n, values``: exact percentiles with linear interpolation, a value for each of ``ps``. NULLs don't count; a group
     without values has no row; a NULL key is a group.
 
-    Groups of up to ``task_rows`` values use the plain aggregate. A larger one is cut at values that a sketch proposes, the parts
-    (and the cut values themselves) are counted exactly, and only the parts that hold a wanted rank go on, until they are
-    small. A round reads what the one before left and shuffles counts and sketches; each leaves about a 64th of a group for a rank.
+    Groups of up to ``task_rows`` values use the plain aggregate. A larger one is cut at values that a sketch proposes on either side of each wanted
+    rank, the parts (and the cut values themselves) are counted exactly, and only the parts that hold a wanted rank go on, until they are
+    small. A round reads what the one before left and shuffles counts and sketches; each leaves about three 1,024ths of a group for a rank.
     """
     by = list(by or [])
     held = rows.select(*by, F.col(column).cast("double").alias("_v")).where("_v is not null")
@@ -68,21 +68,28 @@ def _selected(rows: DataFrame, groups: DataFrame, ps: list[float], task_rows: in
         place = F.row_number().over(Window.partitionBy("_part").orderBy("_v")) - 1
         ranked = rows.join(parts.where(F.col("n") <= task_rows).select("_part"), "_part", "left_semi").select("_part", "_v", place.cast("long").alias("_local"))
         out.append(_kept(wanted.join(ranked, ["_part", "_local"]).select("_g", "rank", F.col("_v").alias("value")), "ranked"))
-        big = parts.where(F.col("n") > task_rows).select("_part", "_grid")
+        big = parts.where(F.col("n") > task_rows)
         if big.isEmpty():
             return reduce(DataFrame.unionByName, out)
-        # cells in order of value: 2i between the i-th and the next grid value, 2i - 1 at the i-th
-        passed = reduce(lambda a, b: a + b, ((F.col("_grid")[k] <= F.col("_v")).cast("int") for k in range(GRID + 1)))  # compiled, a lambda isn't
-        cells = rows.join(big, "_part").select("_part", "_v", (2 * passed - F.array_contains("_grid", F.col("_v")).cast("int")).alias("_cell"))
+        # Values on either side of each wanted rank, few enough for code that is compiled. Cells in order of value: 2i between the i-th and the next cut, 2i - 1 at the i-th
+        step = F.floor(GRID * F.col("_local") / F.col("n")).cast("int")
+        sides = F.array(F.col("_grid")[F.greatest(step - 1, F.lit(0))], F.col("_grid")[F.least(step + 2, F.lit(GRID))])
+        cuts = wanted.join(big, "_part").groupBy("_part").agg(F.sort_array(F.flatten(F.collect_list(sides))).alias("_cuts"))
+        cut = [f"_cut{k}" for k in range(4 * len(ps))]  # two for each of two ranks; where there are fewer, the last again
+        cuts = _kept(cuts.select("_part", *[F.col("_cuts")[F.least(F.lit(k), F.size("_cuts") - 1)].alias(c) for k, c in enumerate(cut)]), "cuts")
+        passed = reduce(lambda a, b: a + b, ((F.col(c) <= F.col("_v")).cast("int") for c in cut))
+        at = reduce(lambda a, b: a | b, (F.col(c) == F.col("_v") for c in cut))
+        cells = rows.join(cuts, "_part").select("_part", "_v", (2 * passed - at.cast("int")).alias("_cell"))
         below = F.sum("_n").over(Window.partitionBy("_part").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
         counted = cells.groupBy("_part", "_cell").agg(F.count("*").alias("_n"), F.min("_v").alias("_low")).withColumn("_below", F.coalesce(below, F.lit(0)))
         hit = wanted.join(counted, "_part").where((F.col("_local") >= F.col("_below")) & (F.col("_local") < F.col("_below") + F.col("_n")))
         hit = _kept(hit, "cells")
         out.append(hit.where("_cell % 2 = 1").select("_g", "rank", F.col("_low").alias("value")))
-        inner = F.concat_ws("/", "_part", "_cell")
+        inner = F.concat_ws("/", "_part", "_cell").alias("_inner")
+        left = hit.where("_cell % 2 = 0").select("_part", "_cell", inner).distinct()
         wanted = hit.where("_cell % 2 = 0").select("_g", inner.alias("_part"), "rank", (F.col("_local") - F.col("_below")).alias("_local"))
         # Written, so that a later round reads what is left of the groups and not the whole column again through all rounds before.
-        rows = _kept(cells.select(inner.alias("_part"), "_v").join(wanted.select("_part").distinct(), "_part", "left_semi"), "rows")
+        rows = _kept(cells.join(left, ["_part", "_cell"]).select(F.col("_inner").alias("_part"), "_v"), "rows")
 
 
 def draw(key: Column, seed: int) -> Column:

@@ -92,6 +92,25 @@ def test_rounds_of_percentiles_read_what_the_round_before_left(spark, monkeypatc
     assert left and left[0] <= 500
 
 
+def test_percentiles_cut_groups_only_around_wanted_ranks(spark, monkeypatch):
+    """A row is compared with two values a rank, and what a round leaves is near the ranks; groups of every number, of few and of one value."""
+    kept, left, cuts = selection._kept, [], []
+
+    def seen(df, tag):
+        out = kept(df, tag)
+        if tag == "rows":
+            left.append(out.count())
+        if tag == "cuts":
+            cuts.append(len(out.columns) - 1)
+        return out
+
+    monkeypatch.setattr(selection, "_kept", seen)
+    rows = spark.range(40_000).selectExpr("explode(array('all', 'few', 'one')) AS g", "id").selectExpr("g", "double(case g when 'all' then id * 7919 % 40000 when 'few' then id % 7 else 3 end) AS v")
+    found = {r.g: r["values"] for r in selection.percentiles(rows, "v", [0.5, 0.95], ["g"], 500).collect()}
+    assert found == {"all": pytest.approx([19999.5, 37999.05]), "few": [3.0, 6.0], "one": [3.0, 3.0]}
+    assert left[0] <= 600 and set(cuts) == {8}
+
+
 def test_tasks_of_briefs_grow_in_number_with_the_input(spark):
     from docloom.plans.synth import briefs
 
